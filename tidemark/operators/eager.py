@@ -73,15 +73,16 @@ def join_rollup(
     return picked.groupBy(*(rollup or keys)).agg(*aggs)
 
 
-def heavy_keys(items: DataFrame, index: DataFrame, key: str, record: str, share: float) -> DataFrame:
-    """Keys that hold at least ``share`` of the distinct records: key, counts and share.
+def heavy_keys(items: DataFrame, index: DataFrame, key: str, record: str, percent: int) -> DataFrame:
+    """Keys that hold at least ``percent`` % of the distinct records: key, counts and share.
 
     ``items`` are reduced to distinct (key, record) pairs first, a shuffle on the nearly unique
     record, so no key makes a task heavy; the per-key states are then joined with those of ``index``
-    (``n_index``: its rows for the key). Records with a null key count in the total only.
+    (``n_index``: its rows for the key). Records with a null key count in the total only; null
+    records count nowhere. No items: no keys.
     """
     pairs = items.filter(F.col(record).isNotNull()).groupBy(record, key).agg(F.lit(1).alias("__one"))
     total = items.agg(F.countDistinct(record)).first()[0]
     rolled = join_rollup(pairs, index.select(key), [key], {"one": F.col("__one")}, {}, "left")
-    out = rolled.select(F.col(key), F.col("n_left").alias("n_records"), F.col("n_right").alias("n_index"), (F.col("n_left") / F.lit(max(total, 1))).alias("share"))
-    return out.filter(F.col("n_records") >= F.lit(share) * F.lit(total))
+    out = rolled.select(key, F.col("n_left").alias("n_records"), F.col("n_right").alias("n_index"), F.round(F.col("n_left") / F.lit(max(total, 1)), 6).alias("share"))
+    return out.filter(F.col("n_records") * 100 >= F.lit(percent * total))
