@@ -1,6 +1,7 @@
 """All queries outside the llm subpackage, by name."""
 
-from tidemark.plans import account_loads
+from tidemark.plans import account_loads, histories, networks
 
-QUERIES = {**account_loads.QUERIES}
-ORACLES = {**account_loads.ORACLES}
+_PLANS = (histories, networks, account_loads)
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+ORACLES = {k: q for p in _PLANS for k, q in p.ORACLES.items()}
