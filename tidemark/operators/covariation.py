@@ -156,10 +156,11 @@ def estimate(rows: DataFrame, key: str, method: str, least: int = 5) -> DataFram
         wide = pdf.pivot_table(index="t", columns="name", values="x", aggfunc="mean", dropna=False).sort_index()
         names = list(wide.columns)
         if len(wide) < least or len(names) < 2:
-            return pd.DataFrame({key: [], "src": [], "dep": [], "weight": []})
+            return pd.DataFrame({key: pdf[key].iloc[:0], "src": pdf["name"].iloc[:0], "dep": pdf["name"].iloc[:0], "weight": pdf["x"].iloc[:0]})
         m = fit(standardise(wide.to_numpy(float)))
         i, j = np.nonzero(~np.eye(len(names), dtype=bool))
-        return pd.DataFrame({key: pdf[key].iloc[0], "src": np.array(names)[i], "dep": np.array(names)[j], "weight": m[i, j]})
+        listed = np.array(names, object)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(i), "src": listed[i], "dep": listed[j], "weight": m[i, j]})
 
     picked = rows.filter(F.col(key).isNotNull() & F.col("t").isNotNull()).select(key, "t", F.col("name").cast("string").alias("name"), F.col("x").cast("double").alias("x"))
     return picked.groupBy(key).applyInPandas(run, f"`{key}` {kind}, src string, dep string, weight double")

@@ -50,9 +50,13 @@ def _normals(tag: str, n: int) -> np.ndarray:
 
 
 def history(d: np.ndarray, n: int, noise: float, tag: str) -> np.ndarray:
-    """A lag-1 process whose transition is the graph scaled to spectral radius .7."""
+    """A lag-1 process whose transition is the graph scaled to spectral radius .7.
+
+    A graph without cycles has radius 0 whatever its weights, so half the spectral norm is the least
+    scale; the process then stays bounded for every graph.
+    """
     k = len(d)
-    radius = max(abs(np.linalg.eigvals(d))) if np.any(d) else 0.0
+    radius = max(max(abs(np.linalg.eigvals(d))), np.linalg.norm(d, 2) / 2) if np.any(d) else 0.0
     a = 0.7 * d / radius if radius > 1e-9 else np.zeros_like(d)
     shocks = _normals(tag, n * k).reshape(n, k) * 4 * math.sqrt(1 + noise)
     z = np.zeros((n, k))
