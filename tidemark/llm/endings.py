@@ -20,6 +20,7 @@ END_MARK = re.compile(r"[.!?。]['\"”’»)\]*_~`]*\s*$")
 CUT_MARK = re.compile(r"(?:…|�)\s*$")
 #: Words that may open a sentence without changing its frame.
 OPENERS = re.compile(r"^(?:look|also|right|well|fwiw|tbh|update|same here|to be fair|in short|so|honestly|anyway|btw)[,:]?\s+", re.I)
+UNMARKED = re.compile(r"[^.!?\n]+")
 SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
@@ -82,8 +83,9 @@ def sentence_frames(df: DataFrame, *columns: str) -> DataFrame:
         seen = set()
         for column in batch.columns:
             for text in column.to_pylist():
-                for s in re.findall(r"[^.!?\n]+[.!?]", text or ""):
-                    seen.update(frames(s) or ())
+                for m in UNMARKED.finditer(text or ""):
+                    if text[m.end() : m.end() + 1] not in ("", "\n"):
+                        seen.update(frames(m[0]) or ())
         return [(f,) for f in seen]
 
     return map_batches(spread(df.select(*columns)), run, "frame string", ["frame"]).distinct()
