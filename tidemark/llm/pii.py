@@ -59,6 +59,7 @@ NOT_FAMILY = set(
     """.split()
 )
 
+LETTERS = re.compile(r"[a-zà-ÿ]+")
 _DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "null": "0"}
 _WORD = "|".join(_DIGITS)
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:double|triple)[\s-]+)?(?:{_WORD})(?:[\s,.-]+(?:(?:double|triple)[\s-]+)?(?:{_WORD})){{5,}}(?!\w)")
@@ -79,16 +80,26 @@ def _spelled(m: re.Match) -> str:
     return out
 
 
-def deobfuscate(text: str) -> Spans:
-    """The chain of transducers; offsets into ``text`` survive every step."""
+def deobfuscate(text: str, tokens: list[str] | None = None) -> Spans:
+    """The chain of transducers; offsets into ``text`` survive every step.
+
+    ``tokens``: the lower-case words of the text, to skip steps that have nothing to work on.
+    """
     s = Spans(text).fold()
-    s.rewrite(SPELLED, _spelled)
-    if "@" in s.text or "at" in s.text or "AT" in s.text or "At" in s.text:
+    if tokens is None or not text.isascii():
+        tokens = LETTERS.findall(s.text.lower())
+    if sum(t in _DIGITS for t in tokens) > 5:
+        s.rewrite(SPELLED, _spelled)
+    if "@" in s.text or "at" in tokens:
         s.rewrite(AT, lambda m: "@")
-        s.rewrite(DOT, lambda m: ".")
-        s.rewrite(AT_DOT, lambda m: "@" + re.sub(r"(?i)\s+dot\s+", ".", m[1]))
-        s.rewrite(AT_PLAIN, lambda m: "@")
-        s.rewrite(AT_SPACE, lambda m: "@")
+        if "dot" in tokens or "@" in s.text:
+            s.rewrite(DOT, lambda m: ".")
+        if "dot" in tokens:
+            s.rewrite(AT_DOT, lambda m: "@" + re.sub(r"(?i)\s+dot\s+", ".", m[1]))
+        if "AT" in s.text or " at " in s.text and "." in s.text:
+            s.rewrite(AT_PLAIN, lambda m: "@")
+        if "@" in s.text:
+            s.rewrite(AT_SPACE, lambda m: "@")
     return s
 
 
@@ -137,6 +148,9 @@ STREETS = [
     re.compile(r"(?i)(?<!\w)(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|ronda|travesía)\s+(?:de la |de los |de las |del |de |la |el )?[a-zà-ÿ][\w'À-ÿ-]*(?: [A-ZÀ-Ý][\w'À-ÿ-]*)?,? *(?:n\.?[ºo°]? ?|núm\.? ?)?\d{1,4}(?![\w]|\.\d)"),
 ]
 
+#: Endings of German street names.
+GERMAN = "straße strasse str. weg gasse platz allee ufer damm pfad stieg".split()
+
 _TITLE = "|".join(TITLES)
 _NAME = "|".join(sorted(GIVEN, key=len, reverse=True))
 _SURE = "|".join(n.lower() for n in GIVEN if n.lower() not in EVERYDAY)
@@ -157,20 +171,26 @@ CONTACT = re.compile(r"https?://\S+")
 AFTER = re.compile(r" +([A-Z][a-z]+)")
 
 
-def _person(text: str):
+def _person(text: str, tokens: list[str]):
+    if _GIVEN_LOW.isdisjoint(tokens) and _TITLE_LOW.isdisjoint(tokens):
+        return
     for p in NAMES:
         for m in p.finditer(text):
             family = m[1].lower()
             follow = AFTER.match(text, m.end())
-            if family in NOT_FAMILY or (follow and follow[1].lower() in NOT_FAMILY and follow[1].lower() in PLACE_WORDS):
+            if family in NOT_FAMILY or (follow and follow[1].lower() in PLACE_WORDS):
                 continue
             yield m.start(), m.end()
-    for p in LOOSE:
-        for m in p.finditer(text):
-            if m[1].lower() not in NOT_FAMILY and m[1].lower() not in COMMON_ENDINGS:
-                yield m.start(), m.end()
+    if any(t.endswith(_ENDINGS) and t not in COMMON_ENDINGS and t not in NOT_FAMILY for t in tokens):
+        for p in LOOSE:
+            for m in p.finditer(text):
+                if m[1].lower() not in NOT_FAMILY and m[1].lower() not in COMMON_ENDINGS:
+                    yield m.start(), m.end()
 
 
+_ENDINGS = tuple(SURNAME_ENDINGS)
+_GIVEN_LOW = {n.lower() for n in GIVEN}
+_TITLE_LOW = {t.lower() for t in TITLES}
 #: The words of NOT_FAMILY that, after a name, make it a place or firm.
 PLACE_WORDS = set("street road avenue lane drive close court way terrace row square library council studio garage choir bakery club rowing cup arms inn tavern pub hotel museum school college church ltd inc gmbh brothers".split())
 #: Everyday words that end like a family name.
@@ -178,37 +198,67 @@ COMMON_ENDINGS = set("person reason season lesson poison prison stranger danger
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
-    """Source spans of every mention, longest first where two overlap, in text order."""
+    """Source spans of every mention, longest first where two overlap, in text order.
+
+    No mention crosses an empty line, so the pieces between empty lines are searched one by one.
+    """
     if not text or not text.strip():
         return []
-    s = deobfuscate(text)
+    if "\n\n" not in text:
+        return _find(text)
+    out, at = [], 0
+    for piece in text.split("\n\n"):
+        out += [(a + at, b + at, kind) for a, b, kind in _find(piece)]
+        at += len(piece) + 2
+    return out
+
+
+def _find(text: str) -> list[tuple[int, int, str]]:
+    tokens = LETTERS.findall(text.lower())
+    s = deobfuscate(text, tokens)
     t, found = s.text, []
-    for m in EMAIL.finditer(t):
-        if m.end() < len(t) or m[0].rpartition(".")[2].lower() in ENDINGS:
-            found.append((m.start(), m.end(), "email"))
-    taken = [(a, b) for a, b, _ in found] + [m.span() for m in CONTACT.finditer(t)]
+    if t is not text:
+        tokens = LETTERS.findall(t.lower())
+    taken = []
+    if "@" in t:
+        for m in EMAIL.finditer(t):
+            if m.end() < len(t) or m[0].rpartition(".")[2].lower() in ENDINGS:
+                found.append((m.start(), m.end(), "email"))
+        taken = [(a, b) for a, b, _ in found]
+    if "http" in t:
+        taken += [m.span() for m in CONTACT.finditer(t)]
     free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-    for p, cued in IDS:
-        for m in p.finditer(t):
-            a, b = m.span()
-            before, around = t[max(0, a - 70) : a], t[max(0, a - 70) : b + 45]
-            if free(a, b) and not NOT_PHONE.search(before) and (not cued or ID_CUE.search(around)):
-                found.append((a, b, "id_number"))
-                taken.append((a, b))
-    for p in PHONES:
-        for m in p.finditer(t):
-            a, b = m.span()
-            n = sum(map(str.isdigit, m[0]))
-            if 9 <= n <= 15 and free(a, b) and not NOT_PHONE.search(t[max(0, a - 25) : a]):
-                found.append((a, b, "phone"))
-                taken.append((a, b))
-    for p in STREETS:
-        for m in p.finditer(t):
-            if free(*m.span()):
-                found.append((*m.span(), "address"))
-    for a, b in _person(t):
+    digits = sum(map(str.isdigit, t))
+    if digits >= 2:
+        for p, cued in IDS:
+            for m in p.finditer(t):
+                a, b = m.span()
+                before, around = t[max(0, a - 70) : a], t[max(0, a - 70) : b + 45]
+                if free(a, b) and not NOT_PHONE.search(before) and (not cued or ID_CUE.search(around)):
+                    found.append((a, b, "id_number"))
+                    taken.append((a, b))
+    if digits >= 9:
+        for p in PHONES:
+            for m in p.finditer(t):
+                a, b = m.span()
+                n = sum(map(str.isdigit, m[0]))
+                if 9 <= n <= 15 and free(a, b) and not NOT_PHONE.search(t[max(0, a - 25) : a]):
+                    found.append((a, b, "phone"))
+                    taken.append((a, b))
+    if digits:
+        low = t.lower()
+        german = any(x in low for x in GERMAN)
+        for i, p in enumerate(STREETS):
+            if i == 3 and not german:
+                continue
+            for m in p.finditer(t):
+                if free(*m.span()):
+                    found.append((*m.span(), "address"))
+    for a, b in _person(t, tokens):
         if free(a, b):
             found.append((a, b, "person_name"))
+    if not found:
+        return found
     out, last = [], -1
     for a, b, kind in sorted(((*s.source(a, b), kind) for a, b, kind in found), key=lambda x: (x[0], -x[1])):
         if a >= last:
@@ -261,16 +311,33 @@ def candidates(texts: pa.Array) -> pa.Array:
     return pc.fill_null(pc.match_substring_regex(texts, PREFILTER), False)
 
 
+def _pieces(column: pa.Array) -> tuple[list[int], list[str]]:
+    """Row numbers and candidate pieces (between empty lines) of the texts of a column."""
+    rows, parts = [], []
+    for i, text in zip(*(x.to_pylist() for x in (pa.array(range(len(column))), column))):
+        if text:
+            for part in text.split("\n\n"):
+                rows.append(i)
+                parts.append(part)
+    if not parts:
+        return [], []
+    keep = candidates(pa.array(parts, pa.large_string())).to_pylist()
+    return [r for r, k in zip(rows, keep) if k], [p for p, k in zip(parts, keep) if k]
+
+
 def mentions(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """One row per text and type of mention in it: ``keys`` and ``pii_type``."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", pii_type string"
 
     def run(batch: pa.RecordBatch):
-        mask = candidates(batch.column(len(keys)))
-        hits = batch.filter(mask)
-        for row in zip(*(c.to_pylist() for c in hits.columns)):
-            for kind in sorted({k for _, _, k in find(row[-1])}):
-                yield (*row[:-1], kind)
+        rows, parts = _pieces(batch.column(len(keys)))
+        kinds: dict[int, set] = {}
+        for i, part in zip(rows, parts):
+            kinds.setdefault(i, set()).update(k for _, _, k in _find(part))
+        columns = [batch.column(i) for i in range(len(keys))]
+        for i, found in kinds.items():
+            for kind in sorted(found):
+                yield (*(c[i].as_py() for c in columns), kind)
 
     return map_batches(spread(df.select(*keys, text)), run, schema, [*keys, "pii_type"])
 
