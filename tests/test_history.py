@@ -87,3 +87,22 @@ def test_exclusion(spark):
 def test_hash(spark):
     a, b, c = spark.createDataFrame([(" Bob",), ("bob ",), (None,)], "s string").select(H.entity_hash(F.col("s"), "k")).collect()
     assert a[0] == b[0] and len(a[0]) == 16 and c[0] is None
+
+
+def test_long_pack_equals_the_plain_walk(spark):
+    import numpy as np
+
+    rnd = random.Random(7)
+    for budget in (10, 60):
+        lengths = np.array([rnd.choice([0, 1, 5, 9, 30, 90]) for _ in range(500)])
+        want = chunking.pack_block(lengths, -1, 0, budget, 2)
+        pack, cur = -1, budget + 1
+        for b in range(0, 500, 37):
+            part = lengths[b : b + 37]
+            assert (chunking.pack_block(part, pack, cur, budget, 2) == want[b : b + 37]).all()
+            pack, cur = chunking.through(chunking.block_table(part, budget, 2), pack, cur)
+        assert pack == want[-1]
+        rows = [("g", i, int(n), "x") for i, n in enumerate(lengths)] + [("h", 0, None, "y")]
+        df = spark.createDataFrame(rows, "g string, position bigint, len int, pack_name string")
+        got = {(r.g, r.position): r.pack for r in chunking.greedy_pack_long(df, ["g"], "len", budget, block=50).collect()}
+        assert all(got["g", i] == want[i] for i in range(500)) and got["h", 0] == 0

@@ -154,17 +154,20 @@ def probe_sample(items: DataFrame, probes: DataFrame, per_probe: int, cap: int)
     return first.select("account_hash", F.col("at.probe").alias("probe"), F.col("at.pos").alias("pos")).orderBy("probe", "pos").limit(cap)
 
 
-def ranked(rows: DataFrame, key: str, time: str, tie: str, width: int = 30 * 86400) -> DataFrame:
-    """``rows`` with ``position`` (from 0) by time and tie within the key, and ``group_size``.
+def ranked(rows: DataFrame, key: str | Sequence[str], time: str, tie: str, width: int = 30 * 86400) -> DataFrame:
+    """``rows`` with ``position`` (from 0) by time and tie within the key(s), and ``group_size``.
 
     The rank is taken within (key, time bucket) and shifted by the counts of the earlier buckets, so
     that a key with a third of all rows is ordered by many tasks.
     """
-    timed = rows.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("__b", F.floor(F.col(time) / width))
-    counts = timed.groupBy(key, "__b").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(key).orderBy("__b")
+    keys = [key] if isinstance(key, str) else list(key)
+    timed = rows.filter(F.col(time).isNotNull()).withColumn("__b", F.floor(F.col(time) / width))
+    for k in keys:
+        timed = timed.filter(F.col(k).isNotNull())
+    counts = timed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__b")
     shift = counts.withColumn("__before", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-    shift = shift.withColumn("group_size", F.sum("__n").over(Window.partitionBy(key))).drop("__n")
-    local = timed.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__b").orderBy(time, tie)))
-    out = local.join(shift, [key, "__b"])
+    shift = shift.withColumn("group_size", F.sum("__n").over(Window.partitionBy(*keys))).drop("__n")
+    local = timed.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(time, tie)))
+    out = local.join(shift, [*keys, "__b"])
     return out.withColumn("position", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")

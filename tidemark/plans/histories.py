@@ -180,11 +180,17 @@ def chunk_greedy_pack(s, d):
 
 def chunk_thread_pack(s, d):
     """Greedy packing of each thread of an account."""
-    rows = H.first_fetched(table(s, d, "items")).filter("account_hash is not null and link_id is not null")
-    packed = chunking.greedy_pack(rows.withColumn("len", F.coalesce(F.length("body"), F.lit(0))), ["account_hash", "link_id"], ["created_utc", "item_id"], "len", 600, "kind")
+    rows = H.first_fetched(table(s, d, "items")).select("item_id", "account_hash", "link_id", "created_utc", F.coalesce(F.length("body"), F.lit(0)).alias("len"))
+    packed = chunking.greedy_pack_any(H.ranked(rows, ["account_hash", "link_id"], "created_utc", "item_id"), ["account_hash", "link_id"], ["item_id"], "len", 600)
     return packed.groupBy("account_hash", "link_id", "pack").agg(F.count("*").alias("n"), (F.sum(F.col("piece_length") + 2) - 2).alias("n_chars"))
 
 
+def chunk_account_pack(s, d):
+    """W6 over whole accounts, whatever their size."""
+    packed = chunking.greedy_pack_any(_ranked(s, d), ["account_hash"], ["item_id"], "len", 4000)
+    return packed.groupBy("account_hash", "pack").agg(F.count("*").alias("n"), (F.sum(F.col("piece_length") + 2) - 2).alias("n_chars"))
+
+
 def chunk_source_items(s, d):
     """Chunks exploded to their items, counted against the history (semi join)."""
     parts = table(s, d, "chunks").select("chunk_id", F.explode(F.array_distinct("item_ids")).alias("item_id")).distinct()
@@ -211,7 +217,7 @@ QUERIES = {
     for f in (
         account_profile, sample_frame, exclusion_exact_anti, exclusion_prefix, excluded_fraction_guard, history_cap_newest_first, union_dedupe_sources, index_upsert,
         entity_hash, normalise_items, usage_json_extract, props_json_extract, gap_cohorts_topn, candidate_probe_sample, thread_order, chunk_count_windows,
-        chunk_equal_windows, chunk_sampled_positions, epoch_bins, chunk_greedy_pack, chunk_thread_pack, chunk_source_items,
+        chunk_equal_windows, chunk_sampled_positions, epoch_bins, chunk_greedy_pack, chunk_thread_pack, chunk_account_pack, chunk_source_items,
     )
 }
 
@@ -273,8 +279,9 @@ select account_hash, cast(case when hi = lo then 0 else least(floor((created_utc
     "chunk_greedy_pack": "with " + _pack_sql("account_hash, window_no", "created_utc, item_id", 2000, f"select *, position // 40 as window_no from ({_RANKED_BODY})") + "select account_hash, window_no, item_id, pack from walk",
     "chunk_thread_pack": "with " + _pack_sql(
         "account_hash, link_id", "created_utc, item_id", 600,
-        "select account_hash, link_id, item_id, created_utc, coalesce(length(body), 0) as len from (" + FIRST.strip()[len("first_fetched as ("):-1] + ") where account_hash is not null and link_id is not null",
+        "select account_hash, link_id, item_id, created_utc, coalesce(length(body), 0) as len from (" + FIRST.strip()[len("first_fetched as ("):-1] + ") where account_hash is not null and link_id is not null and created_utc is not null",
     ) + "select account_hash, link_id, pack, count(*) as n, cast(sum(len + 2) - 2 as bigint) as n_chars from walk group by 1, 2, 3",
+    "chunk_account_pack": "with " + _pack_sql("account_hash", "created_utc, item_id", 4000, _RANKED_BODY) + "select account_hash, pack, count(*) as n, cast(sum(len + 2) - 2 as bigint) as n_chars from walk group by 1, 2",
     "chunk_source_items": """with p as (select distinct chunk_id, unnest(item_ids) as item_id from chunks)
 select chunk_id, count(*) as n_items, count(*) filter (item_id in (select item_id from items)) as n_known from p group by 1""",
 }

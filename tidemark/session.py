@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         context_dir = spark.sparkContext.getCheckpointDir()
         found = context_dir or tempfile.mkdtemp(prefix="tidemark-")
-        if not spark.sparkContext.master.startswith("local[") and not context_dir:
+        if not spark.sparkContext.master.startswith("local") and not context_dir:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
