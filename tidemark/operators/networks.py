@@ -49,14 +49,20 @@ def strengths(edges: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def matrices(edges: DataFrame, vocab: DataFrame, *keys: str) -> DataFrame:
-    """One row per network: ``m`` (array of rows, absent edges 0) in vocabulary order, and ``names``."""
+def matrices(edges: DataFrame, vocab: DataFrame, *keys: str, listed: DataFrame | None = None) -> DataFrame:
+    """One row per network: ``m`` (array of rows, absent edges 0) in vocabulary order, and ``names``.
+
+    ``listed``: the networks to return; those without an edge get a matrix of zeros. Without it, only
+    networks that have edges are returned.
+    """
     index = vocab.select(F.col("name"), F.dense_rank().over(Window.orderBy("trait_idx")).alias("i"))
     k = index.count()
     names = F.array(*[F.lit(r["name"]) for r in index.orderBy("i").toLocalIterator()])
     src, dep = index.select(F.col("name").alias("src"), F.col("i").alias("ri")), index.select(F.col("name").alias("dep"), F.col("i").alias("ci"))
     cells = edges.filter("src != dep").join(F.broadcast(src), "src").join(F.broadcast(dep), "dep")
     by = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("ri") * 1000 + F.col("ci")).alias("at"), "weight"))).alias("w"))
+    if listed is not None:
+        by = listed.select(*keys).distinct().join(by, list(keys), "left")
     row = lambda i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at("w", i * 1000 + j), F.lit(0.0)))
     return by.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(k)), row).alias("m"), names.alias("names"))
 

@@ -30,7 +30,8 @@ def _pooled(s, d):
 
 
 def _matrix(s, d):
-    return N.matrices(_pooled(s, d).withColumn("network", F.lit("pooled")), _vocab(s, d), "network")
+    one = s.createDataFrame([("pooled",)], "network string")
+    return N.matrices(_pooled(s, d).withColumn("network", F.lit("pooled")), _vocab(s, d), "network", listed=one)
 
 
 def _r(*names, digits=6):
@@ -203,7 +204,7 @@ def trait_correlations(s, d):
     """Correlation and sample covariance of traits over chunks."""
     x = chunk_matrix(s, d).filter("mean is not null").select("chunk_id", "rated", F.col("mean").alias("x"))
     both = x.join(x.select("chunk_id", F.col("rated").alias("other"), F.col("x").alias("y")), "chunk_id").filter("rated < other")
-    return both.groupBy("rated", "other").agg(F.count("*").alias("n"), F.round(S.pearson("x", "y"), 5).alias("r"), F.round(F.covar_samp("x", "y"), 4).alias("cov"))
+    return both.groupBy("rated", "other").agg(F.count("*").alias("n"), F.round(S.pearson("x", "y"), 5).alias("r"), F.round(F.covar_samp("x", "y"), 8).alias("cov"))
 
 
 def lag1_cross_moments(s, d):
@@ -411,7 +412,7 @@ select account_hash, name, round(p / sum(p) over (partition by account_hash), 8)
 m as (select rated, avg(mean) as m, stddev_pop(mean) as s from y group by 1)
 select chunk_id, y.rated, round((coalesce(mean, m) - m) / case when s > 0 then s else 1 end, 6) as z from y join m using (rated)""",
     "trait_correlations": "with " + MATRIX + f""", y as (select chunk_id, rated, round(mean, 6) as x from x where mean is not null)
-select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 4) as cov from y a join y b on a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
+select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 8) as cov from y a join y b on a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
     "lag1_cross_moments": "with " + MATRIX + f""", y as (select rated, round(mean, 6) as mean, lag(round(mean, 6)) over (partition by account_hash, rated order by chunk_id) as before from x where mean is not null)
 select rated, count(*) as n, round(avg(mean * before), 4) as moment, round({_pearson('before', 'mean')}, 6) as r from y where before is not null group by 1""",
     "anova_components": "with " + EDGES + ", cells as (select src, account_hash as rw, dep as cl, avg(weight) as x from edges group by 1, 2, 3)," + _TWO_WAY.format(k="src") + """,
