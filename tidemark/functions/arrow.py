@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.session import ship
+
 
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """Repartition a scan that has fewer tasks than the cluster has cores, else leave it as it is.
@@ -33,6 +35,8 @@ def map_batches(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
+
     target = to_arrow_schema(StructType.fromDDL(schema))
     if target.names != list(names):
         raise ValueError(f"schema {target.names} does not match names {list(names)}")

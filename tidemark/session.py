@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -28,9 +30,27 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "tidemark") ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once per context, wherever they run and start.
+
+    The driver packs it into an archive and Spark serves that to the executors, so they need neither a
+    shared path nor a PYTHONPATH. A package that was itself shipped as an archive is left as it is.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_tidemark_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
