@@ -82,6 +82,24 @@ def test_edgeless_network_follows_its_teleport(spark):
     assert max(got, key=got.get) == "0"
 
 
+def test_every_account_walks_with_its_own_weights(spark):
+    d = rng(11).normal(size=(6, 6)) * (rng(12).random((6, 6)) < 0.5)
+    np.fill_diagonal(d, 0)
+    own = {"a": rng(13).random(6), "b": np.eye(6)[2], "c": np.zeros(6)}
+    vocab = spark.createDataFrame([(10 * i, str(i)) for i in range(6)], "trait_idx int, name string")
+    weights = spark.createDataFrame([(a, str(i), float(x)) for a, w in own.items() for i, x in enumerate(w)], "account string, name string, weight double").repartition(5)
+    got = {(r.account, r.name): r.value for r in N.personalised(_networks(spark, d), weights, vocab, "account").collect()}
+    assert len(got) == 18
+    a = np.abs(d)
+    p = np.where(a.sum(0) > 0, a / np.where(a.sum(0) > 0, a.sum(0), 1), 1 / 6)
+    for account, w in own.items():
+        t = w / w.sum() if w.sum() > 0 else np.full(6, 1 / 6)
+        r = np.full(6, 1 / 6)
+        for _ in range(500):
+            r = 0.85 * p @ r + 0.15 * t
+        assert np.allclose([got[account, str(i)] for i in range(6)], r, atol=1e-12)
+
+
 def _table(spark, sd_pair, sd_acct, sd_pattern, accounts=30, pairs=60):
     g = rng(9)
     p, a = g.normal(0, sd_pair, pairs), g.normal(0, sd_acct, accounts)

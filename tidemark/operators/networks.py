@@ -120,6 +120,24 @@ def pagerank(networks: DataFrame, *keys: str, steps: int = 40, alpha: float = 0.
     return _long(done, keys, "ppagerank" if teleport else "pagerank")
 
 
+def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *keys: str, steps: int = 200, alpha: float = 0.85) -> DataFrame:
+    """Personalised PageRank of one network for every group of ``weights`` (keys, name, weight).
+
+    The walk is linear in its teleport, so it runs once per name as the only target (k walks, whatever
+    the number of groups) and a group's result is their mean under its own weights. Every group must
+    list the whole vocabulary; weights that add up to 0 count as uniform. 200 steps leave 1e-14.
+    """
+    index = vocab.select("name", F.dense_rank().over(Window.orderBy("trait_idx")).alias("i"))
+    alone = F.posexplode(F.transform("names", lambda n: F.transform("names", lambda o: F.when(o == n, 1.0).otherwise(0.0)))).alias("at", "t0")
+    walks = pagerank(networks.select("m", "names", alone), "at", steps=steps, alpha=alpha, teleport="t0")
+    rows = walks.join(F.broadcast(index), "name").groupBy("name", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda z: z["value"]).alias("row"))
+    basis = rows.agg(F.array_sort(F.collect_list(F.struct("i", "name", "row"))).alias("b")).select(F.col("b.row").alias("b"), F.col("b.name").alias("names"))
+    own = weights.join(F.broadcast(index), "name").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "weight"))), lambda z: z["weight"]).alias("w"))
+    share = _let(_total(F.col("w")), lambda s: F.transform("w", lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.size("w"))))
+    done = own.withColumn("t", share).crossJoin(F.broadcast(basis)).withColumn("v", _times(F.col("b"), F.col("t")))
+    return _long(done, keys, "ppagerank")
+
+
 def sla(networks: DataFrame, *keys: str, steps: int = 40, delta: float = 0.85) -> DataFrame:
     """G1: damped power iteration on absolute weights; vectors of norm 0 become 0."""
     k = F.size("m")

@@ -126,12 +126,36 @@ def pagerank(s, d):
 
 
 def personalised_pagerank(s, d):
-    """Teleport by likableness."""
+    """G5 with one fixed teleport, likableness; by account: ``account_personalised_pagerank``."""
     like = [r["likableness"] or 0.0 for r in _vocab(s, d).orderBy("trait_idx").toLocalIterator()]
     m = _matrix(s, d).withColumn("t0", F.array(*[F.lit(float(x)) for x in like]))
     return N.pagerank(m, "network", steps=30, teleport="t0").select("name", F.round("value", 8).alias("value"))
 
 
+def _node_weights(s, d):
+    """Every account of the store under each weighting; uniform where it has no rows."""
+    st, vocab = _store(s, d), _vocab(s, d)
+    rows = R.ratings(st)
+    kinds = {"density": R.density(R.quotes(st), vocab), "self_relevance": R.self_relevance(rows, vocab), "salience": R.salience(rows, st, vocab)}
+    known = None
+    for kind, w in kinds.items():
+        w = w.select("account_hash", "name", F.lit(kind).alias("weighting"), "weight")
+        known = w if known is None else known.unionByName(w)
+    names = F.array(*[F.lit(r["name"]) for r in vocab.select("name").toLocalIterator()])
+    accounts = st.filter("account_hash is not null").select("account_hash").distinct()
+    cells = accounts.select("account_hash", F.explode(names).alias("name"))
+    wide = known.groupBy("account_hash", "name").agg(*[F.max(F.when(F.col("weighting") == kind, F.col("weight"))).alias(kind) for kind in kinds])
+    filled = cells.join(wide, ["account_hash", "name"], "left").select("account_hash", "name", *[F.coalesce(kind, F.lit(1.0) / F.size(names)).alias(kind) for kind in kinds])
+    both = filled.withColumn("combined", F.col("density") * F.col("self_relevance"))
+    return both.unpivot(["account_hash", "name"], [*kinds, "combined"], "weighting", "weight")
+
+
+def account_personalised_pagerank(s, d):
+    """Every account's PageRank on the pooled network, by each of its node weightings."""
+    got = N.personalised(_matrix(s, d), _node_weights(s, d), _vocab(s, d), "account_hash", "weighting")
+    return got.select("account_hash", "weighting", "name", F.round("value", 8).alias("value"))
+
+
 def sla_centrality(s, d):
     """G1."""
     return N.sla(_matrix(s, d), "network", steps=30).select("name", F.round("value", 8).alias("value"))
@@ -280,7 +304,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, stacked_edges, pooled_network, edge_deviations,
-        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
+        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
         centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, standardise_matrix, trait_correlations,
         lag1_cross_moments, anova_components, bootstrap_components, between_account_spearman, residual_convergence, mock_ratings, vocabulary_checks,
     )
@@ -331,6 +355,18 @@ walk as (select i, 1.0 / k::double as v, 0 as step from idx
 select name, round(v, 8) as value from walk join idx using (i) where step = 30"""
 
 
+ACCOUNT_RANK = "with recursive " + EDGES + QUOTES[len(STORE):] + DENSITY_CELLS + _IDX + """,
+f as (select account_hash, rated as name, rating from (select *, row_number() over (partition by account_hash, rated order by replicate nulls first, key) as rn from ratings where task = 'e1_baseline') where rn = 1),
+rs as (select account_hash, count(response) as n from store where task = 'e3_chunk' group by 1),
+sm as (select account_hash, rated as name, sum(coalesce(abs(rating - 50), 0)) / any_value(n) as s from ratings join rs using (account_hash) where task = 'e3_chunk' group by 1, 2),
+raw as (select a.account_hash, name, i, k, coalesce(density.weight, 1.0 / k::double) as density, coalesce(abs(rating - 50) / 50 * 100, 0)::double + 1 as sr, coalesce(s, 0)::double + 1 as sl
+  from (select distinct account_hash from store where account_hash is not null) a cross join idx left join density using (account_hash, name) left join f using (account_hash, name) left join sm using (account_hash, name)),
+tele as (select account_hash, 'density' as weighting, i, density as w from raw union all select account_hash, 'self_relevance', i, sr from raw union all select account_hash, 'salience', i, sl from raw union all select account_hash, 'combined', i, density * sr from raw),
+walk as (select a.i as seed, b.i, 1.0 / b.k::double as v, 0 as step from idx a cross join idx b
+  union all
+  select seed, i, u / sum(u) over (partition by seed) as v, step + 1 from (select w.seed, p.ri as i, 0.85 * sum(p.p * w.v) + case when p.ri = w.seed then 0.15 else 0 end as u, any_value(w.step) as step from walk w join p on p.ci = w.i where w.step < 200 group by w.seed, p.ri))
+select account_hash, weighting, name, round(sum(w * v) / sum(w), 8) as value from tele join walk on seed = tele.i and step = 200 join idx on idx.i = walk.i group by 1, 2, 3"""
+
 SLA = "with recursive " + EDGES + _IDX + """,
 walk as (select i, 1.0 / sqrt(k::double) as v, 0 as step from idx
   union all
@@ -387,6 +423,7 @@ from edges e join pooled p using (src, dep) left join density a on a.account_has
     "matrix_pivot_unpivot": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where dep in (select name from trait_vocab order by trait_idx limit 8) and src <> dep",
     "pagerank": _rank("1.0 / k::double"),
     "personalised_pagerank": _rank("likableness / sum(likableness) over ()"),
+    "account_personalised_pagerank": ACCOUNT_RANK,
     "sla_centrality": SLA,
     "quote_rows": "with " + QUOTES + "select distinct key, name, quote, direction from quotes",
     "quote_dedupe_rank": "with " + QUOTES + """,
