@@ -41,6 +41,19 @@ def test_lag1_finds_a_planted_effect():
     assert b[0, 1] > 0.4 and abs(b[2, 1]) < 0.15 and abs(b[1, 0]) < 0.15
 
 
+def test_lag1_columns_equal_single_regressions():
+    x = C.standardise(rng(14).normal(size=(60, 9)).cumsum(0))
+    x[:, 4] = 0
+    got = C.lag1(x)
+    gram, n = (x[:-1] - x[:-1].mean(0)).T @ (x[:-1] - x[:-1].mean(0)) / 59, 59
+    for j in range(9):
+        y = x[1:, j]
+        assert np.allclose(C.lasso_cv(x[:-1], y[:, None], 3)[:, 0], got[:, j], atol=1e-9)
+        target = (x[:-1] - x[:-1].mean(0)).T @ (y - y.mean()) / n
+        assert np.allclose(C.lasso_columns(gram, target[:, None], np.array([0.05]), 5000, 1e-12)[:, 0], C.lasso(gram, target, 0.05, 5000, 1e-12), atol=1e-9)
+    assert not got[:, 4].any() and not got[4].any() and got.any()
+
+
 def test_betweenness_and_eigenvector():
     path = np.zeros((3, 3))
     path[0, 1] = path[1, 2] = 1

@@ -8,24 +8,24 @@ from tidemark.operators import covariation as C, simulation as M
 from tidemark.sources.tables import table
 
 
-def _vectors(s, d, width=16):
+def _vectors(s, d):
     e = table(s, d, "embeddings").filter("label is not null")
-    return e.select("label", F.col("vec_id").alias("t"), F.posexplode(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, width)).alias("name", "x"))
+    return e.select("label", F.col("vec_id").alias("t"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("name", "x"))
 
 
 def shrunk_partial_correlations(s, d):
-    """By label, over the first 16 dimensions of the embeddings."""
+    """By label, over all dimensions of the embeddings."""
     return C.estimate(_vectors(s, d), "label", "pcor")
 
 
 def graphical_lasso(s, d):
     """G11."""
-    return C.estimate(_vectors(s, d, 10), "label", "glasso")
+    return C.estimate(_vectors(s, d), "label", "glasso")
 
 
 def lag1_regressions(s, d):
     """G12."""
-    return C.estimate(_vectors(s, d, 10), "label", "lag1", least=20)
+    return C.estimate(_vectors(s, d), "label", "lag1", least=20)
 
 
 def embedding_moments(s, d):
