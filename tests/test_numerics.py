@@ -130,6 +130,33 @@ def test_two_way_components(spark):
     assert S.two_way(df, "account", "pair", "w").first().icc_rest > 0.6
 
 
+def test_bootstrap_shares_equal_a_plain_bootstrap(spark):
+    n_a, n_p, n_boot = 12, 9, 40
+    g = rng(15)
+    x, sd = g.normal(size=(n_a, n_p)) + 2 * g.normal(size=n_p) + g.normal(size=(n_a, 1)), g.random((n_a, n_p)) * 0.3
+    x[g.random(x.shape) < 0.3] = np.nan
+    sd[0] = np.nan
+    cells = [(f"a{i:02d}", f"s{j}", "t", float(x[i, j]), None if np.isnan(sd[i, j]) else float(sd[i, j])) for i in range(n_a) for j in range(n_p) if np.isfinite(x[i, j])]
+    df = spark.createDataFrame(cells, "account_hash string, src string, dep string, weight double, weight_sd double")
+    got = {r.component: (r.lo, r.hi) for r in S.bootstrap_shares(df, n_boot, 3, seed=4, buckets=3).collect()}
+    draw, all_ = np.random.default_rng(4), []
+    for _ in range(n_boot):
+        i = draw.integers(0, n_a, n_a)
+        m, v = x[i], np.where(np.isfinite(x), sd**2, np.nan)[i]
+        ok = np.isfinite(m)
+        n_col = ok.sum(0)
+        row, grand = np.nanmean(m, 1, keepdims=True), np.nanmean(m)
+        col = np.where(n_col > 0, np.nansum(m, 0) / np.maximum(n_col, 1), np.nan)[None]
+        a = np.sum((row - grand) ** 2 * ok.sum(1, keepdims=True)) / (n_a - 1)
+        p = np.nansum((col - grand) ** 2 * n_col) / (n_p - 1)
+        e = np.nansum((m - row - col + grand)[ok] ** 2) / ((n_a - 1) * (n_p - 1))
+        sa, sp, sap = max((a - e) / n_p, 0), max((p - e) / n_a, 0), max(e - np.nanmean(v) / 3, 0)
+        all_.append([(sa + sap) / (sa + sp + sap), sa / (sa + sp + sap), sp, sap])
+    want = np.percentile(all_, [2.5, 97.5], axis=0)
+    for k, name in enumerate(["icc_idiographic", "icc_account_only", "sigma2_pair", "sigma2_account_pair"]):
+        assert np.allclose(got[name], want[:, k])
+
+
 def test_pearson_guards_and_ranks(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 5.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("c", 1.0, 2.0), ("d", None, 2.0)], "k string, x double, y double")
     got = {r.k: r.r for r in df.groupBy("k").agg(S.pearson("x", "y").alias("r")).collect()}

@@ -74,3 +74,54 @@ def resamples(groups: DataFrame, key: str, n_boot: int, seed: str) -> DataFrame:
     text = F.concat_ws(":", F.lit(seed), "boot", "draw")
     pick = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % F.lit(max(n, 1))
     return draws.withColumn("pos", pick).join(numbered, "pos").select("boot", "draw", key)
+
+
+def bootstrap_shares(edges: DataFrame, n_boot: int = 500, replicates: int = 3, seed: int = 0, buckets: int = 24) -> DataFrame:
+    """2.5 and 97.5 percentiles of icc_idiographic, icc_account_only, sigma2_pair and sigma2_account_pair.
+
+    ``edges``: account_hash, src, dep, weight, weight_sd, not necessarily every pair of every account. Whole
+    accounts are drawn with replacement; a resample is one count per account, and each bucket of pairs adds
+    up its sums under all resamples at once. Every task derives the counts from ``seed`` alone.
+    """
+    accounts = edges.select("account_hash").distinct().withColumn("pos", F.row_number().over(Window.orderBy("account_hash")) - 1)
+    n_a, n_p = accounts.count(), edges.select("src", "dep").distinct().count()
+    means = edges.groupBy("account_hash").agg(F.avg("weight").alias("own"))
+    cells = edges.join(accounts.join(means, "account_hash"), "account_hash").select(
+        F.pmod(F.xxhash64("src", "dep"), F.lit(buckets)).alias("bucket"), F.concat_ws("->", "src", "dep").alias("pair"), "pos", "own", "weight", (F.col("weight_sd") * F.col("weight_sd")).alias("var")
+    )
+    names = ["n", "s", "q", "r", "r2", "mr", "v", "nv", "cs", "cd"]
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        draw = np.random.default_rng(seed)
+        counts = np.stack([np.bincount(draw.integers(0, n_a, n_a), minlength=n_a) for _ in range(n_boot)])
+        out = np.zeros((n_boot, len(names)))
+        for _, g in pdf.groupby("pair", sort=True):
+            g = g.sort_values("pos")
+            m, own, var = g["weight"].to_numpy(float), g["own"].to_numpy(float), g["var"].to_numpy(float)
+            ok = np.isfinite(var)
+            sums = counts[:, g["pos"].to_numpy()] @ np.stack([np.ones(len(m)), m, m * m, own, own * own, m * own, np.where(ok, var, 0.0), ok.astype(float)], 1)
+            col = np.divide(sums[:, 1], sums[:, 0], out=np.zeros(n_boot), where=sums[:, 0] > 0)
+            out += np.column_stack([sums, col * sums[:, 1], col * (sums[:, 1] - sums[:, 3])])
+        return pd.DataFrame(out, columns=names).assign(boot=np.arange(n_boot))[["boot", *names]]
+
+    parts = cells.groupBy("bucket").applyInPandas(run, "boot int, " + ", ".join(f"{x} double" for x in names))
+    t = parts.groupBy("boot").agg(*[F.sum(x).alias(x) for x in names]).withColumn("g", F.col("s") / F.col("n"))
+    g = F.col("g")
+    ss_a = F.col("r2") - 2 * g * F.col("r") + g * g * F.col("n")
+    ss_p = F.col("cs") - 2 * g * F.col("s") + g * g * F.col("n")
+    ss_e = F.col("q") - 2 * F.col("mr") + F.col("r2") - 2 * (F.col("cd") - g * (F.col("s") - F.col("r"))) + ss_p
+    pos = lambda x: F.greatest(F.lit(0.0), x)
+    ms = t.select(
+        (ss_a / max(n_a - 1, 1)).alias("a"), (ss_p / max(n_p - 1, 1)).alias("p"), (ss_e / max((n_a - 1) * (n_p - 1), 1)).alias("e"),
+        F.when(F.col("nv") > 0, F.col("v") / F.when(F.col("nv") > 0, F.col("nv"))).otherwise(0.0).alias("rep"),
+    )
+    s2 = ms.select(pos((F.col("a") - F.col("e")) / n_p).alias("sa"), pos((F.col("p") - F.col("e")) / n_a).alias("sigma2_pair"), pos(F.col("e") - F.col("rep") / max(replicates, 1)).alias("sigma2_account_pair"))
+    total = F.col("sa") + F.col("sigma2_pair") + F.col("sigma2_account_pair")
+    share = lambda x: F.when(total > 0, x / F.when(total > 0, total))
+    fit = s2.select("sigma2_pair", "sigma2_account_pair", share(F.col("sa") + F.col("sigma2_account_pair")).alias("icc_idiographic"), share(F.col("sa")).alias("icc_account_only"))
+    stats = ["icc_idiographic", "icc_account_only", "sigma2_pair", "sigma2_account_pair"]
+    q = fit.agg(*[F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in stats])
+    return q.select(F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c)[0].alias("lo"), F.col(c)[1].alias("hi")) for c in stats])).alias("e")).select("e.*")

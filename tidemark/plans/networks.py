@@ -256,7 +256,7 @@ def anova_components(s, d):
 
 
 def bootstrap_components(s, d):
-    """Percentile intervals of the components over resampled accounts."""
+    """A19 over a table of years and nations, 50 resamples; of accounts: ``bootstrap_icc``."""
     e = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     cells = e.groupBy(F.year("o_orderdate").alias("y"), F.col("s_nationkey").alias("k")).agg(F.avg("l_quantity").alias("x"))
     draws = S.resamples(cells, "y", 50, "boot")
@@ -267,6 +267,12 @@ def bootstrap_components(s, d):
     return long.select("e.component", F.round("e.lo", 4).alias("lo"), F.round("e.hi", 4).alias("hi"))
 
 
+def bootstrap_icc(s, d):
+    """500 resamples of the accounts of the edge table, intervals of both shares and both components."""
+    edges = _edges(s, d).withColumn("weight_sd", F.coalesce("weight_sd", F.lit(0.0)))  # no replicate, no noise: as in the reference
+    return S.bootstrap_shares(edges).select("component", *_r("lo", "hi", digits=4))
+
+
 def between_account_spearman(s, d):
     """Rank correlation of out-strengths with the mean network, account by account."""
     own = N.strengths(_edges(s, d), "account_hash").select("account_hash", "name", F.round("out_strength", 6).alias("x"))
@@ -306,7 +312,7 @@ QUERIES = {
         call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, stacked_edges, pooled_network, edge_deviations,
         deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
         centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, standardise_matrix, trait_correlations,
-        lag1_cross_moments, anova_components, bootstrap_components, between_account_spearman, residual_convergence, mock_ratings, vocabulary_checks,
+        lag1_cross_moments, anova_components, bootstrap_components, bootstrap_icc, between_account_spearman, residual_convergence, mock_ratings, vocabulary_checks,
     )
 }
 
