@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import covariation as C
-from tidemark.plans import dense
+from tidemark.plans import dense, networks
 from tidemark.sources.tables import table
 
 DATA = "/root/testdata/sf0.001"
@@ -23,3 +23,11 @@ def test_every_dimension_takes_part(spark, name):
         want = C.partial_correlation(C.ledoit_wolf(C.standardise(x))[0])
         mine = got[got.label == label]
         assert np.allclose(mine.weight, want[mine.src.astype(int), mine.dep.astype(int)], atol=1e-8)
+
+
+def test_no_trait_is_left_out(spark):
+    names = {r.name for r in table(spark, DATA, "trait_vocab").collect()}
+    large = DATA.replace("sf0.001", "sf0.1")  # the smallest scale has no edges
+    assert {r.dep for r in networks.QUERIES["matrix_pivot_unpivot_whole"](spark, large).select("dep").distinct().collect()} == names
+    rated = networks.QUERIES["mock_ratings_whole"](spark, DATA)
+    assert {r.name for r in rated.select("name").distinct().collect()} == names and rated.count() == len(names) * table(spark, DATA, "chunks").select("chunk_id").distinct().count()

@@ -112,14 +112,22 @@ def strengths(s, d):
     return N.strengths(_edges(s, d), "account_hash").select("account_hash", "name", *_r("out_strength", "in_strength", "out_strength_signed"))
 
 
-def matrix_pivot_unpivot(s, d):
-    """Long to wide and back, self edges gone."""
-    names = [r["name"] for r in _vocab(s, d).orderBy("trait_idx").limit(8).toLocalIterator()]
+def _pivoted(s, d, names):
     wide = _pooled(s, d).filter(F.col("dep").isin(names)).groupBy("src").pivot("dep", names).agg(F.first("weight"))
     long = wide.unpivot("src", names, "dep", "weight").filter("weight is not null and src != dep")
     return long.select("src", "dep", *_r("weight"))
 
 
+def matrix_pivot_unpivot(s, d):
+    """Long to wide and back, self edges gone; the first 8 names as dependents."""
+    return _pivoted(s, d, [r["name"] for r in _vocab(s, d).orderBy("trait_idx").limit(8).toLocalIterator()])
+
+
+def matrix_pivot_unpivot_whole(s, d):
+    """P5, P6, P7 over every name of the vocabulary."""
+    return _pivoted(s, d, [r["name"] for r in _vocab(s, d).orderBy("trait_idx").toLocalIterator()])
+
+
 def pagerank(s, d):
     """G3, G4."""
     return N.pagerank(_matrix(s, d), "network", steps=30).select("name", F.round("value", 8).alias("value"))
@@ -289,14 +297,23 @@ def residual_convergence(s, d):
     return per.agg(F.count("r").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.min("r"), 6).alias("lo"), F.round(F.max("r"), 6).alias("hi"))
 
 
-def mock_ratings(s, d):
-    """Seeded ratings for chunk and trait."""
+def _mocked(s, d, vocab):
     chunks = table(s, d, "chunks").select("chunk_id").distinct()
-    names = F.array(*[F.lit(r["name"]) for r in _vocab(s, d).orderBy("trait_idx").limit(5).toLocalIterator()])
+    names = F.array(*[F.lit(r["name"]) for r in vocab.toLocalIterator()])
     rows = chunks.select("chunk_id", F.explode(names).alias("name"))
     return rows.select("chunk_id", "name", R.mock_rating(F.concat_ws("|", "chunk_id", "name")).alias("rating"))
 
 
+def mock_ratings(s, d):
+    """Seeded ratings for chunk and trait, the first 5 traits."""
+    return _mocked(s, d, _vocab(s, d).orderBy("trait_idx").limit(5))
+
+
+def mock_ratings_whole(s, d):
+    """C5 for every trait of the vocabulary."""
+    return _mocked(s, d, _vocab(s, d))
+
+
 def vocabulary_checks(s, d):
     """The vocabulary's own rules: unique names, mutual antonyms, equal valences."""
     v = _vocab(s, d)
@@ -310,9 +327,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, stacked_edges, pooled_network, edge_deviations,
-        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
+        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, matrix_pivot_unpivot_whole, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
         centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, standardise_matrix, trait_correlations,
-        lag1_cross_moments, anova_components, bootstrap_components, bootstrap_icc, between_account_spearman, residual_convergence, mock_ratings, vocabulary_checks,
+        lag1_cross_moments, anova_components, bootstrap_components, bootstrap_icc, between_account_spearman, residual_convergence, mock_ratings, mock_ratings_whole, vocabulary_checks,
     )
 }
 
@@ -427,6 +444,7 @@ from edges e join pooled p using (src, dep) left join density a on a.account_has
     "symmetrised_network": "with " + EDGES + "select account_hash, least(src, dep) as a, greatest(src, dep) as b, round(sum(weight) / 2, 6) as weight from edges group by 1, 2, 3",
     "strengths": "with " + EDGES + _STR + "select account_hash, name, round(out_strength, 6) as out_strength, round(in_strength, 6) as in_strength, round(out_strength_signed, 6) as out_strength_signed from st",
     "matrix_pivot_unpivot": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where dep in (select name from trait_vocab order by trait_idx limit 8) and src <> dep",
+    "matrix_pivot_unpivot_whole": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where src <> dep",
     "pagerank": _rank("1.0 / k::double"),
     "personalised_pagerank": _rank("likableness / sum(likableness) over ()"),
     "account_personalised_pagerank": ACCOUNT_RANK,
@@ -478,6 +496,8 @@ per as (select account_hash, {_pearson('dv', 'w')} as r from (select account_has
 select count(r) as n, round(avg(r), 6) as mean, round(min(r), 6) as lo, round(max(r), 6) as hi from per""",
     "mock_ratings": """select chunk_id, name, greatest(0, least(100, round_even(('0x' || substr(sha256(chunk_id || '|' || name), 1, 8))::bigint / 4294967295.0::double * 100, 0))) as rating
 from (select distinct chunk_id from chunks) cross join (select name from trait_vocab order by trait_idx limit 5)""",
+    "mock_ratings_whole": """select chunk_id, name, greatest(0, least(100, round_even(('0x' || substr(sha256(chunk_id || '|' || name), 1, 8))::bigint / 4294967295.0::double * 100, 0))) as rating
+from (select distinct chunk_id from chunks) cross join trait_vocab""",
     "vocabulary_checks": """select v.domain, count(*) as n, count(distinct v.name) as n_names, count(*) filter (m.antonym = v.name) as n_mutual, count(*) filter (v.valence = 'pos') as n_pos
 from trait_vocab v left join trait_vocab m on m.name = v.antonym group by 1""",
 }
