@@ -42,10 +42,12 @@ def frames(sentence: str) -> tuple[str, str] | None:
 
 
 def last_token(text: str) -> str | None:
-    """The final word, where the text ends in a letter and not in a mark."""
+    """The final word, of any length, where the text ends in a letter and not in a mark."""
     t = text.rstrip("…� \n\t")
-    m = re.search(r"[^\W\d_]+$", t)
-    return m[0].lower() if m else None
+    at = len(t)
+    while at and t[at - 1].isalpha():
+        at -= 1
+    return t[at:].lower() or None
 
 
 def corpus_words(df: DataFrame, *columns: str) -> DataFrame:
@@ -62,17 +64,24 @@ def corpus_words(df: DataFrame, *columns: str) -> DataFrame:
     return map_batches(spread(df.select(*columns)), run, "word string, n bigint", ["word", "n"]).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def trie(words: DataFrame, least: int = 2) -> DataFrame:
-    """Nodes of the trie of the known words: ``prefix``, ``below`` (longer known words), ``is_word``."""
+def trie(words: DataFrame, depths: list[int], least: int = 2) -> DataFrame:
+    """Nodes of the trie of the known words at the given depths: ``prefix``, ``below`` (longer known
+    words), ``is_word``. A word has one row per depth it reaches, whatever its own length."""
     known = words.filter(F.col("n") >= least).select("word")
-    nodes = known.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
-    nodes = nodes.select(F.substring("word", 1, 256).substr(F.lit(1), F.col("k")).alias("prefix"), (F.col("k") == F.length("word")).alias("whole"))
+    at = F.array(*[F.lit(d) for d in depths]).cast("array<int>")
+    nodes = known.select("word", F.explode(F.filter(at, lambda d: d <= F.length("word"))).alias("k"))
+    nodes = nodes.select(F.col("word").substr(F.lit(1), F.col("k")).alias("prefix"), (F.col("k") == F.length("word")).alias("whole"))
     return nodes.groupBy("prefix").agg(F.count_if(~F.col("whole")).alias("below"), F.max("whole").alias("is_word"))
 
 
-def unknown_prefixes(tokens: DataFrame, nodes: DataFrame, token: str = "token") -> DataFrame:
-    """``tokens`` whose ``token`` is no known word but a proper prefix of one."""
-    hit = nodes.filter("below > 0 and not is_word").select(F.col("prefix").alias(token))
+def unknown_prefixes(tokens: DataFrame, words: DataFrame, token: str = "token") -> DataFrame:
+    """``tokens`` whose ``token`` is no known word but a proper prefix of one.
+
+    The trie is laid out only at the depths at which some token ends; d different depths need tokens of
+    d (d + 1) / 2 characters in all, so their list stays small.
+    """
+    depths = sorted(r[0] for r in tokens.select(F.length(token).alias("d")).filter("d > 0").distinct().toLocalIterator())
+    hit = trie(words, depths).filter("below > 0 and not is_word").select(F.col("prefix").alias(token))
     return tokens.join(hit, token, "left_semi")
 
 

@@ -1,7 +1,7 @@
 """Problem 7: prompt and response pairs whose response is no proper answer.
 
-Truncation is found by evidence about endings: JSON or a code fence left open; a sorted neighbour
-that extends the text (shortened versions); a length shared by suspiciously many texts; a final
+Truncation is found by evidence about endings: JSON or a code fence left open; a neighbour that
+extends the text in the order of all prose responses (shortened versions); a length shared by suspiciously many texts; a final
 token that is an unknown proper prefix of known words; a last sentence that is the beginning of one
 in the request or has the frame of no whole sentence in the corpus. Copy, refusal and language rules
 follow. One type per call, the first that holds of: empty, copy, refusal, truncated, wrong_language.
@@ -17,7 +17,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.arrow import map_batches, spread
 from tidemark.llm import endings
@@ -129,14 +129,13 @@ def refuses(request: str, response: str, value, around: str) -> bool:
         said = [v for k, v in value.items() if isinstance(v, str) and k.lower() in OWN_KEYS and k.lower() not in ("quote", "text", "direction")]
         answered = any(isinstance(v, (int, float)) and not isinstance(v, bool) or (isinstance(v, list) and v) for v in value.values())
         return not answered and any(REFUSAL.search(s) for s in said) or (not answered and bool(REFUSAL.search(around)))
-    text = value if isinstance(value, str) else response
-    said = endings.sentences(text)
-    if not said or len(said) > 4 or len(text) > 500 or isinstance(value, (list, int, float)):
-        return False
-    if not REFUSAL.search(" ".join(said[:2])):
+    if isinstance(value, (list, int, float)):
         return False
+    said = [s.strip() for s in endings.sentences(value if isinstance(value, str) else response)]
     theirs = {s.strip() for s in endings.sentences(request)}
-    return not any(s.strip() in theirs for s in said)
+    declining = sum(s not in theirs and bool(REFUSAL.search(s)) for s in said)
+    answering = sum(s in theirs for s in said)
+    return declining > answering
 
 
 def wrong_language(request: str, response: str, value, around: str) -> bool:
@@ -159,7 +158,7 @@ def judge(request: str | None, response: str | None) -> tuple[str | None, str |
     """(type, None), or (None, ending) where only the ending of a prose answer is in doubt.
 
     ``ending``: ``cut`` where the request shows that the last sentence is a beginning, ``open``
-    where it has no final mark, ``shut`` where nothing is wrong with it.
+    where it has no final mark, ``shut`` where nothing is wrong with it; None beside a sound object.
     """
     request = request or ""
     if response is None or not response.strip():
@@ -178,7 +177,7 @@ def judge(request: str | None, response: str | None) -> tuple[str | None, str |
     if value is ... and (open_json(text) or text.count("```") % 2):
         return "truncated", None
     if value is not ... and not isinstance(value, str):
-        return ("wrong_language", None) if wrong_language(request, text, value, around) else (None, "shut")
+        return ("wrong_language", None) if wrong_language(request, text, value, around) else (None, None)
     prose = value if isinstance(value, str) else text
     foreign = wrong_language(request, text, value, around)
     if endings.CUT_MARK.search(prose) and not prose.rstrip().endswith("..."):
@@ -200,56 +199,73 @@ def judge(request: str | None, response: str | None) -> tuple[str | None, str |
 
 
 def staged(calls: DataFrame) -> DataFrame:
-    """Rows with a defect or an ending in doubt: key, kind, ending, token, frames, text, length."""
+    """Rows with a defect, and all prose: key, kind, ending, token, frames, text, length.
+
+    A sound JSON answer is neither: it cannot be the longer version of a prose text.
+    """
     schema = "key string, kind string, ending string, token string, frame_a string, frame_b string, text string, length int"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batch: pa.RecordBatch):
         for key, request, response in zip(*(c.to_pylist() for c in batch.columns)):
             kind, ending = judge(request, response)
-            if kind is not None or ending in ("cut", "open"):
-                f = endings.frames(endings.sentences(response)[-1]) if ending else None
-                a, b = f or (None, None)
-                yield key, kind, ending, endings.last_token(response) if ending else None, a, b, response.strip() if ending else None, len(response or "")
+            if kind is None and ending is None:
+                continue
+            last = endings.sentences(response)[-1:] if ending in ("cut", "open") else []
+            a, b = (endings.frames(last[0]) if last else None) or (None, None)
+            yield key, kind, ending, endings.last_token(response) if last else None, a, b, response.strip() if ending else None, len(response or "")
 
     return map_batches(spread(calls.filter("key is not null").select("key", "request", "response")), run, schema, names)
 
 
 def shortened(texts: DataFrame) -> DataFrame:
-    """Rows of (key, text) whose successor in text order extends them: ``key``.
+    """The texts in doubt that another text extends: ``text``. ``texts``: text, doubt.
 
-    The texts are range-partitioned and sorted; equal texts follow each other, so each run is held
-    until the next different text is seen. The last run of a partition has no successor in it; for
-    such a run the other evidence about the ending has to do.
+    Different texts are sorted, each once however many rows share it. All texts that begin with a text
+    follow it at once, so its successor decides. The successor of a partition's last text is the first
+    text of the next partition that has any; partitions hand these two on, a row for each partition.
     """
+    schema = "text string, part int, head string, doubt boolean"
 
     def run(batches):
-        held, keys = None, []
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text == held:
-                    keys.append(key)
-                    continue
-                if held and text.startswith(held):
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string())})
-                held, keys = text, [key]
+        from pyspark import TaskContext
 
-    ordered = texts.select("key", "text").repartitionByRange("text").sortWithinPartitions("text")
-    return ordered.mapInArrow(run, "key string")
-
-
-def open_endings(rows: DataFrame, calls: DataFrame, nodes: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+        part, head, held, asked = TaskContext.get().partitionId(), None, None, False
+        for batch in batches:
+            out = []
+            for text, doubt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held is None:
+                    head = text
+                elif asked and text.startswith(held):
+                    out.append(held)
+                held, asked = text, doubt
+            n = len(out)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_())], names=["text", "part", "head", "doubt"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([part], pa.int32()), pa.array([head]), pa.array([asked])], names=["text", "part", "head", "doubt"])
+
+    once = texts.filter("text is not null").groupBy("text").agg(F.max("doubt").alias("doubt"))
+    rows = cut_lineage(once.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, schema))
+    ends = rows.filter("part is not null").withColumn("next", F.lead("head").over(Window.orderBy("part")))
+    return rows.filter("part is null").select("text").unionByName(ends.filter(F.col("doubt") & F.col("next").startswith(F.col("text"))).select("text"))
+
+
+def open_endings(rows: DataFrame, calls: DataFrame, words: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
     """Keys of the open endings that evidence shows to be cuts.
 
-    An open ending is a cut where a neighbour extends it, where its final token is an unknown proper
-    prefix, or where its last sentence has the frame of no whole sentence of the corpus. A length
-    that is a limit of the field makes a frame count only if both of its keys are known.
+    An open ending is a cut where a neighbour among all prose responses extends it, where its final
+    token is an unknown proper prefix, or where its last sentence has the frame of no whole sentence of
+    the corpus. A length that is a limit of the field makes a frame count only if both of its keys are
+    known.
     """
-    doubt = rows.filter("ending = 'open' and kind is null")
-    nodes = nodes if nodes is not None else endings.trie(endings.corpus_words(calls, "request", "response"))
+    open_rows = (F.col("ending") == "open") & F.col("kind").isNull()
+    doubt = rows.filter(open_rows)
+    words = words if words is not None else endings.corpus_words(calls, "request", "response")
     whole = whole if whole is not None else endings.sentence_frames(calls, "request", "response")
-    unknown = endings.unknown_prefixes(doubt.filter("token is not null").select("key", "token"), nodes).select("key")
-    neighbour = shortened(doubt)
+    unknown = endings.unknown_prefixes(doubt.filter("token is not null").select("key", "token"), words).select("key")
+    longer = shortened(rows.select("text", F.coalesce(open_rows, F.lit(False)).alias("doubt")))
+    neighbour = doubt.join(longer, "text", "left_semi").select("key")
     keys = doubt.select("key", "length", F.explode(F.array_distinct(F.array("frame_a", "frame_b"))).alias("frame"))
     framed = keys.join(whole, "frame", "left_semi").groupBy("key", "length").agg(F.count("*").alias("n"))
     spikes = endings.length_spikes(calls.select(F.length("response").alias("length")), "length").withColumn("limit", F.lit(True))
@@ -258,10 +274,10 @@ def open_endings(rows: DataFrame, calls: DataFrame, nodes: DataFrame | None = No
     return unknown.unionByName(neighbour).unionByName(unframed).distinct()
 
 
-def cut_keys(rows: DataFrame, calls: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def cut_keys(rows: DataFrame, calls: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Keys of all calls whose response breaks off."""
     sure = rows.filter("kind = 'truncated' or (kind is null and ending = 'cut')").select("key")
-    return sure.unionByName(open_endings(rows, calls, nodes)).distinct()
+    return sure.unionByName(open_endings(rows, calls, words)).distinct()
 
 
 def found(calls: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Problem 3: texts that were cut, and how often each chunk strategy and each model cuts.
 
-Evidence on a chunk: its final token is an unknown proper prefix of known words (vocabulary trie of
-all chunk texts), it ends in a cut mark, its length is a limit many texts share, ``n_chars`` counts
-more than the text has, and the length that its own items add up to. The last is exact where all
-items are at hand (only lengths and last letters are joined, never texts) and then decides; where
-items are missing, the trie together with a length signal does. Responses are judged by the
-evidence about endings in ``pairs``; empty ones, copies and refusals are no cuts.
+Votes on a chunk are added up. For a cut: its final token is an unknown proper prefix of known words
+(vocabulary trie of all chunk texts), it ends in a cut mark, ``n_chars`` counts more than the text has,
+or it does not end as its last item ends (two each); its length is a limit many texts share, or it has
+no final mark (one each). Against it: it ends as its last item ends (three). Two votes flag the chunk.
+Where its last item is missing, trie and length alone decide; only the last 24 characters of an item
+are joined, never texts. Responses are judged by the evidence about endings in ``pairs``; empty ones,
+copies and refusals are no cuts.
 
 Null and blank texts are none. Rows repeated with another text are each judged; one that is cut
-flags the chunk. Null ids are left out, as are chunks' null item lists from the exact check. Extra
-columns are ignored. Shares are taken over distinct ids with a text that is not blank.
+flags the chunk. Null ids are left out; null and empty item lists and blank last items say nothing.
+Texts are read whole, final tokens of any length. Extra columns are ignored. Shares are taken over
+distinct ids with a text that is not blank.
 """
 
 from __future__ import annotations
@@ -24,71 +26,60 @@ from tidemark.session import cut_lineage
 BLANK = " \t\n\r\f\v"
 
 
-def pieces(items: DataFrame) -> DataFrame:
-    """What each item adds to a chunk: ``item_id``, length of its piece and its last character.
+#: Votes: what each piece of evidence counts, and how many flag a chunk.
+VOTES = {"broken": 2, "marked": 2, "missing": 2, "other_end": 2, "limit": 1, "open": 1, "same_end": -3}
+LEAST = 2
 
-    Bodies are taken as first fetched (least ``fetched_utc``; of equal ones the least body).
-    """
+
+def item_ends(items: DataFrame, width: int = 24) -> DataFrame:
+    """``item_id`` and the end of its body as first fetched (of equal fetches the least body)."""
     body = F.trim(F.coalesce("body", F.lit("")), F.lit(BLANK))
-    piece = F.struct(
-        F.col("fetched_utc").isNull().alias("later"),
-        F.col("fetched_utc"),
-        (F.length(F.coalesce("subreddit", F.lit("unknown"))) + 3 + F.length(body)).alias("size"),
-        F.when(body != "", F.substring(body, -1, 1)).otherwise(F.lit(" ")).alias("tail"),
-    )
-    return items.filter("item_id is not null").groupBy("item_id").agg(F.min(piece).alias("p")).select("item_id", "p.size", "p.tail")
+    row = F.struct(F.col("fetched_utc").isNull().alias("later"), F.col("fetched_utc"), F.xxhash64(body).alias("print"), F.right(body, F.lit(width)).alias("tail"))
+    return items.filter("item_id is not null").groupBy("item_id").agg(F.min(row).alias("p")).select("item_id", F.col("p.tail").alias("tail"))
 
 
-def expected(chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """Per chunk text: ``chunk_id``, ``print``, ``size`` its items add up to and their last character.
+def chunk_signals(chunks: DataFrame, width: int = 24) -> DataFrame:
+    """Per chunk: id, print (hash of the text), lengths, last item, final token, marks and last characters.
 
-    Only chunks all of whose items are found are returned.
+    The endings are read off the reversed text, in time linear in them.
     """
-    rows = chunks.select("chunk_id", "print", "item_ids").dropDuplicates(["chunk_id", "print"])
-    parts = rows.select("chunk_id", "print", F.posexplode("item_ids").alias("pos", "item_id"))
-    joined = parts.join(pieces(items), "item_id", "left")
-    sums = joined.groupBy("chunk_id", "print").agg(
-        F.count("*").alias("n"), F.count("size").alias("known"), F.sum(F.col("size") + 2).alias("total"), F.max_by("tail", "pos").alias("tail")
-    )
-    return sums.filter("n = known").select("chunk_id", "print", (F.col("total") - 2).alias("size"), "tail")
-
-
-def chunk_signals(chunks: DataFrame) -> DataFrame:
-    """Per chunk: id, print (hash of the text), lengths, final token, marks and last character."""
     text = F.col("text")
     rows = chunks.filter("chunk_id is not null and text is not null").filter(F.trim(text, F.lit(BLANK)) != "")
+    back = F.reverse(text)
     return rows.select(
         "chunk_id",
         F.xxhash64("text").alias("print"),
-        "item_ids",
+        F.try_element_at("item_ids", F.lit(-1)).alias("item_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.length(text).cast("long").alias("length"),
-        F.substring(text, -1, 1).alias("end"),
-        F.substring(text, -64, 64).alias("final"),
-    ).withColumns(
-        {
-            "marked": F.col("final").rlike(r"(?:…|�)\s*$"),
-            "shut": F.col("final").rlike(r"[.!?][\"'”’)\]*_~`]*\s*$"),
-            "token": F.lower(F.regexp_extract("final", r"([\p{L}]+)(?:…|�|\s)*$", 1)),
-        }
+        F.right(F.rtrim(text, F.lit(BLANK)), F.lit(width)).alias("end"),
+        back.rlike(r"^\s*[…�]").alias("marked"),
+        back.rlike(r"^\s*[\"'”’»)\]*_~`]*[.!?。]").alias("shut"),
+        F.lower(F.reverse(F.regexp_extract(back, r"^[…�\s]*(\p{L}+)", 1))).alias("token"),
     )
 
 
-def cut_chunks(chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """Chunks that lack the end of what their items say: ``chunk_id``."""
+def chunk_votes(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """Per chunk text: ``chunk_id``, ``print`` and one boolean per kind of evidence in ``VOTES``."""
     rows = cut_lineage(chunk_signals(chunks).dropDuplicates(["chunk_id", "print", "n_chars"]))
-    nodes = endings.trie(endings.corpus_words(chunks, "text"))
+    words = endings.corpus_words(chunks, "text")
     tokens = rows.filter("token != '' and not shut").select("chunk_id", "print", "token")
-    unknown = endings.unknown_prefixes(tokens, nodes).select("chunk_id", "print").distinct().withColumn("unknown", F.lit(True))
+    unknown = endings.unknown_prefixes(tokens, words).select("chunk_id", "print").distinct().withColumn("broken", F.lit(True))
     spikes = endings.length_spikes(rows.filter("not shut"), "length").withColumn("limit", F.lit(True))
-    known = expected(rows, items)
-    #: Length evidence: 2 decides alone, 1 supports a broken final token.
-    all_rows = rows.drop("item_ids", "final").join(known, ["chunk_id", "print"], "left").join(unknown, ["chunk_id", "print"], "left").join(spikes, "length", "left")
-    broken = F.coalesce("unknown", F.lit(False)) | F.col("marked")
-    support = F.coalesce("limit", F.lit(False)) | (F.coalesce("n_chars", F.lit(0)) > F.col("length")) | ~F.col("shut")
-    exact = (F.col("size") > F.col("length")) | ((F.col("size") >= F.col("length") - 1) & F.col("marked") & (F.col("tail") != F.col("end")))
-    loose = (broken & support) | (F.coalesce("n_chars", F.lit(0)) > F.col("length")) | (F.coalesce("limit", F.lit(False)) & ~F.col("shut"))
-    return all_rows.filter(F.when(F.col("size").isNotNull(), exact).otherwise(loose)).select("chunk_id").distinct()
+    tails = item_ends(items).join(rows.select("item_id").distinct(), "item_id", "left_semi")
+    all_rows = rows.join(tails, "item_id", "left").join(unknown, ["chunk_id", "print"], "left").join(spikes, "length", "left")
+    same = F.when(F.length("tail") > 0, F.endswith("end", F.right("tail", F.length("end"))))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return all_rows.select(
+        "chunk_id", "print", no(F.col("broken")).alias("broken"), "marked", no(F.col("n_chars") > F.col("length")).alias("missing"),
+        no(~same).alias("other_end"), no(F.col("limit")).alias("limit"), (~F.col("shut")).alias("open"), no(same).alias("same_end"),
+    )
+
+
+def cut_chunks(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """Chunks that lack the end of what their items say: ``chunk_id``."""
+    votes = sum((F.col(k).cast("int") * v for k, v in VOTES.items()), F.lit(0))
+    return chunk_votes(chunks, items).filter(votes >= LEAST).select("chunk_id").distinct()
 
 
 def cut_calls(calls: DataFrame) -> DataFrame:
