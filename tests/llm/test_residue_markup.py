@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tidemark.llm import markup, residue
@@ -9,14 +10,30 @@ FINE = ["[deleted]", "[removed]", "", None, "The letter literally started with '
         '```\nprint(f"hello {name}")\n```\nfine', "{{Infobox place\n|name=Key\n|count=5\n}}\nok", "n_{i}^{4} \\cdot c and \\textbf{court}", "We got a 502 for an hour and the status page said all green."]
 
 
-@pytest.mark.parametrize("text", RESIDUE)
+PHRASES = ["The page you are looking for could not be found.", "The thread could not be loaded.", "Double-click to edit this text.", "To be filled in by the editor.", "La page que vous cherchez n'existe plus.", "Dear <FIRST_NAME>, welcome.", "Hi {{" + "a" * 90 + "}}, hello", "Cette page n'existe pas sur le serveur",
+           "Ray ID 77", "Contact the administrator.", "Insert your text here", "Acceso denegado", "Bitte versuchen Sie es später", "Editor to supply", "Page cannot be displayed.", "Your session has expired. Log in again to continue.", "Something went wrong on our end. Go back to the home page.", "Lorem ipsum",
+           '{"error": 429, "message": "Too Many Requests", "id": "7ab"}']
+
+
+@pytest.mark.parametrize("text", RESIDUE + PHRASES)
 def test_residue(text):
-    assert max(residue.evidence(text).values()) >= 1
+    kinds, said, share = residue.evidence(text)
+    assert max(kinds.values()) + (share >= 1) >= 2
+    assert pa.compute.match_substring_regex(pa.array([text]), residue.PREFILTER).to_pylist() == [True]
 
 
 @pytest.mark.parametrize("text", FINE)
 def test_no_residue(text):
-    assert residue.evidence(text) == {}
+    assert residue.evidence(text)[0] == {}
+
+
+def test_duplication_and_hosts_decide(spark):
+    own = "We tried the oven twice this week, and it is fine. The soup was good as well. {} Your session has expired."
+    rows = [(f"i{k}", f"s{k}", None, own.format(w)) for k, w in enumerate(["Bread", "Cake", "Stew"])] + [("j", "s", None, own.format("Pie").replace("session", "link")), ("k", "s", "https://f.example/c/x/how_to_repair_a_tap/y/", "Repairing taps\nSomething went wrong. We like soup."), ("l", "s", "https://f.example/c/x/_/y/", "Soup\nSomething went wrong. We like soup.")]
+    df = spark.createDataFrame(rows, "item_id string, subreddit string, permalink string, body string")
+    assert {r.item_id for r in residue.found(df).collect()} == {"i0", "i1", "i2", "k"}
+    assert {r.item_id for r in residue.totals(df, copies=99).filter("total >= 2").collect()} == {"k"}
+    assert {r.item_id for r in residue.totals(df, mismatch=9.0).filter("total >= 2").collect()} == {"i0", "i1", "i2"}
 
 
 def test_residue_tables(spark):
@@ -29,7 +46,7 @@ def test_residue_tables(spark):
 
 MARKUP = [("It was **so** good", {"markdown"}), ("a <b>bold</b> word", {"html"}), ("see [[Key|lock]] there", {"wiki"}), ("\\textbf{court} won", {"latex"}), ("5 &lt; 6", {"html"}), ("\n# Title\n\ntext", {"markdown"}), ("{{cite web|title=X|year=2019}}", {"wiki"}), ("$n^2 + b_3$ holds", {"latex"}), ("```\nx = 1\n```", {"markdown"}), ("<p>a</p> and ''b c''", {"html", "wiki"}),
           ("| a | b |\n|---|---|\n| c | 4 |", {"markdown"}), ("== Key ==\ntext", {"wiki"}), ("\\(\\sqrt{n} \\leq a\\)", {"latex"}), ("~~no~~ yes", {"markdown"})]
-NO_MARKUP = ["I got 8 * 5 * 4 wrong, <3 to whoever caught it", "between $11 and $58", "if a < b and c > d then", "called max_retry_count with 2_000_000 rows", "¯\\(ツ)/¯", "see https://wiki.example/page/749 now", "Hi {{first_name}} and <<author>> and *|FNAME|*", "#6 reason I like it", "plain words", "", "C:\\new\\file" if False else "a - b = c"]
+NO_MARKUP = ["I got 8 * 5 * 4 wrong, <3 to whoever caught it", "between $11 and $58", "if a < b and c > d then", "called max_retry_count with 2_000_000 rows", "¯\\(ツ)/¯", "see https://wiki.example/page/749 now", "Hi {{first_name}} and <<author>> and *|FNAME|*", "#6 reason I like it", "plain words", "", "a - b = c"]
 
 
 @pytest.fixture(scope="module")
