@@ -28,7 +28,7 @@ def test_no_residue(text):
 
 
 def test_duplication_and_hosts_decide(spark):
-    own = "We tried the oven twice this week, and it is fine. The soup was good as well. {} Your session has expired."
+    own = "We tried the oven twice this week, and it is fine. The soup was good as well. {}. Your session has expired."
     rows = [(f"i{k}", f"s{k}", None, own.format(w)) for k, w in enumerate(["Bread", "Cake", "Stew"])] + [("j", "s", None, own.format("Pie").replace("session", "link")), ("k", "s", "https://f.example/c/x/how_to_repair_a_tap/y/", "Repairing taps\nSomething went wrong. We like soup."), ("l", "s", "https://f.example/c/x/_/y/", "Soup\nSomething went wrong. We like soup.")]
     df = spark.createDataFrame(rows, "item_id string, subreddit string, permalink string, body string")
     assert {r.item_id for r in residue.found(df).collect()} == {"i0", "i1", "i2", "k"}
