@@ -33,6 +33,43 @@ def test_not_found(text):
     assert pii.find(text) == [] and pii.redact(text) == text
 
 
+CONTEXT = ["My neighbour Sabine Kowalska called again", "My boss, Xavier Dupont, told us", "thanks to Obinna Adeyemi, who fixed it", "Deepika Reddy said it would rain and Anton Q. Verhoeven agreed"]
+THINGS = ["My neighbour said the Silver Kettle called it a night", "Good Morning said the sign", "We met at Iris Lantern and it was fine", "Then Little Ansley said no", "the Rose Harvest called for rain"]
+
+
+@pytest.mark.parametrize("text", CONTEXT)
+def test_names_by_context(text):
+    assert {k for *_, k in pii.find(text)} == {"person_name"}
+    assert pii.candidates(pa.array([text])).to_pylist() == [True]
+
+
+@pytest.mark.parametrize("text", THINGS)
+def test_capitals_alone_are_no_names(text):
+    assert pii.find(text) == []
+
+
+FORMS = ["ring 613–555–0160", "write ada AT quick.example.com", "mail bob AT mail.quick.org", "id 945‑96‑2891", "kofi.mensah at example.org", "call 613\u00a0555\u00a00160", "my line is six–one–three–five–five–five–oh–one–six–zero", "au 12bis rue des Verriers", "au 12 bis, rue des Verriers",
+         "calle\tde la Noria 43", "ssn ٣٤٥-96-2891", "double-six one one two three four five six seven"]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_disguises_pass_the_prefilter(text):
+    assert pii.find(text), text
+    assert pii.candidates(pa.array([text])).to_pylist() == [True]
+
+
+def test_find_implies_candidate():
+    rnd = random.Random(12)
+    disguise = {" ": " \u00a0\u2009\u202f", "-": "-‐‑–—−", "a": "aаα", "e": "eе", "o": "oоο", "1": "1１", "0": "0０", ".": ".．", "@": "@＠"}
+    bases = [t for t, _ in CASES] + FORMS + CONTEXT
+    for _ in range(3000):
+        text = "".join(rnd.choice(disguise[c]) if c in disguise and rnd.random() < 0.25 else c for c in rnd.choice(bases))
+        if rnd.random() < 0.3:
+            text = text.replace(" ", rnd.choice(["  ", "\t", "\n", " "]), 1)
+        if pii.find(text):
+            assert pii.candidates(pa.array([text])).to_pylist() == [True], text
+
+
 def test_offsets_point_into_the_source():
     text = "x\u200bx Caf\u00e9 mail me: j\u043eel (at) velmail [dot] example or four four one five five five zero one two six, thanks"
     spans = pii.find(text)
