@@ -65,6 +65,41 @@ def test_no_markup(trees, text):
     assert markup.kinds(text, trees) == set() and markup.plain(text, trees) == text
 
 
+NESTED = [("- a <b>bold</b> word", {"markdown", "html"}, "- a bold word"), ("# The **Title** and [x](http://a.example/b)", {"markdown"}, "# The Title and x"), ("1. see \\textbf{x}", {"markdown", "latex"}, "1. see x"), ("> a &amp; *b*", {"markdown", "html"}, "> a & b"),
+          ("| a **b** | `c|d` |\n|---|---|\n| c | 4 |", {"markdown"}, "a b\t`c|d`\nc\t4"), ("a <ref name=x>Smith</ref> b", {"wiki"}, "a (Smith) b"), ("a <nowiki>x</nowiki>", {"wiki"}, "a x"), ("&lt;i&gt;x&lt;/i&gt;", {"html"}, "&lt;i&gt;x&lt;/i&gt;"), ("5 &lt; 6 &amp; 7", {"html"}, "5 < 6 & 7"),
+          ("{| class=\"w\"\n! a !! b\n|-\n| c || ''d''\n|}", {"wiki"}, "a\tb\nc\td"), ("\\begin{itemize}\\item a \\item \\textbf{b}\\end{itemize}", {"latex"}, "- a \n- b"), ("```py\nx = 1\n```", {"markdown"}, "```py\nx = 1\n```"), ("<pre><code>f(1 &lt; 2);</code></pre>", {"html"}, "```\nf(1 < 2);\n```"),
+          ("holds for $" + "x_1 + " * 30 + "y$ only", {"latex"}, "holds for $" + "x_1 + " * 30 + "y$ only"), ("Title\n=====\ntext", {"markdown"}, "# Title\ntext"), ("<script>var a = 1;</script>done", {"html"}, "done")]
+
+
+@pytest.mark.parametrize("text,kinds,out", NESTED)
+def test_nested_markup(trees, text, kinds, out):
+    assert markup.kinds(text, trees) == kinds
+    assert markup.plain(text, trees) == out
+    assert markup.plain(out, trees) == out
+
+
+#: Written by hand in the manner of public manuals and forum posts, not by the module's grammar.
+ELSEWHERE = [
+    ("Use *args* and **kwargs** in the signature.", 1), ("Press <kbd>Ctrl</kbd>+<kbd>C</kbd> to stop it.", 1), ("The [[Battle of Hastings|battle]] took place in 1066.", 1), ("By definition $e^{i\\pi} + 1 = 0$, which is neat.", 1), ("Water is H_{2}O in this notation.", 1), ("### Installing\n\nRun the script.", 1),
+    ("He was born in [[Lyon]] &mdash; the second city of France.", 1), ("> quoted from the manual\n\nI disagree.", 1), ("1. Preheat the oven\n2. Mix the flour", 1), ("![diagram](docs/diagram.png)", 1), ("See [the docs](https://docs.example/start) first.", 1), ("<!-- TODO: rewrite -->\nHello", 1), ("It is ~~wrong~~ right.", 1),
+    ("{{Citation needed}} for that claim.", 1), ("''Romeo and Juliet'' is a play.", 1), ("Let $x$ be a real number.", 1), ("\\section{Introduction} We begin here.", 1), ("Copyright &copy; 2019", 1), ("<p>First</p><p>Second</p>", 1), ("| a | b |\n| --- | --- |\n| 1 | 2 |", 1), ("- milk\n- eggs\n- bread", 1), ("Run `git status` now.", 1),
+    ("2 * 3 * 4 = 24", 0), ("The price went from $5 to $7 over the year.", 0), ("I paid 20$ and got 5$ back", 0), ("my_file_name.txt is missing", 0), ("We're #1 again!", 0), ("I <3 this place", 0), ("if x < 3 and y > 4 then stop", 0), ("AT&T and R&D are names", 0), ("rated 4.5* or 5* hotels", 0), ("he said \"no\" - and left", 0),
+    ("e-mail me at <kim@mail.example>", 0), ("C:\\Users\\kim\\notes", 0), ("Dear {{first_name}}, welcome", 0), ("see https://a.example/x_y_z for it", 0), ("a^2 is not b", 0), ("10 - 5 = 5", 0), ("it costs $10*3 for all", 0), ("the 3*4 grid and the 5*6 grid", 0), ("<username> is a placeholder", 0), ("temperatures of -5 to -10", 0), ("#throwback to last year", 0), ("~20 people and ~30 dogs", 0),
+]
+
+
+def test_trees_decide_on_texts_of_another_origin(trees):
+    right = sum(bool(markup.kinds(text, trees)) == bool(label) for text, label in ELSEWHERE)
+    proposed = sum(bool(markup.parse(text)) == bool(label) for text, label in ELSEWHERE)
+    assert right / len(ELSEWHERE) >= 0.9 and proposed / len(ELSEWHERE) < 0.85
+
+
+def test_deep_nesting_is_no_recursion(trees):
+    assert markup.plain("> " * 3000 + "**x**", trees).endswith("x")
+    deep = "".join(f"<div>" for _ in range(3000)) + "x" + "</div>" * 3000
+    assert markup.plain(deep, trees).strip() == "x"
+
+
 def test_held_out_accuracy(trees):
     import random
 
@@ -77,7 +112,7 @@ def test_structure_survives(trees):
     html = "<h2>Title</h2><ul><li>one</li><li>two</li></ul><pre><code>f(1 &lt; 2);</code></pre><table><tr><td>a</td><td>1</td></tr></table>"
     out = markup.plain(html, trees)
     assert "## Title" in out and "- one" in out and "f(1 < 2);" in out and "a\t1" in out and "<" not in out.replace("1 < 2", "")
-    assert markup.plain("# H\n\n**b** and `c` $n^2 + b_3$", trees) == "# H\n\nb and c $n^2 + b_3$"
+    assert markup.plain("# H\n\n**b** and `c` $n^2 + b_3$", trees) == "# H\n\nb and `c` $n^2 + b_3$"
     assert markup.plain(None, trees) is None
 
 

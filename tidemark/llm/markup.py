@@ -1,11 +1,17 @@
 """Problem 6: markup residue in text, and its conversion to plain text that keeps structure.
 
-A text is parsed into a forest of nodes (HTML elements, comments and entities; Markdown, wiki and
-LaTeX constructs). Boosted trees score each node from its density, attribute tokens, depth and
-siblings, and a bottom-up decoding picks the set of nodes of highest joint score in which no element
-is kept below a rejected one and nothing is kept below a code block. The trees are trained on the
-driver from a seeded grammar of constructs and of their lookalikes (arithmetic, prices, comparison
-signs, emoticons, snake_case, template slots); no table is read for it.
+A text is parsed into a forest of nodes (HTML elements, comments and entities; Markdown, wiki and LaTeX
+constructs); what stands inside a heading, list item, quotation, table, emphasis, link label, command or
+environment is parsed as its children, code and formulas are not. The patterns that propose nodes are
+loose: products, prices, hashtags, snake_case and template slots are proposed too. Boosted trees score
+each node from its density, attribute tokens, depth, siblings and shape, and a bottom-up decoding picks
+the set of nodes of highest joint score in which nothing is kept below a rejected element. The trees
+are trained on the driver from a seeded grammar of constructs and lookalikes; no table is read for it.
+
+Conversion edits the accepted nodes in place: headings become ``#`` lines, list items ``-`` or their
+number, quotations ``>``, table cells are parted by tabs, code stands in ticks or fences and formulas as
+they were; emphasis, links, tags and comments leave their text. Converting twice changes nothing more:
+entities that would turn into markup stay as they are.
 
 Null and blank bodies have no markup and come back as they are; texts are read whole.
 """
@@ -46,26 +52,26 @@ ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,3
 #: construct, syntax, pattern; earlier ones win where two begin at one place.
 CONSTRUCTS = [
     ("fence", "markdown", r"^(?P<f>```+|~~~+)[^\n]*\n(?:.*?\n)??(?P=f)[ \t]*$|^(?:```+|~~~+)[a-z]*\n(?:[^\n]*\n?)+\Z"),
+    ("wikiref", "wiki", r"<ref\b[^>/]*/>|<ref\b[^>]*>.*?</ref>|<nowiki>.*?</nowiki>"),
     ("comment", "html", r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[.*?\]\]>"),
     ("preblock", "html", r"<pre\b[^>]*>.*?</pre>"),
     ("tag", "html", r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s+[a-zA-Z_:][\w:.-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*\s*/?>"),
     ("entity", "html", ENTITY.pattern),
     ("wikitable", "wiki", r"^\{\|.*?^\|\}|^\{\|[^\n]*$"),
     ("wikilink", "wiki", r"\[\[[^\[\]\n]+\]\]"),
-    ("template", "wiki", r"\{\{(?:[A-Za-z][\w -]*)\s*(?:\n\s*)?\|[^{}]*\}\}|\{\{(?:Infobox|Reflist|Citation needed|Main|See also|Cite|Stub)[^{}]*\}\}"),
-    ("wikiref", "wiki", r"<ref\b[^>]*>.*?</ref>|<ref\b[^>]*/>|<nowiki>.*?</nowiki>"),
+    ("template", "wiki", r"(?<!\{)\{\{[^{}]*\}\}(?!\})"),
     ("extlink", "wiki", r"\[https?://[^\s\]]+ [^\]\n]+\]"),
     ("wikibold", "wiki", r"(?<!')'''''?(?!['\s])[^'\n]+?'''''?(?!')|(?<!')'''(?!['\s])[^\n]+?'''(?!')"),
     ("wikiital", "wiki", r"(?<!')''(?!['\s])[^'\n]+(?:'[^'\n]+)*''(?!')"),
     ("wikihead", "wiki", r"^(={2,6})[ \t]*[^=\n]+?[ \t]*={2,6}[ \t]*$"),
     ("environment", "latex", r"\\begin\{(?P<e>[a-zA-Z]+\*?)\}.*?\\end\{(?P=e)\}"),
     ("display", "latex", r"\$\$[^$]+\$\$|\\\[[^\]]*?\\\]|\\\((?!ツ)[^)\n]*?\\\)"),
-    ("inline", "latex", r"(?<![\w$\\])\$(?![\s\d$][^$\n]{0,40}\s\$)(?=[^$\n]*[\\^_={}+])[^$\n]{1,80}(?<![\s$])\$(?![\w$])"),
+    ("inline", "latex", r"(?<![\w$\\])\$(?![\s$])[^$\n]+(?<!\s)\$(?![\w$])"),
     ("group", "latex", r"\{\\[a-zA-Z]+\s[^{}\n]*\}"),
     ("command", "latex", r"\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*"),
     ("script", "latex", r"(?<=\w)[_^]\{[^{}\n]+\}(?:[_^]\{[^{}\n]+\})?"),
     ("setext", "markdown", r"^[^\n=#>|\-*+][^\n]*\n(?:={3,}|-{3,})[ \t]*$"),
-    ("heading", "markdown", r"^[ ]{0,3}#{1,6}(?![\d{#])[ \t]*\S[^\n]*$"),
+    ("heading", "markdown", r"^[ ]{0,3}#{1,6}(?![{#])[ \t]*[^\s#][^\n]*$"),
     ("mdtable", "markdown", r"^\|?[^|\n]+\|[^\n]*\n[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*(?:\n[^\n]*\|[^\n]*)*"),
     ("rule", "markdown", r"^[ ]{0,3}(?:-{3,}|\*{3,}|_{3,}|(?:- ){2,}-)[ \t]*$"),
     ("spoiler", "markdown", r">!.+?!<"),
@@ -78,7 +84,7 @@ CONSTRUCTS = [
     ("reflink", "markdown", r"\[[^\[\]\n]+\]\[[^\[\]\n]*\]|^\[[^\]\n]+\]:[ \t]*\S+[^\n]*$"),
     ("code", "markdown", r"(?<!`)`[^`\n]+`(?!`)"),
     ("strong", "markdown", r"(?<![*\w\\])\*{2,3}(?![\s*])[^*\n]+?(?<![\s*])\*{2,3}(?![*\w])|(?<![_\w\\])__(?![\s_])[^_\n]+(?<![\s_])__(?![_\w])"),
-    ("emphasis", "markdown", r"(?<![*\w\\])\*(?![\s*|])[^*\n]+?(?<![\s*|])\*(?![*\w])|(?<![_\w\\])_(?![\s_])[^_\n]+?(?<![\s_])_(?![_\w])"),
+    ("emphasis", "markdown", r"(?<![*\\])\*(?!\*)[^*\n]+\*(?!\*)|(?<![_\\])_(?![\s_])[^_\n]+(?<!\s)_(?!_)"),
     ("strike", "markdown", r"(?<!~)~~(?![\s~])[^~\n]+(?<![\s~])~~(?!~)"),
     ("superscript", "markdown", r"\^\([^()\n]+\)|(?<=[a-zA-Z])\^[a-zA-Z]+\b"),
 ]
@@ -112,7 +118,9 @@ CODE = {"fence", "preblock", "indented", "code"}
 LINE = {"heading", "quote", "bullet", "ordered", "rule", "setext", "mdtable", "indented", "fence", "wikihead", "wikitable"}
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _ATTR = re.compile(r"\s[a-zA-Z_:][\w:.-]*\s*=")
-_SLOT = re.compile(r"<<|<%|\{\{\{|\*\||\|\*|\$\{|%\(|@@|XX_|%[A-Z]+%")
+_SLOT = re.compile(r"<<|<%|\{\{\{|\*\||\|\*|\$\{|%\(|@@|XX_|%[A-Z]+%|\$[A-Z][A-Z_]+\$|\{\{ ?[a-z_.]+ ?\}\}")
+#: Templates that stand without parameters.
+_WIKI_NAMES = re.compile(r"\{\{ ?(?:Reflist|Citation needed|Main|See also|Stub|Cn|Clear|Notelist|Cite|cite|Infobox|TOC)\b")
 
 PREFILTER = (
     r"(?m)<[a-zA-Z/!]|&[#a-zA-Z]\w*;|\[\[|\{\{|\{\||''|^==|\\[a-zA-Z(\[]|\$|[_^]\{|\{\\|`|~~|\*\S|__|_[^_\n]+_(?:\W|$)|\]\(|\]\[|^\[[^\]]+\]:|"
@@ -120,42 +128,107 @@ PREFILTER = (
 )
 
 
+#: What opens a quotation or list item, all levels of it at once.
+LEAD = re.compile(r"(?:[ \t]*(?:>(?!!)|[*+-](?=[ \t])|\d{1,3}[.)](?=[ \t]))[ \t]*)+")
+FREE = {"quote", "bullet", "ordered"}
+LISTS = {"itemize", "enumerate", "description"}
+STYLED = set("textbf textit emph underline text title caption textsc textrm footnote section subsection subsubsection paragraph href".split())
+
+
 class Node:
-    __slots__ = ("construct", "start", "end", "name", "depth", "parent", "children", "partner", "features", "score")
+    __slots__ = ("construct", "start", "end", "name", "depth", "parent", "children", "partner", "inner", "score")
 
     def __init__(self, construct, start, end, name=""):
         self.construct, self.start, self.end, self.name = construct, start, end, name
-        self.depth, self.parent, self.children, self.partner, self.score = 0, None, [], None, 0.0
+        self.depth, self.parent, self.children, self.partner, self.inner, self.score = 0, None, [], None, None, 0.0
+
+
+def _inner(construct: str, raw: str, name: str) -> tuple[int, int] | None:
+    """The part of a construct that holds more text, or None."""
+    n = len(raw)
+    if construct in FREE:
+        return LEAD.match(raw).end(), n
+    if construct == "heading":
+        return re.match(r" {0,3}#+[ \t]*", raw).end(), n
+    if construct == "setext":
+        return 0, raw.index("\n")
+    if construct in ("strong", "emphasis"):
+        k = 3 if raw[:3] in ("***", "___") else 2 if construct == "strong" else 1
+        return k, n - k
+    if construct in ("strike", "spoiler"):
+        return 2, n - 2
+    if construct in ("wikibold", "wikiital"):
+        k = n - len(raw.lstrip("'"))
+        return k, n - k
+    if construct == "wikihead":
+        k = n - len(raw.lstrip("="))
+        return k, len(raw.rstrip("= \t"))
+    if construct in ("link", "reflink"):
+        return (1, raw.index("]")) if not re.match(r"\[[^\]]*\]:", raw) else None
+    if construct == "mdtable":
+        return 0, n
+    if construct == "wikitable" and "\n" in raw:
+        return raw.index("\n"), n
+    if construct == "wikiref" and raw.startswith("<ref") and not raw.endswith("/>"):
+        return raw.index(">") + 1, n - len("</ref>")
+    if construct == "environment" and name in LISTS | {"quote", "center", "document", "abstract", "quotation"}:
+        return raw.index("}") + 1, raw.rindex("\\end")
+    if construct == "group":
+        return re.match(r"\{\\[a-zA-Z]+\s", raw).end(), n - 1
+    if construct == "command" and name in STYLED and "{" in raw:
+        return raw.index("{") + 1, n - 1
+    return None
 
 
 def parse(text: str) -> list[Node]:
-    """The nodes in text order; HTML end tags share the node of their start tag as ``partner``."""
-    nodes, stack = [], []
+    """The nodes, parents before their children; HTML end tags share the node of their start tag as ``partner``."""
+    nodes: list[Node] = []
     wanted = _possible(text)
     if not wanted:
         return nodes
-    for m in _scanner(wanted).finditer(text):
-        construct = m.lastgroup if m.lastgroup in _SYNTAX else next(_NAMES[i] for i in wanted if m[_NAMES[i]] is not None)
-        node = Node(construct, m.start(), m.end())
+    within = tuple(i for i in wanted if _NAMES[i] not in LINE)
+    holding: list[Node] = []  # open elements and the constructs being looked into, innermost last
+    work = [(_scanner(wanted).finditer(text), 0, 0)]
+    while work:
+        found, base, level = work[-1]
+        m = next(found, None)
+        if m is None:
+            work.pop()
+            del holding[level:]
+            continue
+        construct = m.lastgroup if m.lastgroup in _SYNTAX else next(c for c, v in m.groupdict().items() if v is not None and c in _SYNTAX)
+        raw = m[0]
+        node = Node(construct, base + m.start(), base + m.end())
         if construct == "tag":
-            node.name = _TAG.match(m[0])[1].lower()
-            if m[0][1] == "/":
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].name == node.name:
-                        node.partner, stack[i].partner = stack[i], node
-                        del stack[i:]
+            node.name = _TAG.match(raw)[1].lower()
+            if raw[1] == "/":
+                for i in range(len(holding) - 1, -1, -1):
+                    if holding[i].construct != "tag":
+                        break
+                    if holding[i].name == node.name:
+                        node.partner, holding[i].partner = holding[i], node
+                        del holding[i:]
                         break
         elif construct == "command":
-            node.name = re.match(r"\\([a-zA-Z]+)", m[0])[1]
+            node.name = re.match(r"\\([a-zA-Z]+)", raw)[1]
         elif construct == "environment":
             node.name = m["e"].rstrip("*")
-        node.depth = len(stack)
-        if stack:
-            node.parent = stack[-1]
-            stack[-1].children.append(node)
-        if construct == "tag" and m[0][1] != "/" and not m[0].endswith("/>") and node.name not in VOID:
-            stack.append(node)
+        node.depth = len(holding)
+        if holding:
+            node.parent = holding[-1]
+            holding[-1].children.append(node)
         nodes.append(node)
+        if construct == "tag":
+            if raw[1] != "/" and not raw.endswith("/>") and node.name not in VOID:
+                holding.append(node)
+            continue
+        inside = _inner(construct, raw, node.name)
+        if inside and inside[0] < inside[1]:
+            node.inner = (node.start + inside[0], node.start + inside[1])
+            here = wanted if construct in FREE else within
+            if here:
+                work.append((_scanner(here).finditer(text[node.inner[0] : node.inner[1]]), node.inner[0], len(holding)))
+                holding.append(node)
     return nodes
 
 
@@ -164,7 +237,7 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
     same: dict[str, int] = {}
     for n in nodes:
         same[n.construct] = same.get(n.construct, 0) + 1
-    covered = sum(n.end - n.start for n in nodes)
+    covered = sum(n.end - n.start for n in nodes if n.parent is None)
     out = []
     for n in nodes:
         raw = text[n.start : n.end]
@@ -198,6 +271,14 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
                 covered / max(1, len(text)),
                 float(raw[:1] == "\\" and ("{" in raw)),
                 float(any(ord(c) > 0x2FFF for c in text[n.start : n.end + 3])),
+                float(raw[1:2].isspace() or raw[-2:-1].isspace()),
+                float(sum(c in "\\^_={}+" for c in raw)),
+                float(raw.strip("{}[]$#* \t")[:1].isupper()),
+                float("|" in raw),
+                float(n.construct == "heading" and raw.lstrip()[:1] == "#" and raw.lstrip().lstrip("#")[:1].isspace()),
+                float(inner[:1].isdigit()),
+                float(len(raw.lstrip()) - len(raw.lstrip().lstrip("#"))),
+                float(bool(_WIKI_NAMES.match(raw))),
             )
         )
     return out
@@ -205,7 +286,7 @@ def features(text: str, nodes: list[Node]) -> list[tuple]:
 
 FEATURES = (
     "construct syntax line known attributes depth children same_construct closed log_length own_density letters digits "
-    "word_before word_after empty slot_near text_density braces wide_letter"
+    "word_before word_after empty slot_near text_density braces wide_letter spaced math upper pipe gap digit_first level wiki_name"
 ).split()
 
 
@@ -237,6 +318,9 @@ def _grammar(rng: random.Random, n: int) -> list[tuple[str, int]]:
         lambda: f"{{{{cite web|title={w()}|year=20{d()}}}}}", lambda: f"\n== {ws(2)} ==\n", lambda: f"\n{{| class=\"wikitable\"\n! {w()}\n|-\n| {w()}\n|}}\n", lambda: f"[https://{w()}.example/{d()} {ws(2)}]",
         lambda: f"\\{rng.choice(['textbf', 'emph', 'section', 'cite', 'textit'])}{{{ws(2)}}}", lambda: f"\\{cmd()} \\approx {d()}.{d()}", lambda: f"$$\\frac{{{w()[0]}}}{{{d()}}}$$", lambda: f"${w()[0]}^{d()[0]} + {w()[0]}_{d()[0]}$",
         lambda: f"\\(\\sqrt{{{w()[0]}}} \\leq {w()[0]}\\)", lambda: f"\\begin{{itemize}} \\item {w()} \\item {w()} \\end{{itemize}}", lambda: f"\\begin{{equation}} x = {d()}r \\end{{equation}}",
+        lambda: f"\n- {w()} **{w()}** {w()}\n- <b>{w()}</b>\n", lambda: f"\n> {ws(2)} *{w()}* and <i>{w()}</i>\n", lambda: f"\n## The **{w()}** and [{w()}](https://{w()}.example/{d()})\n", lambda: f"\n1. see \\textbf{{{w()}}}\n2. {w()} `{w()}`\n",
+        lambda: f"{{{{{rng.choice(['Reflist', 'Citation needed', 'Stub', 'See also', 'Main'])}}}}}", lambda: f"<ref name={w()}>{ws(2)}</ref>", lambda: f"\n##{w()}\n{ws()}.\n", lambda: f"\n###{w()}\n{ws()}.\n", lambda: f"<nowiki>{w()}</nowiki>", lambda: f"${w()[0]}$ and ${w()[0]}$", lambda: f"$\\{rng.choice(['alpha', 'pi', 'sigma', 'mu'])}$", lambda: f"${w()[0]} = {d()}$",
+        lambda: f"*{ws(2)}, {ws(2)}*", lambda: f"({w()} *{w()}*)", lambda: f"_{w()}_, {w()}", lambda: f"*{d()} {w()}*", lambda: f"${w()[0]}_{{{d()[0]}}} < {d()}$",
         lambda: f"{{\\it {ws(2)}}}", lambda: f"{w()[0]}_{{i}}^{{{d()[0]}}} \\cdot {w()[0]}",
     ]
     no = [
@@ -244,6 +328,8 @@ def _grammar(rng: random.Random, n: int) -> list[tuple[str, int]]:
         lambda: f"{w()}_{w()}_{w()}", lambda: f"{d()}_000_000", lambda: "¯\\(ツ)/¯", lambda: f"<<{w()}>>", lambda: f"<% {w()} %>", lambda: f"*|{w().upper()}|*", lambda: f"{{{{{w()}}}}}", lambda: f"${{{w()}}}",
         lambda: f"#{d()} {w()}", lambda: f"{w()} & {w()}; {w()}", lambda: f"https://{w()}.example/{w()}_{w()}", lambda: f"<{w()}@{w()}.example>", lambda: f"C:\\{w()}qx\\{w()}qx", lambda: f"{w()} ^^ {w()}", lambda: "o_O -_-",
         lambda: f"&{w()}q;", lambda: f"<{w()}q>", lambda: f"<{w()}_{w()}>", lambda: f"{{{{{{{w()}}}}}}}", lambda: f"%({w()})s", lambda: f"{d()} - {d()} = {d()}", lambda: f"${w().upper()}$", lambda: f"XX_{w().upper()}_XX",
+        lambda: f"{w()} * {w()} * {w()}", lambda: f"{w()}*{w()}*{w()}", lambda: f"{d()} *{d()} * {d()}", lambda: f"{w()}_{w()}_{w()} and {w()}_{w()}", lambda: f"__{w()}_{w()}" , lambda: f"${d()} or {d()}$", lambda: f"${d()} {w()} for {d()}$ {w()}", lambda: f"${w().upper()}_{w().upper()}$",
+        lambda: f"\n#{w()}\n", lambda: f"\n#{d()} {ws(3)}\n", lambda: f"{{{{ {w()}.{w()} }}}}", lambda: f"{{{{{w()}_{w()}}}}}", lambda: f"{d()}*{w()} + {d()}*{w()}", lambda: f"{w()[0]} * ({w()[0]} + {d()}) * {d()}", lambda: f"{w()}* {w()} *{w()}",
         lambda: f"<{w()}q {w()}> and <{w()}q>", lambda: f"({w()}) [{w()}] {{{w()}}}", lambda: f"don''t {w()}", lambda: f"{d()}% of ${d()}.{d()}",
     ]
     out = []
@@ -259,14 +345,14 @@ def _grammar(rng: random.Random, n: int) -> list[tuple[str, int]]:
 
 
 @lru_cache(maxsize=1)
-def model(samples: int = 6000, seed: int = 7) -> Boosted:
+def model(samples: int = 9000, seed: int = 7) -> Boosted:
     """Trees fitted to ``samples`` seeded snippets, the documented bound of the training set."""
     x, y = [], []
     for text, label in _grammar(random.Random(seed), samples):
         nodes = parse(text)
         x += features(text, nodes)
         y += [label] * len(nodes)
-    return fit(np.array(x, float), np.array(y, float))
+    return fit(np.array(x, float), np.array(y, float), rounds=32)
 
 
 def decode(text: str, trees: Boosted) -> list[Node]:
@@ -280,16 +366,24 @@ def decode(text: str, trees: Boosted) -> list[Node]:
         if n.partner is not None and n.partner.start > n.start:
             n.score += n.partner.score
             n.partner.score = 0.0
-    gain: dict[int, float] = {}
+    owner = {}
+    for n in nodes:  # only an element rules over what is in it
+        p = n.parent
+        while p is not None and p.construct != "tag":
+            p = p.parent
+        owner[id(n)] = p
+    gain = {id(n): n.score for n in nodes}
     for n in reversed(nodes):  # children come after their parent
-        below = 0.0 if n.construct in CODE else sum(max(0.0, gain[id(c)]) for c in n.children if not (c.partner and c.partner.start < c.start))
-        gain[id(n)] = n.score + below
+        p = owner[id(n)]
+        if p is not None and not (n.partner and n.partner.start < n.start):
+            gain[id(p)] += max(0.0, gain[id(n)])
     kept, taken = [], set()
     for n in nodes:
         if n.partner is not None and n.partner.start < n.start:
             ok = id(n.partner) in taken
         else:
-            ok = gain[id(n)] > 0 and (n.parent is None or id(n.parent) in taken)
+            p = owner[id(n)]
+            ok = gain[id(n)] > 0 and (p is None or id(p) in taken)
         if ok:
             kept.append(n)
             taken.add(id(n))
@@ -300,105 +394,159 @@ def kinds(text: str, trees: Boosted) -> set[str]:
     return {_SYNTAX[n.construct] for n in decode(text, trees)}
 
 
-def _plain(raw: str, n: Node) -> str:
-    c = n.construct
+BREAKS = set("br p div tr table ul ol title body html head center section article header footer dl dd dt".split())
+
+
+def _fence(code: str) -> str:
+    marks = "```"
+    while marks in code:
+        marks += "`"
+    return f"\n{marks}\n{code.strip(chr(10))}\n{marks}\n"
+
+
+def _cells(text: str, n: Node, marks: str) -> list[tuple[int, int, str]]:
+    """Edits of the bars of a table outside its children: cells parted by tabs."""
+    taken = [(c.start, c.end) for c in n.children]
+    free = lambda i: all(i < a or i >= b for a, b in taken)
+    out, at = [], n.start
+    for line in text[n.start : n.end].split("\n"):
+        end = at + len(line)
+        if marks == "|" and re.fullmatch(r"[\s|:\-]+", line):
+            out.append((at, min(n.end, end + 1), ""))
+        else:
+            bars = [m.span() for m in re.finditer(r"[ \t]*\|[ \t]*", line) if free(at + m.start() + m[0].index("|"))]
+            for a, b in bars:
+                edge = not line[:a].strip() or not line[b:].strip()
+                out.append((at + a, at + b, "" if edge else "\t"))
+        at = end + 1
+    return out
+
+
+def _wiki_cells(text: str, n: Node) -> list[tuple[int, int, str]]:
+    """Edits of a wiki table: a line per row, cells parted by tabs."""
+    out, at, fresh = [], n.start, True
+    for line in text[n.start : n.end].split("\n"):
+        end = at + len(line)
+        if line.startswith(("{|", "|-", "|}", "|+")):
+            out.append((at, min(n.end, end + 1), ""))
+            fresh = True
+        elif line.startswith(("|", "!")):
+            out.append((at if fresh else at - 1, at + 1 + len(line[1:]) - len(line[1:].lstrip()), "" if fresh else "\t"))
+            out += [(at + m.start(), at + m.end(), "\t") for m in re.finditer(r"[ \t]*(?:\|\||!!)[ \t]*", line)]
+            fresh = False
+        at = end + 1
+    return out
+
+
+def _edits(text: str, n: Node, decoded: bool) -> list[tuple[int, int, str]]:
+    """What becomes of an accepted node: replacements of spans of the text, its children left alone."""
+    c, raw, a, b = n.construct, text[n.start : n.end], n.start, n.end
+    whole = lambda new: [(a, b, new)]
+    around = lambda before, after: [(a, n.inner[0], before), (n.inner[1], b, after)] if n.inner else []
     if c == "tag":
-        if n.name in ("br", "p", "div", "tr", "table", "ul", "ol", "title", "body", "html", "head", "center", "blockquote"):
-            return "\n"
+        ending = raw[1] == "/"
+        if n.name in ("script", "style"):
+            return [(a, n.partner.end, "")] if not ending and n.partner else whole("")
+        if n.name == "blockquote":
+            return whole("\n" if ending else "\n> ")
+        if n.name in BREAKS:
+            return whole("\n")
         if n.name == "li":
-            return "\n- " if raw[1] != "/" else ""
+            return whole("" if ending else "\n- ")
         if re.fullmatch(r"h[1-6]", n.name):
-            return "\n" + "#" * int(n.name[1]) + " " if raw[1] != "/" else "\n"
+            return whole("\n" if ending else "\n" + "#" * int(n.name[1]) + " ")
         if n.name in ("td", "th"):
-            return "" if raw[1] != "/" else "\t"
+            return whole("\t" if ending else "")
+        if n.name in ("code", "kbd", "samp", "tt"):
+            return whole("`" if n.partner else "")
         if n.name == "hr":
-            return "\n---\n"
+            return whole("\n---\n")
         if n.name == "img":
             alt = re.search(r"alt\s*=\s*[\"']([^\"']*)", raw)
-            return alt[1] if alt else ""
-        return ""
+            return whole(alt[1] if alt else "")
+        return whole("")
     if c == "entity":
-        return html.unescape(raw)
+        new = html.unescape(raw).replace("\u00a0", " ")
+        return whole(new if decoded or not re.search(r"[<>&*_`$#~^|\\\[\]{}'=]", new) else raw)
     if c == "comment":
-        return ""
+        return whole("")
     if c == "preblock":
-        return "\n" + html.unescape(re.sub(r"<[^>]+>", "", raw)) + "\n"
-    if c == "fence":
-        return "\n".join(raw.split("\n")[1:-1])
-    if c in ("wikilink",):
+        return whole(_fence(html.unescape(re.sub(r"<[^>]+>", "", raw))))
+    if c == "wikilink":
         body = raw[2:-2]
-        return "" if body.startswith(("Category:", "File:", "Image:")) else body.rpartition("|")[2]
+        return whole("" if body.startswith(("Category:", "File:", "Image:")) else body.rpartition("|")[2])
     if c == "template":
         fields = re.findall(r"\|\s*([\w ]+?)\s*=\s*([^|{}\n]*)", raw)
-        return "; ".join(f"{k}: {v.strip()}" for k, v in fields)
+        return whole("; ".join(f"{k}: {v.strip()}" for k, v in fields))
     if c == "wikiref":
-        return ""
+        return around("(" if text[max(0, a - 1)] == " " else " (", ")") if n.inner else whole(re.sub(r"</?nowiki>|<ref[^>]*/?>|</ref>", "", raw))
     if c == "extlink":
-        return raw[1:-1].partition(" ")[2]
-    if c in ("wikibold", "wikiital"):
-        return raw.strip("'")
+        return whole(raw[1:-1].partition(" ")[2])
+    if c in ("wikibold", "wikiital", "strong", "emphasis", "strike", "spoiler", "group", "link", "reflink"):
+        return around("", "") or whole("")
     if c == "wikihead":
-        level = len(raw) - len(raw.lstrip("="))
-        return "#" * level + " " + raw.strip("= \t")
+        return around("#" * (n.inner[0] - a) + (" " if text[n.inner[0]] not in " \t" else ""), "")
+    if c == "heading":
+        return [(a, n.inner[0], raw[: n.inner[0] - a].strip() + " ")]
+    if c == "setext":
+        return [(a, a, "# " if raw.rstrip()[-1] == "=" else "## "), (n.inner[1], b, "")]
+    if c in ("bullet", "quote", "ordered"):
+        return [(a, n.inner[0], re.sub(r"[*+-](?=[ \t])", "-", raw[: n.inner[0] - a]))] if n.inner else []
+    if c == "mdtable":
+        return _cells(text, n, "|")
     if c == "wikitable":
-        cells = [x.strip("|! \t") for x in raw.split("\n")[1:] if not x.startswith(("|-", "|}"))]
-        return "\n".join(x for x in cells if x)
+        return _wiki_cells(text, n)
     if c == "environment":
-        inner = re.sub(r"^\\begin\{[^}]*\}|\\end\{[^}]*\}$", "", raw).strip()
-        if n.name in ("itemize", "enumerate", "description"):
-            return "\n" + "\n".join("- " + x.strip() for x in inner.split("\\item") if x.strip()) + "\n"
-        return "\n" + inner + "\n"
-    if c == "group":
-        return raw[1:-1].partition(" ")[2]
+        if n.inner:
+            return around("\n", "\n")
+        body = re.sub(r"^\\begin\{[^}]*\}(?:\[[^\]]*\])?|\\end\{[^}]*\}$", "", raw)
+        return whole(_fence(body)) if n.name in ("verbatim", "lstlisting", "minted") else whole("$$" + " ".join(body.split()) + "$$") if "$" not in body and body.strip() else []
     if c == "command":
-        body = re.findall(r"\{([^{}]*)\}", raw)
+        if n.name == "item":
+            label = re.search(r"\[([^\]]*)\]", raw)
+            return whole("\n-" + (f" {label[1]}" if label else "") + ("" if text[b : b + 1] == " " else " "))
         if n.name in ("section", "subsection", "subsubsection"):
-            return "\n" + "#" * (1 + n.name.count("sub")) + " " + "".join(body) + "\n"
-        if n.name in ("textbf", "textit", "emph", "underline", "texttt", "text", "title", "caption"):
-            return "".join(body)
+            return around("\n" + "#" * (1 + n.name.count("sub")) + " ", "\n")
+        if n.name == "texttt":
+            return whole("`" + "".join(re.findall(r"\{([^{}]*)\}", raw)) + "`")
+        if n.name == "href":
+            return whole((re.findall(r"\{([^{}]*)\}", raw) or [""])[-1])
+        if n.name in STYLED:
+            return around("", "")
         if n.name in ("cite", "ref", "label"):
-            return "[" + ", ".join(body) + "]"
-        return raw
-    if c == "setext":
-        title, _, line = raw.partition("\n")
-        return ("# " if line[0] == "=" else "## ") + title
-    if c == "heading":
-        level = len(raw.lstrip()) - len(raw.lstrip().lstrip("#"))
-        return "#" * level + " " + raw.strip().lstrip("#").strip()
-    if c == "mdtable":
-        rows = [r.strip().strip("|") for r in raw.split("\n") if not re.fullmatch(r"[\s|:\-]+", r)]
-        return "\n".join("\t".join(x.strip() for x in r.split("|")) for r in rows)
-    if c == "spoiler":
-        return raw[2:-2]
-    if c == "quote":
-        return raw.strip()[1:].strip()
-    if c == "bullet":
-        return re.sub(r"^([ \t]*)[*+-][ \t]+", r"\1- ", raw)
-    if c in ("ordered", "rule", "indented", "display", "inline", "script"):
-        return raw
+            return whole("[" + ", ".join(re.findall(r"\{([^{}]*)\}", raw)) + "]")
+        return []
     if c == "image":
-        return re.match(r"!\[([^\]]*)", raw)[1]
-    if c in ("link", "reflink"):
-        return re.match(r"\[([^\]]*)", raw)[1]
-    if c == "code":
-        return raw.strip("`")
-    if c in ("strong", "emphasis", "strike"):
-        return raw.strip("*_~")
-    if c == "superscript":
-        return raw[1:]
-    return raw
+        return whole(re.match(r"!\[([^\]]*)", raw)[1])
+    if c == "superscript" and raw[1] == "(":
+        return whole(raw[1:])
+    return []
+
+
+def _converted(text: str, trees: Boosted, decoded: bool) -> str:
+    out, last = [], 0
+    for a, b, new in sorted((e for n in decode(text, trees) for e in _edits(text, n, decoded)), key=lambda e: (e[0], -e[1])):
+        if a >= last:
+            out += [text[last:a], new]
+            last = b
+    clean = "".join(out) + text[last:]
+    return re.sub(r"\n{3,}", "\n\n", clean).strip("\n") if clean != text else text
 
 
 def plain(text: str | None, trees: Boosted) -> str | None:
-    """Clean text: headings as ``#`` lines, lists as ``-``, tables by tabs, code and formulas as they stand."""
+    """Clean text; see the module. A text that would still hold convertible markup is converted on,
+    with those entities left alone that stand for characters of markup."""
     if not text or not text.strip():
         return text
-    out, last = [], 0
-    for n in decode(text, trees):
-        out += [text[last : n.start], _plain(text[n.start : n.end], n)]
-        last = n.end
-    clean = "".join(out) + text[last:]
-    return re.sub(r"\n{3,}", "\n\n", clean).strip("\n")
+    once = _converted(text, trees, True)
+    if once == text or _converted(once, trees, True) == once:
+        return once
+    now, then = text, _converted(text, trees, False)
+    while then != now:
+        shorter = len(then) < len(now)
+        now = then
+        then = _converted(now, trees, False) if shorter else now
+    return now
 
 
 def candidates(texts: pa.Array) -> pa.Array:
