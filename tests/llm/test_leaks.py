@@ -46,7 +46,7 @@ def test_against_brute_force(spark):
 def test_no_pair_within_the_radius_is_lost():
     g = np.random.default_rng(3)
     base = g.integers(0, 1 << 63, 300, dtype=np.int64).astype(np.uint64)
-    index = leaks.Index(12, 2, np.zeros(300, np.int64), np.arange(300), base, base, {})
+    index = leaks.Index(12, 2, np.zeros(300, np.int64), np.arange(300), base, {})
     near = base.copy()
     for i in range(300):
         for b in g.choice(64, int(g.integers(0, 3)), replace=False):
@@ -58,3 +58,25 @@ def test_no_pair_within_the_radius_is_lost():
 def test_quotes_and_long_texts():
     assert leaks.words("Don't “stop” now\u00ad—it’s x_1") == ["dont", "stop", "now", "its", "x", "1"]
     assert leaks.words(None) == []
+
+
+def test_near_copies(spark):
+    g = random.Random(5)
+    word = lambda n: "".join(g.choice("bdklmnprst") + g.choice("aeiou") for _ in range(n))
+    passage = [word(5) for _ in range(90)]
+    edited = passage[:45] + ["changed"] + passage[46:]
+    tails = []  # a run of eleven words with one short word changed at its end
+    while len(tails) < 200:
+        p = [word(6) for _ in range(7)] + [word(1) for _ in range(5)]
+        tails.append((p, p[:-1] + [word(1)]))
+    docs = [(1, " ".join(edited)), (2, " ".join(passage[10:30])), (3, "x y z " + " ".join(passage) + " a b c")] + [(10 + i, " ".join(q)) for i, (p, q) in enumerate(tails)]
+    evals = [(1, " ".join(passage))] + [(10 + i, " ".join(p)) for i, (p, q) in enumerate(tails)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame([(e, "s", t) for e, t in evals], "eval_id bigint, suite string, text string")
+    got = {(r.doc_id, r.eval_id): r for r in leaks.copies(df, ev).collect()}
+    assert got[1, 1].extent == "whole" and got[1, 1].longest == 45 and got[1, 1].similarity < 1
+    assert got[2, 1].extent == "part" and got[2, 1].longest == 20 and got[3, 1].similarity == 1.0 and got[3, 1].longest == 90
+    near = {k for k, r in got.items() if r.longest == 11}
+    assert near and all(d == e for d, e in near)
+    assert near > {(r.doc_id, r.eval_id) for r in leaks.copies(df, ev, radius=0).collect() if r.longest == 11}
+    assert not near & {(r.doc_id, r.eval_id) for r in leaks.found(df, ev).collect()}

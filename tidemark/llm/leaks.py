@@ -3,12 +3,15 @@
 Every window of ``run`` words of a document (the smallest item to be reported) gets a 64-bit SimHash
 of its weighted words; so does every window of the passages. A multi-index over the passages splits
 the fingerprints into ``radius`` + 1 blocks: two fingerprints within the radius agree in a whole block,
-so no pair within it is lost. Candidates within the radius are verified by the exact similarity of
-their weighted word shingles, and a document holds a passage where a pair of windows is the same word
-for word (similarity 1 in the same order), which is a common run of at least ``run`` words.
+so no pair within it is lost. Candidates within the radius are verified by the similarity of their
+weighted five-word shingles (``least``, 0.8): these are the windows a document shares with a passage, word
+for word or nearly so. What is shared is then compared as a whole: ``longest`` is the longest run of
+equal consecutive words, ``similarity`` that of the passage with the part of the document that lies
+where the passage would lie.
 
-A window longer than the run would miss partial copies, so windows have the length of the run; the
-whole-passage windows the method has in mind are covered, being made of such windows.
+Windows are as long as the run and not as a passage, which loses nothing: at a similarity of 0.8 a
+changed word, which spoils five shingles, needs more than forty shingles around it, so that every near
+copy of a passage has a common run of more than twelve words, and copies of a part are found as well.
 
 Words are letters and digits in lower case; quote marks and invisible characters are dropped, all
 other characters separate words. Null and blank texts have no windows; texts shorter than the run
@@ -63,21 +66,14 @@ def weights(tokens: list[str]) -> np.ndarray:
     return np.minimum(np.fromiter(map(len, tokens), np.int32, len(tokens)) // 3 + 1, 4)
 
 
-def fingerprints(hashes: np.ndarray, weight: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash and exact rolling hash of every window of ``run`` words."""
-    n = len(hashes) - run + 1
+def fingerprints(hashes: np.ndarray, weight: np.ndarray, run: int) -> np.ndarray:
+    """SimHash of every window of ``run`` words."""
     distinct, at = np.unique(hashes, return_inverse=True)
     signs = (((distinct[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * 2 - 1)[at] * weight[:, None].astype(np.int8)
     total = np.zeros((len(hashes) + 1, 64), np.int32)
     np.cumsum(signs, axis=0, dtype=np.int32, out=total[1:])
     bits = total[run:] - total[:-run] > 0
-    simhash = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    exact = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(run):
-            exact = exact * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-            exact ^= exact >> np.uint64(29)
-    return simhash, exact
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 @dataclass
@@ -89,7 +85,6 @@ class Index:
     ids: np.ndarray
     positions: np.ndarray
     simhash: np.ndarray
-    exact: np.ndarray
     tokens: dict
 
     def __post_init__(self):
@@ -125,8 +120,8 @@ class Index:
         return pairs[0], pairs[1]
 
 
-def similarity(a: list[str], b: list[str], k: int = 2) -> float:
-    """Weighted Jaccard similarity of the word shingles of two windows; the weight is their length."""
+def similarity(a: list[str], b: list[str], k: int = 5) -> float:
+    """Weighted Jaccard similarity of the word shingles of two texts; the weight is their length."""
     x = {tuple(a[i : i + k]) for i in range(len(a) - k + 1)}
     y = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
     size = lambda s: sum(sum(map(len, w)) for w in s)
@@ -138,15 +133,14 @@ def index_blocks(passages: DataFrame, run: int, radius: int, block: int):
     vocabulary, held, total = Vocabulary(), [], 0
 
     def build(rows):
-        ids, positions, sims, exacts, tokens = [], [], [], [], {}
+        ids, positions, sims, tokens = [], [], [], {}
         for key, t in rows:
-            s, e = fingerprints(vocabulary.of(t), weights(t), run)
+            s = fingerprints(vocabulary.of(t), weights(t), run)
             ids.append(np.full(len(s), key, np.int64))
             positions.append(np.arange(len(s)))
             sims.append(s)
-            exacts.append(e)
             tokens[key] = t
-        return Index(run, radius, *(np.concatenate(x) for x in (ids, positions, sims, exacts)), tokens)
+        return Index(run, radius, *(np.concatenate(x) for x in (ids, positions, sims)), tokens)
 
     for row in passages.filter("eval_id is not null").select("eval_id", "text").toLocalIterator():
         t = words(row["text"])
@@ -161,10 +155,22 @@ def index_blocks(passages: DataFrame, run: int, radius: int, block: int):
         yield build(held)
 
 
-def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: int = 2, block: int = 200_000, piece: int = 20_000) -> DataFrame:
-    """``doc_id``, ``eval_id``, ``longest`` common run in words, for every document with a run."""
+def equal_run(a: list[str], b: list[str]) -> int:
+    """Most consecutive words that are equal at the same places."""
+    best = n = 0
+    for x, y in zip(a, b):
+        n = n + 1 if x == y else 0
+        best = max(best, n)
+    return best
+
+
+def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: int = 2, least: float = 0.8, block: int = 200_000, piece: int = 20_000) -> DataFrame:
+    """``doc_id``, ``eval_id``, ``longest``, ``similarity`` for every document with a verified window.
+
+    A passage that lies across two pieces of a long document is compared within each of them.
+    """
     spark = documents.sparkSession
-    schema, names = "doc_id bigint, eval_id bigint, longest int", ["doc_id", "eval_id", "longest"]
+    schema, names = "doc_id bigint, eval_id bigint, longest int, similarity double", ["doc_id", "eval_id", "longest", "similarity"]
     docs = spread(documents.filter("doc_id is not null").select("doc_id", "text"))
     out = None
     for index in index_blocks(passages, run, radius, block):
@@ -177,28 +183,34 @@ def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: in
                 flat = [w for t in tokens for w in t]
                 if len(flat) < run:
                     continue
-                sim, exact = fingerprints(vocabulary.of(flat), weights(flat), run)
+                sim = fingerprints(vocabulary.of(flat), weights(flat), run)
                 starts = np.cumsum([0] + [len(t) for t in tokens])
                 a, b = index.candidates(sim)
-                same = exact[a] == index.exact[b]
-                a, b = a[same], b[same]
-                if not len(a):
-                    continue
                 owner = np.searchsorted(starts, a, "right") - 1
                 inside = a + run <= starts[owner + 1]
-                best: dict[tuple[int, int], set] = {}
-                for x, y, o in zip(a[inside], b[inside], owner[inside]):
+                verified: dict[tuple[int, int], dict] = {}
+                for x, y, o in zip(a[inside].tolist(), b[inside].tolist(), owner[inside].tolist()):
                     key, at = int(index.ids[y]), int(index.positions[y])
-                    if similarity(flat[x : x + run], index.tokens[key][at : at + run]) == 1.0 and flat[x : x + run] == index.tokens[key][at : at + run]:
-                        best.setdefault((int(group[o][0]), key), set()).add((int(x) - int(starts[o]) + group[o][1], at))
-                for (doc, key), at in best.items():
-                    yield doc, key, run + _longest(at) - 1
+                    mine, theirs = flat[x : x + run], index.tokens[key][at : at + run]
+                    if mine == theirs or similarity(mine, theirs) >= least:
+                        verified.setdefault((o, key), {})[(x - int(starts[o]), at)] = equal_run(mine, theirs)
+                for (o, key), at in verified.items():
+                    exact = {p for p, n in at.items() if n == run}
+                    longest = run + _longest(exact) - 1 if exact else max(at.values())
+                    passage, text = index.tokens[key], tokens[o]
+                    best = max(similarity(text[max(0, i - j) : i - j + len(passage)], passage) for i, j in _diagonals(at))
+                    yield group[o][0], key, longest, best
 
         found = map_batches(docs, search, schema, names, setup=Vocabulary)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "eval_id").agg(F.max("longest").alias("longest"))
+    return out.groupBy("doc_id", "eval_id").agg(F.max("longest").alias("longest"), F.max("similarity").alias("similarity"))
+
+
+def _diagonals(pairs) -> list[tuple[int, int]]:
+    """One pair for each offset between document and passage."""
+    return list({i - j: (i, j) for i, j in pairs}.values())
 
 
 def _pieces(batch: pa.RecordBatch, run: int, piece: int):
@@ -231,14 +243,23 @@ def _longest(pairs: set[tuple[int, int]]) -> int:
     return best
 
 
-def found(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """``doc_id``, ``eval_id`` of every document and passage with a common run of 12 words."""
-    return matches(documents, passages).select("doc_id", "eval_id")
+def found(documents: DataFrame, passages: DataFrame, run: int = 12) -> DataFrame:
+    """``doc_id``, ``eval_id`` of every document and passage with a common run of 12 words.
+
+    The exact check that follows the verified windows: a run of ``run`` equal words."""
+    return matches(documents, passages, run).filter(F.col("longest") >= run).select("doc_id", "eval_id")
+
+
+def copies(documents: DataFrame, passages: DataFrame, run: int = 12, whole: float = 0.8, radius: int = 2) -> DataFrame:
+    """Every shared window's document and passage, with how much is shared: ``extent`` is ``whole`` from
+    a similarity of ``whole`` on, ``part`` where at least a run is shared, else ``near``."""
+    extent = F.when(F.col("similarity") >= whole, "whole").when(F.col("longest") >= run, "part").otherwise("near")
+    return matches(documents, passages, run, radius).select("doc_id", "eval_id", "longest", F.round("similarity", 6).alias("similarity"), extent.alias("extent"))
 
 
-def report(documents: DataFrame, passages: DataFrame) -> DataFrame:
+def report(documents: DataFrame, passages: DataFrame, run: int = 12) -> DataFrame:
     """Per passage that leaked: ``eval_id``, ``suite``, number of documents, longest run."""
-    got = matches(documents, passages).groupBy("eval_id").agg(F.count("*").alias("n_docs"), F.max("longest").cast("bigint").alias("longest"))
+    got = matches(documents, passages, run).filter(F.col("longest") >= run).groupBy("eval_id").agg(F.count("*").alias("n_docs"), F.max("longest").cast("bigint").alias("longest"))
     return passages.select("eval_id", "suite").join(got, "eval_id").select("eval_id", "suite", "n_docs", "longest")
 
 

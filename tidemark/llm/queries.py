@@ -21,9 +21,10 @@ QUERIES = {
     "p8_assignment": lambda s, d: packing.assignment(table(s, d, "documents")),
     "p8_containers": lambda s, d: packing.containers(packing.assignment(table(s, d, "documents"))),
     "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_passages")),
+    "p9_copies": lambda s, d: leaks.copies(table(s, d, "documents"), table(s, d, "eval_passages")),
     "p9_leaked_passages": lambda s, d: leaks.report(table(s, d, "documents"), table(s, d, "eval_passages")),
-    "p10_found": lambda s, d: subjects.found(table(s, d, "documents"), table(s, d, "subject_labels")),
-    "p10_makeup": lambda s, d: subjects.makeup(table(s, d, "documents"), table(s, d, "subject_labels")),
+    "p10_found": lambda s, d: subjects.found(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects")),
+    "p10_makeup": lambda s, d: subjects.makeup(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "subjects")),
 }
 
 ORACLES = {

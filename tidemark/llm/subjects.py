@@ -1,18 +1,22 @@
 """Problem 10: the subject areas of each document, and the make-up of the corpus by area.
 
-Weighted subject terms are curated from a fixed seed list and from labelled documents, matched by a
-multi-pattern automaton, weighted by rarity, and counted by sentence; an area is assigned where its
-share of the document's sentences exceeds a calibrated threshold.
-
-The terms are learned on the driver from at most ``most`` labelled documents (default 4,000, those of
-least hash of their id: the documented bound of the training sample). Labels are noisy, so terms are
-re-estimated a few times: sentences are given to the area their terms speak for, labels entering as a
-prior only. All documents are then classified, whole, with the automaton broadcast (its size follows
-the bounded sample).
-
-Null and blank texts have no row. Labels with a null or unknown subject, or for unknown documents,
-are ignored; case and stray blanks in them do not matter. Without labels the seed terms are used as
-they are. Documents with a null id are left out; repeated ids give a row per id and area.
+The areas are those of the ``subjects`` table. Weighted terms are curated from a fixed seed list, the
+areas' descriptions and labelled documents, matched by a multi-pattern automaton, weighted by rarity,
+and counted by sentence, the areas that a sentence speaks for about equally sharing it. A document's
+count for an area is normalised by its length in sentences, less a correction for single mentions; an
+area is assigned where this exceeds the area's threshold. Correction and thresholds are calibrated on
+labelled documents that were held out from learning the terms.
+
+The driver learns and calibrates on at most ``most`` labelled documents (default 4,000, those of least
+hash of their id) of at most ``longest`` characters (default 20,000): the documented bounds of the
+training sample. Labels are noisy, so terms are re-estimated a few times: sentences are given to the
+area their terms speak for, labels entering as a prior only. All documents are then classified, whole,
+with the automaton broadcast (its size follows the bounded sample).
+
+Null and blank texts have no row. Labels with a null subject or one that is in no subject row, or for
+unknown documents, are ignored; case and stray blanks do not matter. Without labels the seed terms and
+default thresholds are used as they are. Documents with a null id are left out; repeated ids give a row
+per id and area.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -41,7 +46,6 @@ SEEDS = {
     "homecraft": "tomato seedling, leaky tap, sewing machine, wood stain, plasterboard, grout, compost heap, shelf bracket, drill bit, fence post, knitting pattern, wheelbarrow, primer coat, raised bed",
     "history": "manuscript, siege, treaty, dynasty, chronicle, parish register, coin hoard, burial mound, fortress, census roll, plague year, excavation, oral account, trade route",
 }
-AREAS = tuple(sorted(SEEDS))
 #: Words that name no area in any language of the corpus.
 STOP = set(
     "the and that this with for was were are not but you your have has had from they them then than what who how why when where which there here all any can could "
@@ -65,15 +69,19 @@ def terms_of(sentence: str) -> set[str]:
     return out
 
 
-def learn(labelled: list[tuple[str, set[str]]], rounds: int = 3, least: int = 3, purity: float = 0.45) -> dict[str, dict[str, float]]:
+def learn(labelled: list[tuple[str, set[str]]], descriptions: dict[str, str] | None = None, rounds: int = 3, least: int = 3, purity: float = 0.45) -> dict[str, dict[str, float]]:
     """Weights by term and area, from (text, areas) pairs.
 
+    ``descriptions``: what each area is about; None for the areas of the seed list. The words of the
+    description are seeds where the list has none.
+
     A term's weight for an area is its share of the term's sentences there beyond chance, times the
     log of how rare the term is; ambiguous terms keep smaller weights for several areas.
     """
     weights: dict[str, dict[str, float]] = defaultdict(dict)
-    for area, listed in SEEDS.items():
-        for t in listed.split(", "):
+    for area in sorted(descriptions) if descriptions is not None else SEEDS:
+        listed = SEEDS[area].split(", ") if area in SEEDS else sorted(terms_of(f"{area} {descriptions[area] or ''}"))
+        for t in listed:
             weights[t][area] = 3.0
     rows = [([terms_of(s) for s in sentence_list(text)], areas) for text, areas in labelled]
     rows = [(s, a) for s, a in rows if s and a]
@@ -158,67 +166,133 @@ class Matcher:
                 out[a] = out.get(a, 0.0) + x
         return out
 
-    def profile(self, text: str, floor: float = 1.0) -> tuple[dict[str, float], int]:
-        """Sentences given to each area, and the number of sentences."""
+    def profile(self, text: str, floor: float = 1.0, equal: float = 0.9) -> tuple[dict[str, float], int]:
+        """Sentences given to each area, and the number of sentences. Areas within ``equal`` of the best share one."""
         given: dict[str, float] = {}
         sentences = sentence_list(text)
         for s in sentences:
             score = self.areas(s)
-            if score:
-                a = max(score, key=lambda k: (score[k], k))
-                if score[a] >= floor:
-                    given[a] = given.get(a, 0.0) + 1
+            best = max(score.values(), default=0.0)
+            if best >= floor:
+                ahead = [a for a, x in score.items() if x >= equal * best]
+                for a in ahead:
+                    given[a] = given.get(a, 0.0) + 1 / len(ahead)
         return given, len(sentences)
 
 
-def assign(matcher: Matcher, text: str | None, threshold: float) -> list[tuple[str, float]]:
-    """(area, share of sentences) for every area whose share reaches the threshold.
+class Limits:
+    """Calibrated decision: an area is assigned where ``(count - less) / sentences`` reaches its threshold."""
+
+    def __init__(self, less: float = 0.3, by_area: dict[str, float] | None = None, default: float = 0.16):
+        self.less, self.by_area, self.default = less, by_area or {}, default
+
+    def score(self, count: float, n: int) -> float:
+        return (count - (self.less if n > 2 else 0.0)) / n
+
+    def areas(self, given: dict[str, float], n: int) -> list[tuple[str, float]]:
+        """(area, share of sentences) of the assigned areas."""
+        return sorted((a, k / n) for a, k in given.items() if self.score(k, n) >= self.by_area.get(a, self.default))
+
+
+def calibrate(profiles: list[tuple[dict[str, float], int, set[str]]], least: int = 20, slack: float = 0.002) -> Limits:
+    """Limits of best F1 on (counts, sentences, labelled areas) of held-out documents.
 
-    A single sentence beside areas with more of them is a passing mention in texts of three
-    sentences or more, whatever its share.
+    One correction and one threshold are fitted over all areas; an area with at least ``least`` labels
+    gets a threshold of its own where that gains more than ``slack``. Too few documents: the defaults.
     """
+    profiles = [p for p in profiles if p[1] and p[2]]
+    if len(profiles) < least:
+        return Limits()
+    grid = np.round(np.arange(0.08, 0.301, 0.01), 2)
+    names = sorted({a for g, _, labels in profiles for a in set(g) | labels})
+
+    def tables(less):
+        rule = Limits(less)
+        scores = np.array([[rule.score(g.get(a, 0.0), n) for a in names] for g, n, _ in profiles])
+        truth = np.array([[a in labels for a in names] for _, _, labels in profiles])
+        hit = scores[None] >= grid[:, None, None]
+        return (hit & truth).sum(1), hit.sum(1), truth.sum(0)
+
+    f1 = lambda both, got, true: 2 * both / np.maximum(got + true, 1)
+    best = (-1.0, 0.0, 0, None)
+    for less in (0.0, 0.15, 0.3, 0.45, 0.6):
+        both, got, true = tables(less)
+        micro = f1(both.sum(1), got.sum(1), true.sum())
+        at = int(np.flatnonzero(micro >= micro.max() - slack / 4).mean())
+        if micro[at] > best[0]:
+            best = (float(micro[at]), less, at, (both, got, true))
+    _, less, at, (both, got, true) = best
+    own = {}
+    for j, a in enumerate(names):
+        if true[j] >= least:
+            each = f1(both[:, j], got[:, j], true[j])
+            near = np.flatnonzero(each >= each.max() - slack)
+            own[a] = float(grid[at] if each[at] >= each.max() - slack else grid[near[np.abs(near - at).argmin()]])
+    return Limits(less, own, float(grid[at]))
+
+
+def assign(matcher: Matcher, text: str | None, limits: Limits) -> list[tuple[str, float]]:
+    """(area, share of sentences) for every area above its limit."""
     if not text or not text.strip():
         return []
     given, n = matcher.profile(text)
-    most = max(given.values(), default=0)
-    return sorted((a, k / n) for a, k in given.items() if k / n >= threshold and (k > 1 or n < 3 or most == 1))
+    return limits.areas(given, n) if n else []
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, set[str]]]:
+BLANK = " \t\n\r"
+
+
+def training_sample(documents: DataFrame, labels: DataFrame, areas: list[str] | None, most: int, longest: int) -> list[tuple[str, set[str]]]:
     """At most ``most`` labelled documents, chosen by hash of their id, with their cleaned labels."""
-    name = F.lower(F.trim("subject", F.lit(" \t\n\r")))
-    good = labels.filter("doc_id is not null").select("doc_id", name.alias("subject")).filter(F.col("subject").isin(*AREAS)).groupBy("doc_id").agg(F.collect_set("subject").alias("areas"))
+    name = F.lower(F.trim("subject", F.lit(BLANK)))
+    good = labels.filter("doc_id is not null").select("doc_id", name.alias("subject")).filter("subject != ''")
+    good = (good.filter(F.col("subject").isin(*areas)) if areas is not None else good).groupBy("doc_id").agg(F.collect_set("subject").alias("areas"))
     picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(picked, "doc_id").filter("text is not null").orderBy("doc_id").select("text", "areas").toArrow()
+    rows = documents.select("doc_id", "text").filter(F.length("text") <= longest).join(picked, "doc_id").orderBy("doc_id").select("text", "areas").toArrow()
     return [(t, set(a)) for t, a in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
 
 
-def shares(documents: DataFrame, labels: DataFrame, threshold: float, most: int = 4000) -> DataFrame:
-    """``doc_id``, ``subject``, ``share`` of sentences, for every area at or above the threshold."""
-    weights = learn(training_sample(documents, labels, most))
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None, most: int = 4000, longest: int = 20_000, held: int = 3) -> tuple[dict, Limits]:
+    """Terms and limits: every ``held``-th document of the sample calibrates, the others teach the terms.
 
-    def run(batch: pa.RecordBatch, matcher: Matcher):
+    ``subjects``: subject and description, a short fixed list; None takes the areas of the seed list
+    and of the labels.
+    """
+    listed = None
+    if subjects is not None:
+        rows = subjects.filter("subject is not null").select(F.lower(F.trim("subject", F.lit(BLANK))).alias("subject"), F.substring("description", 1, 1000).alias("description")).distinct().limit(1001).collect()
+        if len(rows) > 1000:
+            raise ValueError("at most 1,000 areas")
+        listed = {r["subject"]: r["description"] for r in rows}
+    sample = training_sample(documents, labels, sorted(listed) if listed is not None else None, most, longest)
+    weights = learn([x for i, x in enumerate(sample) if i % held], listed)
+    matcher = Matcher(weights)
+    limits = calibrate([(*matcher.profile(t), areas) for i, (t, areas) in enumerate(sample) if i % held == 0])
+    return weights, limits
+
+
+def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, **how) -> DataFrame:
+    """``doc_id``, ``subject``, ``share`` of sentences, for every assigned area."""
+    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, subjects, **how))
+
+    def run(batch: pa.RecordBatch, state):
+        matcher, limits = state
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for area, share in assign(matcher, text, threshold):
+            for area, share in assign(matcher, text, limits):
                 yield key, area, share
 
     docs = spread(documents.filter("doc_id is not null").select("doc_id", "text"))
-    return map_batches(docs, run, "doc_id bigint, subject string, share double", ["doc_id", "subject", "share"], setup=lambda: Matcher(shared.value))
-
-
-#: The share of sentences from which an area is assigned; calibrated on labelled documents.
-THRESHOLD = 0.21
+    return map_batches(docs, run, "doc_id bigint, subject string, share double", ["doc_id", "subject", "share"], setup=lambda: (Matcher(shared.value[0]), shared.value[1]))
 
 
-def found(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def found(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``subject``, distinct."""
-    return shares(documents, labels, THRESHOLD).select("doc_id", "subject").distinct()
+    return shares(documents, labels, subjects).select("doc_id", "subject").distinct()
 
 
-def makeup(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def makeup(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """Per area: documents that have it and its part of all assigned sentence shares."""
-    rows = shares(documents, labels, THRESHOLD)
+    rows = shares(documents, labels, subjects)
     by = rows.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("share").alias("weight"))
     total = F.sum("weight").over(Window.partitionBy())
     return by.select("subject", "n_docs", F.round(F.col("weight") / total, 6).alias("share"))
