@@ -45,7 +45,7 @@ def test_tables(spark):
 
 
 def test_a_thirteenth_area(spark):
-    docs = spark.createDataFrame([(i, f"The trowbel is green. We dig the trowbel {i}. A grindle helps.") for i in range(40)] + [(100 + i, f"A statute is long. We read statute {i}.") for i in range(40)] + [(99, "Our trowbel is fine. The grindle too.")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"The trowbel is green. We dig the trowbel {i}. A grindle helps.") for i in range(40)] + [(100 + i, f"A statute is long. We read statute {i}. " + " ".join(f"Then w{chr(97 + j % 26)}{chr(97 + i % 26)}z goes on." for j in range(60))) for i in range(40)] + [(99, "Our trowbel is fine. The grindle too.")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, "Gardens ") for i in range(40)] + [(100 + i, "LAW") for i in range(40)], "doc_id bigint, subject string")
     subjects = spark.createDataFrame([("gardens", "Beds and hedges."), ("law", "Courts.")], "subject string, description string")
     assert (99, "gardens") in {tuple(r) for r in S.found(docs, labels, subjects).collect()}

@@ -5,7 +5,7 @@ areas' descriptions and labelled documents, matched by a multi-pattern automaton
 and counted by sentence, the areas that a sentence speaks for about equally sharing it. A document's
 count for an area is normalised by its length in sentences, less a correction for single mentions; an
 area is assigned where this exceeds the area's threshold. Correction and thresholds are calibrated on
-labelled documents that were held out from learning the terms.
+labelled documents that were held out from learning the terms (cross-fitted halves of the sample).
 
 The driver learns and calibrates on at most ``most`` labelled documents (default 4,000, those of least
 hash of their id) of at most ``longest`` characters (default 20,000): the documented bounds of the
@@ -194,40 +194,35 @@ class Limits:
         return sorted((a, k / n) for a, k in given.items() if self.score(k, n) >= self.by_area.get(a, self.default))
 
 
-def calibrate(profiles: list[tuple[dict[str, float], int, set[str]]], least: int = 20, slack: float = 0.002) -> Limits:
+def calibrate(profiles: list[tuple[dict[str, float], int, set[str]]], least: int = 20, prior: float = 150.0, slack: float = 0.0005) -> Limits:
     """Limits of best F1 on (counts, sentences, labelled areas) of held-out documents.
 
-    One correction and one threshold are fitted over all areas; an area with at least ``least`` labels
-    gets a threshold of its own where that gains more than ``slack``. Too few documents: the defaults.
+    One correction and one threshold are fitted over all areas, then a threshold for each area with at
+    least ``least`` labels, the counts of all areas weighing in as ``prior`` labels. Too few documents:
+    the defaults.
     """
     profiles = [p for p in profiles if p[1] and p[2]]
     if len(profiles) < least:
         return Limits()
     grid = np.round(np.arange(0.08, 0.301, 0.01), 2)
     names = sorted({a for g, _, labels in profiles for a in set(g) | labels})
-
-    def tables(less):
-        rule = Limits(less)
-        scores = np.array([[rule.score(g.get(a, 0.0), n) for a in names] for g, n, _ in profiles])
-        truth = np.array([[a in labels for a in names] for _, _, labels in profiles])
-        hit = scores[None] >= grid[:, None, None]
-        return (hit & truth).sum(1), hit.sum(1), truth.sum(0)
-
+    truth = np.array([[a in labels for a in names] for _, _, labels in profiles])
+    true = truth.sum(0)
     f1 = lambda both, got, true: 2 * both / np.maximum(got + true, 1)
+    middle = lambda x: int(np.median(np.flatnonzero(x >= x.max() - slack)))
     best = (-1.0, 0.0, 0, None)
-    for less in (0.0, 0.15, 0.3, 0.45, 0.6):
-        both, got, true = tables(less)
+    for less in (0.0, 0.15, 0.3, 0.45, 0.6, 0.75):
+        rule = Limits(less)
+        hit = np.array([[rule.score(g.get(a, 0.0), n) for a in names] for g, n, _ in profiles])[None] >= grid[:, None, None]
+        both, got = (hit & truth).sum(1), hit.sum(1)
         micro = f1(both.sum(1), got.sum(1), true.sum())
-        at = int(np.flatnonzero(micro >= micro.max() - slack / 4).mean())
-        if micro[at] > best[0]:
-            best = (float(micro[at]), less, at, (both, got, true))
-    _, less, at, (both, got, true) = best
-    own = {}
+        if micro.max() > best[0]:
+            best = (float(micro.max()), less, middle(micro), (both, got))
+    _, less, at, (both, got) = best
+    own, w = {}, prior / max(1, true.sum())
     for j, a in enumerate(names):
         if true[j] >= least:
-            each = f1(both[:, j], got[:, j], true[j])
-            near = np.flatnonzero(each >= each.max() - slack)
-            own[a] = float(grid[at] if each[at] >= each.max() - slack else grid[near[np.abs(near - at).argmin()]])
+            own[a] = float(grid[middle(f1(both[:, j] + w * both.sum(1), got[:, j] + w * got.sum(1), true[j] + prior))])
     return Limits(less, own, float(grid[at]))
 
 
@@ -252,8 +247,9 @@ def training_sample(documents: DataFrame, labels: DataFrame, areas: list[str] |
     return [(t, set(a)) for t, a in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
 
 
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None, most: int = 4000, longest: int = 20_000, held: int = 3) -> tuple[dict, Limits]:
-    """Terms and limits: every ``held``-th document of the sample calibrates, the others teach the terms.
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None, most: int = 4000, longest: int = 20_000) -> tuple[dict, Limits]:
+    """Terms and limits: each half of the sample is counted with terms learned from the other half, which
+    calibrates the limits; the terms that are used come from the whole sample.
 
     ``subjects``: subject and description, a short fixed list; None takes the areas of the seed list
     and of the labels.
@@ -265,10 +261,11 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None, mos
             raise ValueError("at most 1,000 areas")
         listed = {r["subject"]: r["description"] for r in rows}
     sample = training_sample(documents, labels, sorted(listed) if listed is not None else None, most, longest)
-    weights = learn([x for i, x in enumerate(sample) if i % held], listed)
-    matcher = Matcher(weights)
-    limits = calibrate([(*matcher.profile(t), areas) for i, (t, areas) in enumerate(sample) if i % held == 0])
-    return weights, limits
+    halves, counted = (sample[0::2], sample[1::2]), []
+    for mine, other in (halves, halves[::-1]):
+        matcher = Matcher(learn(other, listed))
+        counted += [(*matcher.profile(t), areas) for t, areas in mine]
+    return learn(sample, listed), calibrate(counted)
 
 
 def shares(documents: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, **how) -> DataFrame:
