@@ -27,10 +27,10 @@ def test_against_brute_force(spark):
     for n, names in ((400, ["Hot", "r/hot ", "hot", "cold", None, " "]), (15, ["a"]), (200, ["x"] * 9 + ["y"])):
         rows = [(f"t1_{rnd.randrange(n):05d}", rnd.choice(names), rnd.choice([None, 0, 1, 1, 1, 7]), rnd.choice([None, 5, 9])) for _ in range(n * 2)] + [(None, "a", 1, 1)]
         df = spark.createDataFrame(rows, SCHEMA)
-        for prefixes in ((6, 8), (1,), ()):
+        for rounds, step in ((2, 2), (1, 1), (0, 2)):
             caps_rows = caps.latest(df)
             cap = caps_rows.count() // 20
-            got = [r.item_id for r in caps.over_cap(caps_rows.filter("who is not null"), cap, prefixes=prefixes).collect()]
+            got = [r.item_id for r in caps.over_cap(caps_rows.filter("who is not null"), cap, rounds=rounds, step=step).collect()]
             assert len(got) == len(set(got)) and set(got) == brute(rows, 20)
         kept = {r.item_id for r in caps.capped(df).collect()}
         assert not kept & brute(rows, 20)
@@ -41,3 +41,10 @@ def test_empty_and_clashing_columns(spark):
     assert [r.item_id for r in caps.found(df).collect()] == ["a"]
     assert caps.found(df.limit(0)).count() == 0
     assert caps.capped(df, share=None, most=1).count() == 1
+
+
+def test_share_and_count_together(spark):
+    df = spark.createDataFrame([(f"x{i:03d}", f"s{i % 50}", i, 1) for i in range(200)], SCHEMA)
+    kept = caps.capped(df, share=0.5, most=1)
+    assert kept.count() == 50
+    assert caps.capped(df, share=0.01, most=3).count() == 100

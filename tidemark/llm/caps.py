@@ -3,8 +3,8 @@
 Every contributor's quality is summed up in a mergeable histogram (one bin per score; counts add up
 map-side). The running count over the bins, best first, gives the bin in which the cap falls: bins
 above it are kept and bins below it removed by a plain filter. Only the rows of that one borderline
-bin are ranked, by ``item_id``: they are narrowed by histograms over ever longer key prefixes, so
-that the final rank sees one small prefix group however many rows tie.
+bin are ranked, by ``item_id``: they are narrowed by histograms over ever longer key prefixes, chosen
+from the keys themselves, so that the final rank sees one small prefix group however many rows tie.
 
 Null contributors are left out; a null score ranks below every score; ties go by item_id ascending,
 which is unique after the latest fetch of each item was taken (latest ``fetched_utc``; of equal ones
@@ -34,13 +34,18 @@ def latest(items: DataFrame) -> DataFrame:
     return kept.groupBy("item_id").agg(F.max(F.struct("o", "who", "score")).alias("m")).select("item_id", "m.who", "m.score")
 
 
-def over_cap(rows: DataFrame, cap: int, binding: int | None = None, prefixes: tuple[int, ...] = (6, 8)) -> DataFrame:
+def shared_prefix(low: Column, high: Column) -> Column:
+    """Length of the common beginning of two strings without NUL characters."""
+    return F.length(F.regexp_extract(F.concat(low, F.lit("\0"), high), "(?s)^([^\\x00]*)[^\\x00]*\\x00\\1", 1))
+
+
+def over_cap(rows: DataFrame, cap: int, binding: int | None = None, rounds: int = 2, step: int = 2) -> DataFrame:
     """The rows beyond the cap: ``item_id``. ``rows``: item_id, who, score.
 
-    ``prefixes``: key lengths of the histograms that narrow the borderline bin; each is computed
-    over the rows still undecided, and any length gives the same result. ``binding``: a proven bound
-    on the contributors beyond the cap, where there is one; the cutoffs, a row for each of them, are
-    then broadcast.
+    The rows of the borderline bin are narrowed in ``rounds`` by histograms over their keys' beginnings,
+    ``step`` characters past what the keys of the bin have in common; any choice gives the same result.
+    ``binding``: a proven bound on the contributors beyond the cap, where there is one; the cutoffs, a
+    row for each of them, are then broadcast. Undecided rows are written once per round.
     """
     small = F.broadcast if binding is not None and binding <= 10_000 else (lambda df: df)
     quality = F.coalesce("score", F.lit(-(1 << 62)))
@@ -50,23 +55,21 @@ def over_cap(rows: DataFrame, cap: int, binding: int | None = None, prefixes: tu
     bins = bins.withColumn("upto", F.sum("n").over(best)).withColumn("above", F.col("upto") - F.col("n"))
     edge = bins.filter((F.col("upto") > cap) & (F.col("above") <= cap)).select("who", F.col("q").alias("edge"), (F.lit(cap) - F.col("above")).alias("room"))
     marked = rows.join(small(edge), "who").filter("q <= edge")
-    gone = [marked.filter("q < edge").select("item_id")]
-    open_rows = marked.filter("q = edge").select("who", "item_id", "room")
-    for length in prefixes:
-        head = F.substring("item_id", 1, length)
-        counts = open_rows.withColumn("head", head).groupBy("who", "head").agg(F.count("*").alias("n"), F.first("room").alias("room"))
+    out = marked.filter("q < edge").select("item_id")
+    open_rows = cut_lineage(marked.filter("q = edge").select("who", "item_id", "room"))
+    for _ in range(rounds):
+        ends = open_rows.groupBy("who").agg(F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
+        width = ends.select("who", (shared_prefix(F.col("lo"), F.col("hi")) + step).alias("width"))
+        headed = open_rows.join(small(width), "who").select("who", "item_id", "room", F.col("item_id").substr(F.lit(1), F.col("width")).alias("head"))
+        counts = headed.groupBy("who", "head").agg(F.count("*").alias("n"), F.first("room").alias("room"))
         asc = Window.partitionBy("who").orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = counts.withColumn("upto", F.sum("n").over(asc)).withColumn("above", F.col("upto") - F.col("n"))
         cut = counts.filter("upto > room and above <= room").select("who", F.col("head").alias("cut"), (F.col("room") - F.col("above")).alias("left"))
-        placed = open_rows.withColumn("head", head).join(small(cut), "who")
-        gone.append(placed.filter("head > cut").select("item_id"))
-        open_rows = placed.filter("head = cut").select("who", "item_id", F.col("left").alias("room"))
+        placed = cut_lineage(headed.join(small(cut), "who").filter("head >= cut").select("who", "item_id", "left", (F.col("head") > F.col("cut")).alias("gone")))
+        out = out.unionByName(placed.filter("gone").select("item_id"))
+        open_rows = placed.filter("not gone").select("who", "item_id", F.col("left").alias("room"))
     rank = F.row_number().over(Window.partitionBy("who").orderBy("item_id"))
-    gone.append(open_rows.withColumn("rank", rank).filter("rank > room").select("item_id"))
-    out = gone[0]
-    for more in gone[1:]:
-        out = out.unionByName(more)
-    return out
+    return out.unionByName(open_rows.withColumn("rank", rank).filter("rank > room").select("item_id"))
 
 
 def found(items: DataFrame, parts: int = 20) -> DataFrame:
@@ -77,7 +80,7 @@ def found(items: DataFrame, parts: int = 20) -> DataFrame:
     """
     rows = cut_lineage(latest(items))
     cap = rows.count() // parts
-    return over_cap(rows.filter("who is not null"), cap, 2 * parts)
+    return over_cap(rows.filter("who is not null"), cap, 2 * parts if cap else None)
 
 
 def capped(items: DataFrame, share: float | None = 0.05, most: int | None = None) -> DataFrame:
@@ -87,7 +90,8 @@ def capped(items: DataFrame, share: float | None = 0.05, most: int | None = None
     rows = cut_lineage(latest(items))
     limits = ([int(rows.count() * share + 1e-9)] if share is not None else []) + ([most] if most is not None else [])
     named = rows.filter("who is not null")
-    gone = over_cap(named, min(limits), int(2 / share) if share else None)
+    by_share = bool(share) and (most is None or limits[0] <= most) and limits[0] > 0  # only then few can be beyond the cap
+    gone = over_cap(named, min(limits), int(2 / share) if by_share else None)
     return named.join(gone, "item_id", "left_anti").select("item_id", F.col("who").alias("contributor"), "score")
 
 

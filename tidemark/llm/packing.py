@@ -38,10 +38,17 @@ def encoding(path: str):
 
 
 def token_counts(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id``, ``n_tokens`` of each text; 0 for null and blank ones."""
+    """``doc_id``, ``n_tokens`` of each text; 0 for null and blank ones.
+
+    ``path`` is the driver's; Spark hands the file to the executors.
+    """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = path.rstrip("/").rpartition("/")[2]
 
     def run(batch: pa.RecordBatch):
-        encode = encoding(path).encode_ordinary
+        from pyspark import SparkFiles
+
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             yield key, len(encode(text)) if text and text.strip() else 0
 
