@@ -106,3 +106,38 @@ def test_long_pack_equals_the_plain_walk(spark):
         df = spark.createDataFrame(rows, "g string, position bigint, len int, pack_name string")
         got = {(r.g, r.position): r.pack for r in chunking.greedy_pack_long(df, ["g"], "len", budget, block=50).collect()}
         assert all(got["g", i] == want[i] for i in range(500)) and got["h", 0] == 0
+
+
+def test_posts(spark):
+    rows = [(" T ", " body\n"), ("T", " "), (None, "x"), (None, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, x string").select(H.post_body(F.col("t"), F.col("x"))).collect()]
+    assert got == ["T\n\nbody", "T", "x", ""]
+
+
+def test_bodies_stay_out_of_the_shuffle(spark):
+    df = spark.createDataFrame([item(1)], ITEMS)
+    plan = H.first_fetched(df, ["account_hash"])._jdf.queryExecution().sparkPlan().toString()
+    shuffled = [line for line in plan.split("\n") if "Aggregate" in line]
+    assert len(shuffled) >= 1 and H.first_fetched(df, ["account_hash"]).columns == ["item_id", "account_hash"]
+
+
+def test_probe_sample_equals_a_plain_look(spark):
+    rnd = random.Random(3)
+    rows = [(f"i{k}", rnd.choice("abcdefgh"), rnd.randrange(0, 1000)) for k in range(300)]
+    df = spark.createDataFrame(rows, "item_id string, account_hash string, created_utc bigint")
+    probes = [(0, 700), (1, 100), (2, 995), (3, 2000)]
+    want = {}
+    for p, t in probes:
+        for pos, (_, _, a) in enumerate(sorted((c, i, a) for i, a, c in rows if c >= t)[:7], 1):
+            want.setdefault(a, (p, pos))
+    got = {r.account_hash: (r.probe, r.pos) for r in H.probe_sample(df, probes, 7, 100).collect()}
+    assert got == want
+
+
+def test_chunk_texts(spark):
+    rows = [("g", 0, i, f"i{i}", "x" * n, n) for i, n in enumerate([90, 90, 90, 30, 200])] + [("g", 1, 0, "j", "y" * 500, 500), ("g", 1, 1, "k", "z", 1)]
+    df = spark.createDataFrame(rows, "g string, w int, position int, item_id string, piece string, len int")
+    kept = chunking.within_budget(df, ["g", "w"], "position", "len", 280)
+    assert {r.item_id for r in kept.collect()} == {"i0", "i1", "i2", "j"}
+    out = {r.w: r for r in chunking.texts(kept, ["g", "w"], "position", "piece", 100).collect()}
+    assert out[0].text == "\n\n".join(["x" * 90] * 3) and out[0].item_ids == ["i0", "i1", "i2"] and out[0].n_chars == 274 and out[1].n_chars == 500

@@ -8,50 +8,120 @@ def rng(seed=0):
     return np.random.default_rng(seed)
 
 
+def standardise(x):
+    """Column z-scores with missing cells as the mean, the plain way."""
+    mean = np.nanmean(x, axis=0)
+    filled = np.where(np.isnan(x), mean, x)
+    sd = filled.std(0)
+    return (filled - filled.mean(0)) / np.where(sd > 0, sd, 1.0)
+
+
+def holes(x, share=0.2, seed=20):
+    return np.where(rng(seed).random(x.shape) < share, np.nan, x)
+
+
+def test_moments_give_the_standardised_products():
+    x = holes(50 + 20 * rng().normal(size=(60, 5)))
+    x[:, 3] = 7.0
+    z = standardise(x)
+    products, squares, n = C.standard_products(C.row_moments(x))
+    assert n == 60 and np.allclose(products, z.T @ z, atol=1e-8) and np.allclose(squares, (z**2).T @ (z**2), atol=1e-8)
+
+
 def test_ledoit_wolf_and_partial_correlation():
     x = rng().normal(size=(400, 5))
     x[:, 1] = x[:, 0] + 0.3 * rng(1).normal(size=400)
-    cov, shrink = C.ledoit_wolf(C.standardise(x))
-    assert 0 <= shrink <= 1
-    p = C.partial_correlation(cov)
+    z = standardise(x)
+    s, mu = z.T @ z / 400, np.trace(z.T @ z) / 400 / 5
+    delta = ((s - mu * np.eye(5)) ** 2).sum()
+    beta = sum(((np.outer(r, r) - s) ** 2).sum() for r in z) / 400**2  # the formula as published
+    cov, shrink = C.ledoit_wolf(z.T @ z, (z**2).T @ (z**2), 400)
+    assert np.isclose(shrink, min(beta, delta) / delta) and np.allclose(cov, (1 - shrink) * s + shrink * mu * np.eye(5))
+    p, _ = C.fit(x, "pcor")
     assert p[0, 1] > 0.7 and abs(p[2, 3]) < 0.2 and np.allclose(np.diag(p), 0)
 
 
 def test_lasso_satisfies_its_conditions():
     x = rng(2).normal(size=(80, 6))
-    y = x @ np.array([2.0, 0, 0, -1, 0, 0]) + 0.1 * rng(3).normal(size=80)
+    y = np.stack([x @ np.array([2.0, 0, 0, -1, 0, 0]), x @ np.array([0, 0, 1.0, 0, 0, 3])], 1) + 0.1 * rng(3).normal(size=(80, 2))
     gram, target = x.T @ x / 80, x.T @ y / 80
-    b = C.lasso(gram, target, 0.1, steps=5000, tol=1e-12)
+    b, done = C.lasso_columns(gram, target, np.array([0.1, 0.3]), tol=1e-12)
     slope = target - gram @ b
-    assert np.all(np.abs(slope) <= 0.1 + 1e-6)
-    assert np.allclose(slope[b != 0], 0.1 * np.sign(b[b != 0]), atol=1e-6)
+    assert done.all() and np.all(np.abs(slope) <= np.array([0.1, 0.3]) + 1e-6)
+    assert np.allclose(slope[b != 0], (np.array([0.1, 0.3]) * np.sign(b))[b != 0], atol=1e-6)
+
 
+def test_graphical_lasso_satisfies_its_conditions():
+    s = np.corrcoef(rng(4).normal(size=(60, 6)) @ rng(5).normal(size=(6, 6)), rowvar=False)
+    theta, sure = C.graphical_lasso(s, 0.1)
+    gap = np.linalg.inv(theta) - s
+    off = ~np.eye(6, dtype=bool)
+    assert sure and np.all(np.abs(gap[off]) <= 0.1 + 1e-3)
+    assert np.allclose(gap[off & (np.abs(theta) > 1e-6)], 0.1 * np.sign(theta)[off & (np.abs(theta) > 1e-6)], atol=1e-3)
+    assert np.allclose(C.graphical_lasso(s, 1e-6)[0] @ s, np.eye(6), atol=2e-2)
 
-def test_graphical_lasso_inverts_where_unpenalised():
-    x = rng(4).normal(size=(500, 4))
-    s = np.cov(x, rowvar=False)
-    assert np.allclose(C.graphical_lasso(s, 1e-6, steps=200, tol=1e-9), np.linalg.inv(s), atol=1e-2)
+
+def test_an_empty_choice_falls_back_to_the_densest_fit():
+    x = rng(6).normal(size=(400, 6))
+    net, _ = C.ebic_graphical_lasso(np.corrcoef(x, rowvar=False), 400, gamma=5.0)
+    assert (np.abs(net) > 1e-8).sum() > 10
 
 
 def test_lag1_finds_a_planted_effect():
     e, x = rng(5).normal(size=(300, 3)), np.zeros((300, 3))
     for t in range(1, 300):
         x[t] = [0.1 * x[t - 1, 0], 0.8 * x[t - 1, 0], 0] + e[t]
-    b = C.lag1(C.standardise(x))
-    assert b[0, 1] > 0.4 and abs(b[2, 1]) < 0.15 and abs(b[1, 0]) < 0.15
-
-
-def test_lag1_columns_equal_single_regressions():
-    x = C.standardise(rng(14).normal(size=(60, 9)).cumsum(0))
-    x[:, 4] = 0
-    got = C.lag1(x)
-    gram, n = (x[:-1] - x[:-1].mean(0)).T @ (x[:-1] - x[:-1].mean(0)) / 59, 59
-    for j in range(9):
-        y = x[1:, j]
-        assert np.allclose(C.lasso_cv(x[:-1], y[:, None], 3)[:, 0], got[:, j], atol=1e-9)
-        target = (x[:-1] - x[:-1].mean(0)).T @ (y - y.mean()) / n
-        assert np.allclose(C.lasso_columns(gram, target[:, None], np.array([0.05]), 5000, 1e-12)[:, 0], C.lasso(gram, target, 0.05, 5000, 1e-12), atol=1e-9)
-    assert not got[:, 4].any() and not got[4].any() and got.any()
+    b, sure = C.fit(x, "lag1")
+    assert sure and b[0, 1] > 0.4 and abs(b[2, 1]) < 0.15 and abs(b[1, 0]) < 0.15
+
+
+def test_lag1_from_moments_equals_plain_cross_validation():
+    x = holes(rng(14).normal(size=(47, 6)).cumsum(0), 0.1)
+    got, _ = C.fit(x, "lag1")
+    z = standardise(x)
+    before, after, n = z[:-1], z[1:], 46
+    xc, yc = before - before.mean(0), after - after.mean(0)
+    for j in range(6):
+        penalties = C.PATH * np.abs(xc.T @ yc[:, j]).max() / n
+        errors = np.zeros(12)
+        for held in np.array_split(np.arange(n), 3):
+            keep = np.setdiff1d(np.arange(n), held)
+            a, mx, my = before[keep] - before[keep].mean(0), before[keep].mean(0), after[keep, j].mean()
+            for i, penalty in enumerate(penalties):
+                b = C.lasso_columns(a.T @ a / len(keep), (a.T @ (after[keep, j] - my) / len(keep))[:, None], np.array([penalty]))[0][:, 0]
+                errors[i] += ((after[held, j] - my - (before[held] - mx) @ b) ** 2).mean()
+        b = C.lasso_columns(xc.T @ xc / n, (xc.T @ yc[:, j] / n)[:, None], penalties[[errors.argmin()]])[0][:, 0]
+        assert np.allclose(got[:, j], b, atol=1e-4)
+
+
+def test_contemporaneous_network_is_that_of_the_residuals():
+    e = rng(8).normal(size=(400, 3))
+    e[:, 1] += e[:, 0]
+    x = np.zeros((400, 3))
+    for t in range(1, 400):
+        x[t] = [0, 0, 0.6 * x[t - 1, 2]] + e[t]
+    net, _ = C.fit(x, "contemporaneous")
+    assert net[0, 1] > 0.4 and abs(net[0, 2]) < 0.15 and np.allclose(net, net.T, atol=1e-6)
+
+
+def test_long_groups_equal_short_ones(spark):
+    x = holes(rng(16).normal(size=(90, 4)).cumsum(0), 0.1)
+    rows = [("a", 10 * t, [None if np.isnan(v) else float(v) for v in r]) for t, r in enumerate(x)] + [("b", t, [float(t % 3), float(t), 1.0, float(t * t % 7)]) for t in range(25)] + [("c", 0, [1.0] * 4), (None, 0, [1.0] * 4), ("d", 1, [1.0])]
+    df = spark.createDataFrame(rows, "account string, t bigint, x array<double>").repartition(5)
+    for method in C.LEAST:
+        short = {(r.account, r.src, r.dep): r.weight for r in C.estimate(df, "account", list("wxyz"), method).collect()}
+        long = {(r.account, r.src, r.dep): r.weight for r in C.estimate(df, "account", list("wxyz"), method, long=30).collect()}
+        assert set(short) == set(long) and {a for a, *_ in short} == {"a", "b"} and len(short) == 24
+        assert all(abs(short[k] - long[k]) < 1e-6 for k in short)
+
+
+def test_pairwise_equals_numpy(spark):
+    x = holes(rng(17).normal(size=(40, 3)))
+    df = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in r],) for r in x], "x array<double>").repartition(4)
+    for r in C.pairwise(df, ["b", "a", "c"]).collect():
+        a, b = x[:, ["b", "a", "c"].index(r.rated)], x[:, ["b", "a", "c"].index(r.other)]
+        ok = np.isfinite(a) & np.isfinite(b)
+        assert r.n == ok.sum() and np.isclose(r.r, np.corrcoef(a[ok], b[ok])[0, 1]) and np.isclose(r.cov, np.cov(a[ok], b[ok])[0, 1])
 
 
 def test_betweenness_and_eigenvector():
@@ -165,20 +235,101 @@ def test_pearson_guards_and_ranks(spark):
     assert [r.rank for r in ties] == [1.5, 1.5, 3.0]
 
 
+def test_near_acyclic_graphs_are_iterated_to_the_end(spark):
+    names = [f"n{i}" for i in range(12)]
+    for seed in range(4):
+        d = M.truth_matrix(names, f"s{seed}")
+        a, c = np.abs(d), np.full(12, 1 / np.sqrt(12))
+        for _ in range(500):
+            c = 0.85 * a @ c + 0.15 * c
+            c /= np.linalg.norm(c)
+        df = _networks(spark, d)
+        got = {r.name: r.value for r in N.sla(df, "network").collect()}
+        assert np.allclose([got[str(i)] for i in range(12)], c, atol=1e-6) and np.allclose(N.sla_of(d), c, atol=1e-6)
+        pr = [r.value for r in N.pagerank(df, "network").collect()]
+        assert abs(sum(pr) - 1) < 1e-8 and min(pr) >= 0 and np.allclose(pr, N.pagerank_of(d))
+    dense = np.abs(rng(30).normal(size=(15, 15)))
+    np.fill_diagonal(dense, 0)
+    ranks = lambda v: np.argsort(np.argsort(v))
+    assert np.corrcoef(ranks(N.sla_of(dense)), ranks(N.eigenvector_of(dense)))[0, 1] > 0.98
+
+
 def test_moments_add_up(spark):
     x = rng(10).normal(size=(50, 4))
     df = spark.createDataFrame([("k" if i % 3 else "j", r.tolist()) for i, r in enumerate(x)] + [("k", None), ("k", [1.0])], "key string, v array<double>").repartition(5)
-    got = {r.key: r for r in C.moments(df, "key", "v", 4).collect()}
+    got = {(r.key, r.dim): r for r in C.moments(df, "key", "v", 4).collect()}
     mine = x[[i for i in range(50) if i % 3]]
-    assert got["k"].n == len(mine) and np.allclose(got["k"].s1, mine.sum(0)) and np.allclose(np.array(got["k"].s2).reshape(4, 4), mine.T @ mine)
+    assert all(got["k", j].n == len(mine) and np.isclose(got["k", j].mean, mine[:, j].mean()) and np.isclose(got["k", j].mean_square, (mine[:, j] ** 2).mean()) for j in range(4))
 
 
-def test_estimate_gates_and_missing_cells(spark):
-    rows = [("a", t, n, float(v)) for t in range(8) for n, v in (("x", t), ("y", t % 3), ("z", 1))] + [("b", 0, "x", 1.0), (None, 0, "x", 1.0), ("a", 1, "x", None)]
-    out = C.estimate(spark.createDataFrame(rows, "account string, t int, name string, x double"), "account", "pcor").collect()
+def test_tables_keep_rows_without_a_value(spark):
+    rows = [("a", t, n, float(v)) for t in range(8) for n, v in (("x", t), ("y", t % 3), ("z", 1))] + [("b", 0, "x", 1.0), (None, 0, "x", 1.0), ("a", 1, "x", None), ("a", 9, "x", None), ("a", 2, "other", 5.0)]
+    x = C.tables(spark.createDataFrame(rows, "account string, t bigint, name string, x double"), "account", ["x", "y", "z"])
+    assert x.filter("account = 'a'").count() == 9 and x.filter("t = 9").first().x == [None, None, None]
+    out = C.estimate(x, "account", ["x", "y", "z"], "pcor").collect()
     assert len(out) == 6 and {r.account for r in out} == {"a"}
 
 
-def test_recovery_improves_with_volume(spark):
-    got = {r.volume: r for r in M.summary(M.recovery(spark, 3, ["thin", "thick"], [0.0], 1, k=8)).collect()}
-    assert got["thick"].edge_r_direct >= got["thin"].edge_r_direct and got["thick"].edge_r_lag1 >= got["thin"].edge_r_lag1
+def test_variance_partition_equals_the_plain_one(spark):
+    for sd, check in (((5, 0.5, 0.5, 2), lambda r: r.icc_idiographic < 0.35 and r.sigma2_pair > r.sigma2_account_pair), ((1, 0.5, 4, 1.5), lambda r: r.icc_idiographic > 0.6), ((3, 0.5, 1, 8), lambda r: r.sigma2_rep > r.sigma2_pair and 0 <= r.icc_idiographic <= 1)):
+        g = rng(31)
+        pair, acct = g.normal(0, sd[0], 60), g.normal(0, sd[1], 30)
+        reps = 10 + pair[None, :, None] + acct[:, None, None] + g.normal(0, sd[2], (30, 60, 1)) + g.normal(0, sd[3], (30, 60, 3))
+        m, s = reps.mean(2), reps.std(2)
+        m[g.random(m.shape) < 0.1] = np.nan
+        rows = [(f"a{i}", f"s{j}", "t", float(m[i, j]), float(s[i, j])) for i in range(30) for j in range(60) if np.isfinite(m[i, j])]
+        r = S.variance_partition(spark.createDataFrame(rows, "account_hash string, src string, dep string, weight double, weight_sd double")).first()
+        ok, grand, row, col = np.isfinite(m), np.nanmean(m), np.nanmean(m, 1, keepdims=True), np.nanmean(m, 0, keepdims=True)
+        a, p = ((row - grand) ** 2 * ok.sum(1, keepdims=True)).sum() / 29, ((col - grand) ** 2 * ok.sum(0, keepdims=True)).sum() / 59
+        e, rep = ((m - row - col + grand)[ok] ** 2).sum() / (29 * 59), (s[ok] ** 2).mean()
+        want = (rep, max((a - e) / 60, 0), max((p - e) / 30, 0), max(e - rep / 3, 0))
+        assert np.allclose((r.sigma2_rep, r.sigma2_account, r.sigma2_pair, r.sigma2_account_pair), want) and np.isclose(r.sigma2_rep_offtarget, np.median((m - col)[ok] ** 2))
+        assert check(r) and r.n_accounts == 30 and r.n_pairs == 60
+    assert S.variance_partition(spark.createDataFrame([], "account_hash string, src string, dep string, weight double, weight_sd double")).count() == 0
+
+
+def test_exact_quantile(spark):
+    g = rng(32)
+    for values in (g.exponential(size=501), np.repeat([0.0, 1.0], [300, 20]), np.array([3.0]), g.normal(size=200).round(1)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        for p in (0.0, 0.5, 0.975):
+            assert np.isclose(S.exact_quantile(df, "v", p, bins=8, few=5), np.quantile(values, p))
+    assert S.exact_quantile(df.limit(0), "v", 0.5) is None
+
+
+def test_spread_ranks_equal_plain_ranks(spark):
+    g = rng(33)
+    rows = [(k, float(v), i) for k in "ab" for i, v in enumerate(g.normal(size=150).round(1))] + [("c", 1.0, 0), ("c", 1.0, 1), (None, 1.0, 0), ("a", None, 999)]
+    df = spark.createDataFrame(rows, "k string, v double, i int")
+    plain = {(r.k, r.i): r.rank for r in S.average_ranks(df.filter("k is not null and v is not null"), "v", ["k"]).collect()}
+    assert {(r.k, r.i): r.rank for r in S.spread_ranks(df, "v", ["k"], buckets=7).collect()} == plain
+
+
+def test_between_accounts_equals_all_pairs(spark):
+    from tidemark.operators import convergence as V
+
+    g = rng(34)
+    v = g.normal(size=(6, 9)).round(1)
+    df = spark.createDataFrame([(f"a{i}", f"n{j}", float(v[i, j])) for i in range(6) for j in range(9)] + [("flat", f"n{j}", 1.0) for j in range(9)], "account_hash string, name string, value double")
+    vocab = spark.createDataFrame([(j, f"n{j}") for j in range(9)], "trait_idx int, name string")
+    r = np.corrcoef([M.ranks(x) for x in v])
+    got = {x.account_hash: x.rho for x in V.between_accounts(df, "value", vocab).collect()}
+    assert len(got) == 6 and all(np.isclose(got[f"a{i}"], (r[i].sum() - 1) / 5) for i in range(6))
+
+
+def test_python_graphs_are_those_of_the_plan(spark):
+    rows = [(0, "warm", "A", "cold"), (1, "cold", "A", "warm"), (2, "neat", "C", "rough"), (3, "rough", "C", "neat"), (4, "calm", "N", "tense"), (5, "tense", "N", "calm")]
+    vocab = spark.createDataFrame(rows, "trait_idx int, name string, domain string, antonym string")
+    names = [r[1] for r in rows]
+    d, g = M.truth_matrix(names, "s"), M.prior_matrix([r[1:] for r in rows], "s")
+    assert {(r.src, r.dep): r.weight for r in M.ground_truth(vocab, "s").collect()} == {(names[i], names[j]): d[i, j] for i, j in zip(*np.nonzero(d))}
+    assert all(np.isclose(r.weight, g[names.index(r.src), names.index(r.dep)]) for r in M.generic_prior(vocab, "s").collect())
+    assert np.isclose(np.abs(np.linalg.eigvals(M.transition(M.truth_matrix([f"n{i}" for i in range(40)], "s")))).max(), 0.7)
+
+
+def test_recovery_improves_with_evidence(spark):
+    rows = [(i, f"n{i}", "ABCD"[i % 4], f"n{i ^ 1}") for i in range(40)]
+    vocab = spark.createDataFrame(rows, "trait_idx int, name string, domain string, antonym string")
+    got = {r.volume: r for r in M.summary(M.recovery(vocab, 1, ["thin", "medium", "thick"], [0.0], 2)).collect()}
+    assert got["thick"].edge_r_e1 > got["medium"].edge_r_e1 > got["thin"].edge_r_e1 and got["thick"].edge_r_e3_directed > got["medium"].edge_r_e3_directed
+    assert got["thin"].edge_r_e3_directed is None and got["thick"].edge_r_e1 > 0.8 and got["thick"].e1_e3_edge_r > 0.3

@@ -41,6 +41,20 @@ def test_twin(spark, duck, name):
     assert rows(mine) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+LARGE = DATA.replace("sf0.001", "sf0.1")  # the smallest scale has no account with enough chunks
+NETWORKS = ["e3_undirected_edges", "e3_sparse_edges", "e3_directed_edges", "e3_contemporaneous_edges"]
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - set(NETWORKS)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", NETWORKS)
+def test_networks_of_ratings(spark, name):
+    got = catalogue.QUERIES[name](spark, LARGE).toPandas()
+    assert len(got) and (got.groupby("account_hash").size() == 40 * 39).all() and got.weight.notna().all() and not (got.src == got.dep).any()
+    if name != "e3_directed_edges":
+        m = got.set_index(["account_hash", "src", "dep"]).weight
+        back = got.set_index(["account_hash", "dep", "src"]).weight.rename_axis(["account_hash", "src", "dep"])
+        assert ((m - back).abs() < 1e-6).all() and (m.abs() <= 1 + 1e-9).all()

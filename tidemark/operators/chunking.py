@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.history import ranked
+
 
 def count_windows(rows: DataFrame, size: int) -> DataFrame:
     """``window_no`` for every ``size`` positions."""
@@ -174,7 +176,24 @@ def greedy_pack_any(rows: DataFrame, group: list[str], keep: list[str], length:
     return short.unionByName(long)
 
 
-def numbered(chunks: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``chunk_id`` = ``key:00000`` over the chunks that are left, in order."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return chunks.withColumn("chunk_id", F.format_string("%s:%05d", F.col(key), n))
+def numbered(chunks: DataFrame, key: str, order: str, width: int = 4096) -> DataFrame:
+    """``chunk_id`` = ``key:00000`` over the chunks that are left, by the number ``order``, unique in a key."""
+    placed = ranked(chunks.withColumn("__tie", F.lit(0)), key, order, "__tie", width)
+    return placed.withColumn("chunk_id", F.format_string("%s:%05d", F.col(key), F.col("position"))).drop("__tie", "position", "group_size")
+
+
+def within_budget(rows: DataFrame, group: list[str], order: str, length: str, budget: int, gap: int = 2) -> DataFrame:
+    """The rows of each group before the first whose joined length would exceed the budget; the first
+    row always stays. Groups are bounded (the sample of a window)."""
+    w = Window.partitionBy(*group).orderBy(order)
+    before = F.coalesce(F.sum(F.col(length) + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = (before > 0) & (before + F.col(length) > budget)
+    return rows.withColumn("__over", F.max(over.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__over = 0").drop("__over")
+
+
+def texts(rows: DataFrame, group: list[str], order: str, piece: str, least: int) -> DataFrame:
+    """``item_ids``, ``text`` (pieces in order, an empty line between) and ``n_chars`` of each group; shorter
+    texts than ``least`` are dropped. Groups are bounded by the budget of a chunk."""
+    parts = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, "item_id", piece))).alias("__p"))
+    out = parts.select(*group, F.transform("__p", lambda p: p["item_id"]).alias("item_ids"), F.array_join(F.transform("__p", lambda p: p[piece]), "\n\n").alias("text"))
+    return out.withColumn("n_chars", F.length("text")).filter(F.col("n_chars") >= least)

@@ -33,7 +33,7 @@ def normalised(items: DataFrame) -> DataFrame:
     """Typed and defaulted columns; rows without a time are dropped.
 
     A comment's missing permalink is built from its thread, a null score becomes 0, an empty parent
-    null, a tombstone body an empty one, and title and text of a post are told apart.
+    null and a tombstone body an empty one. Titles of posts are joined by ``post_body`` before.
     """
     body = F.coalesce(strip(F.col("body")), F.lit(""))
     gone = body.isin("[deleted]", "[removed]")
@@ -52,12 +52,26 @@ def normalised(items: DataFrame) -> DataFrame:
     )
 
 
-def first_fetched(items: DataFrame) -> DataFrame:
-    """One whole row per item_id: the first fetched; equal fetches by score, body and source."""
-    order = F.struct(F.col("fetched_utc").isNull(), "fetched_utc", F.col("score").isNull(), "score", F.coalesce("body", F.lit("")), F.coalesce("source", F.lit("")))
-    whole = F.struct(*items.columns)
-    picked = items.filter("item_id is not null").groupBy("item_id").agg(F.min_by(whole, order).alias("r"))
-    return picked.select("r.*")
+def post_body(title: Column, text: Column) -> Column:
+    """Title, empty line and text of a post, without outer blanks; the title alone where there is no text.
+
+    Null titles and texts count as empty.
+    """
+    head, rest = (F.coalesce(strip(c), F.lit("")) for c in (title, text))
+    return F.when(rest != "", strip(F.concat(head, F.lit("\n\n"), rest))).otherwise(head)
+
+
+def first_fetched(items: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per item_id: the first fetched; equal fetches by score, digest of the body and source.
+
+    ``columns``: what to return beside the id; only these and the digest are shuffled, so bodies stay where
+    they are unless they are asked for.
+    """
+    columns = [c for c in (columns if columns is not None else items.columns) if c != "item_id"]
+    order = F.struct(F.col("fetched_utc").isNull(), "fetched_utc", F.col("score").isNull(), "score", F.md5(F.coalesce("body", F.lit(""))), F.coalesce("source", F.lit("")))
+    rows = items.filter("item_id is not null").select("item_id", order.alias("__order"), F.struct(*columns).alias("__row"))
+    picked = rows.groupBy("item_id").agg(F.min_by("__row", "__order").alias("r"))
+    return picked.select("item_id", "r.*")
 
 
 def deduped_union(sources: Sequence[DataFrame], key: str, columns: Sequence[str]) -> DataFrame:
@@ -140,16 +154,24 @@ def gap_cohorts(rows: DataFrame, time: str, gap: int) -> DataFrame:
     return timed.join(numbered.select("__b", "cohort"), "__b").drop("__b")
 
 
-def probe_sample(items: DataFrame, probes: DataFrame, per_probe: int, cap: int) -> DataFrame:
+def probe_sample(items: DataFrame, probes: Sequence[tuple[int, int]], per_probe: int, cap: int) -> DataFrame:
     """Accounts met first when looking at the next ``per_probe`` items after each probe time.
 
-    ``probes``: probe, probe_utc (a short list). The items nearest after each probe are found by a
-    top-n per probe with partial limits, over one range condition per probe row.
+    ``probes``: (number, time), a short list of at most 1,000. An item is looked at once: it belongs to the
+    last probe before it, of whose items only the first ``per_probe`` are kept (task by task, then over
+    all). What a probe meets are then the kept items of its own and the later stretches.
     """
+    if len(probes) > 1000:
+        raise ValueError("at most 1,000 probes")
+    times = sorted({t for _, t in probes})
+    starts = F.array(*[F.lit(t) for t in times]).cast("array<bigint>")
     rows = items.filter("account_hash is not null and created_utc is not null").select("account_hash", "created_utc", "item_id")
-    met = F.broadcast(probes).join(rows, F.col("created_utc") >= F.col("probe_utc"))
-    w = Window.partitionBy("probe").orderBy("created_utc", "item_id")
-    met = met.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= per_probe)
+    placed = rows.withColumn("stretch", F.size(F.filter(starts, lambda t: t <= F.col("created_utc")))).filter("stretch > 0")
+    w = Window.partitionBy("stretch").orderBy("created_utc", "item_id")
+    kept = placed.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_probe).drop("rn")
+    seen = F.explode(F.array(*[F.struct(F.lit(p).alias("probe"), F.lit(times.index(t) + 1).alias("least")) for p, t in probes])).alias("p")
+    met = kept.select("*", seen).filter("stretch >= p.least").withColumn("probe", F.col("p.probe"))
+    met = met.withColumn("pos", F.row_number().over(Window.partitionBy("probe").orderBy("created_utc", "item_id"))).filter(F.col("pos") <= per_probe)
     first = met.groupBy("account_hash").agg(F.min(F.struct("probe", "pos")).alias("at"))
     return first.select("account_hash", F.col("at.probe").alias("probe"), F.col("at.pos").alias("pos")).orderBy("probe", "pos").limit(cap)
 

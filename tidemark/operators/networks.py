@@ -2,7 +2,8 @@
 
 Edges are long rows (account_hash, src, dep, weight); ``weight`` of an edge says how far ``dep`` depends
 on ``src``. Self edges are dropped. Centralities run over one row per network holding the k x k matrix
-as arrays (k is the vocabulary, at most 256), a fixed number of steps inside one expression.
+as arrays (k is the vocabulary, at most 256, which is checked), inside one expression, until two steps
+differ by less than a tolerance or the steps are used up.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.ratings import vocabulary
+
 
 def pooled(edges: DataFrame) -> DataFrame:
     """Mean weight per pair over accounts."""
@@ -46,6 +49,7 @@ def strengths(edges: DataFrame, *keys: str) -> DataFrame:
         F.sum(F.when(out, F.abs("weight")).otherwise(zero)).alias("out_strength"),
         F.sum(F.when(~out, F.abs("weight")).otherwise(zero)).alias("in_strength"),
         F.sum(F.when(out, F.col("weight")).otherwise(zero)).alias("out_strength_signed"),
+        F.sum(F.when(~out, F.col("weight")).otherwise(zero)).alias("in_strength_signed"),
     )
 
 
@@ -55,15 +59,15 @@ def matrices(edges: DataFrame, vocab: DataFrame, *keys: str, listed: DataFrame |
     ``listed``: the networks to return; those without an edge get a matrix of zeros. Without it, only
     networks that have edges are returned.
     """
-    index = vocab.select(F.col("name"), F.dense_rank().over(Window.orderBy("trait_idx")).alias("i"))
-    k = index.count()
-    names = F.array(*[F.lit(r["name"]) for r in index.orderBy("i").toLocalIterator()])
-    src, dep = index.select(F.col("name").alias("src"), F.col("i").alias("ri")), index.select(F.col("name").alias("dep"), F.col("i").alias("ci"))
-    cells = edges.filter("src != dep").join(F.broadcast(src), "src").join(F.broadcast(dep), "dep")
-    by = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("ri") * 1000 + F.col("ci")).alias("at"), "weight"))).alias("w"))
+    listed_names = vocabulary(vocab)
+    k = len(listed_names)
+    names = F.array(*[F.lit(n) for n in listed_names])
+    at = lambda c: F.array_position(names, F.col(c))
+    cells = edges.filter((F.col("src") != F.col("dep")) & F.col("src").isin(*listed_names) & F.col("dep").isin(*listed_names))
+    by = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((at("src") * k + at("dep")).alias("at"), "weight"))).alias("w"))
     if listed is not None:
         by = listed.select(*keys).distinct().join(by, list(keys), "left")
-    row = lambda i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at("w", i * 1000 + j), F.lit(0.0)))
+    row = lambda i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at("w", (i * k + j).cast("bigint")), F.lit(0.0)))
     return by.select(*keys, F.transform(F.sequence(F.lit(1), F.lit(k)), row).alias("m"), names.alias("names"))
 
 
@@ -83,8 +87,14 @@ def _total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
-def _iterate(start: Column, steps: int, step) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda v, _: step(v))
+def _iterate(start: Column, steps: int, step, close) -> Column:
+    """``step`` applied until ``close(new, old)``, at most ``steps`` times."""
+    begin = F.struct(start.alias("v"), F.lit(False).alias("done"))
+
+    def move(state, _):
+        return F.when(state["done"], state).otherwise(_let(step(state["v"]), lambda u: F.struct(u.alias("v"), close(u, state["v"]).alias("done"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, move, lambda state: state["v"])
 
 
 def _long(df: DataFrame, keys: tuple[str, ...], measure: str) -> DataFrame:
@@ -99,8 +109,8 @@ def stochastic(m: Column) -> Column:
     return _let(F.struct(absolute.alias("a"), sums.alias("s")), lambda x: F.transform(x["a"], lambda row: F.zip_with(row, x["s"], lambda w, t: F.when(t > 0, w / t).otherwise(F.lit(1.0) / k))))
 
 
-def pagerank(networks: DataFrame, *keys: str, steps: int = 40, alpha: float = 0.85, teleport: str | None = None) -> DataFrame:
-    """``r = alpha P r + (1 - alpha) t``, renormalised, a fixed number of steps.
+def pagerank(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-12, alpha: float = 0.85, teleport: str | None = None) -> DataFrame:
+    """``r = alpha P r + (1 - alpha) t``, renormalised, until it moves by less than ``tol`` in all.
 
     ``teleport``: a column with weights in vocabulary order; uniform where absent or all 0.
     """
@@ -116,17 +126,19 @@ def pagerank(networks: DataFrame, *keys: str, steps: int = 40, alpha: float = 0.
         raw = F.zip_with(_times(F.col("p"), v), F.col("t"), lambda a, b: alpha * a + (1 - alpha) * b)
         return _let(raw, lambda u: _let(_total(u), lambda s: F.transform(u, lambda x: x / s)))
 
-    done = ready.withColumn("v", _iterate(uniform, steps, step))
+    close = lambda u, v: _total(F.zip_with(u, v, lambda x, y: F.abs(x - y))) < tol
+    done = ready.withColumn("v", _iterate(uniform, steps, step, close))
     return _long(done, keys, "ppagerank" if teleport else "pagerank")
 
 
-def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *keys: str, steps: int = 200, alpha: float = 0.85) -> DataFrame:
+def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *keys: str, steps: int = 500, alpha: float = 0.85) -> DataFrame:
     """Personalised PageRank of one network for every group of ``weights`` (keys, name, weight).
 
     The walk is linear in its teleport, so it runs once per name as the only target (k walks, whatever
     the number of groups) and a group's result is their mean under its own weights. Every group must
-    list the whole vocabulary; weights that add up to 0 count as uniform. 200 steps leave 1e-14.
+    list the whole vocabulary; weights that add up to 0 count as uniform.
     """
+    vocabulary(vocab)  # checks the size of what is broadcast
     index = vocab.select("name", F.dense_rank().over(Window.orderBy("trait_idx")).alias("i"))
     alone = F.posexplode(F.transform("names", lambda n: F.transform("names", lambda o: F.when(o == n, 1.0).otherwise(0.0)))).alias("at", "t0")
     walks = pagerank(networks.select("m", "names", alone), "at", steps=steps, alpha=alpha, teleport="t0")
@@ -138,8 +150,10 @@ def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *key
     return _long(done, keys, "ppagerank")
 
 
-def sla(networks: DataFrame, *keys: str, steps: int = 40, delta: float = 0.85) -> DataFrame:
-    """G1: damped power iteration on absolute weights; vectors of norm 0 become 0."""
+def sla(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-10, delta: float = 0.85) -> DataFrame:
+    """G1: damped power iteration on absolute weights until it moves by less than ``tol``; a vector of norm
+    0 becomes 0. Start and weights are not negative, so the largest entry never is and no sign is to be
+    turned."""
     k = F.size("m")
     start = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / F.sqrt(k.cast("double")))
     ready = networks.withColumn("a", F.transform("m", lambda row: F.transform(row, lambda x: F.abs(x))))
@@ -148,7 +162,49 @@ def sla(networks: DataFrame, *keys: str, steps: int = 40, delta: float = 0.85) -
         raw = F.zip_with(_times(F.col("a"), v), v, lambda x, y: delta * x + (1 - delta) * y)
         return _let(raw, lambda u: _let(F.sqrt(_dot(u, u)), lambda n: F.transform(u, lambda x: F.when(n > 1e-300, x / n).otherwise(F.lit(0.0)))))
 
-    return _long(ready.withColumn("v", _iterate(start, steps, step)), keys, "sla")
+    def close(u, v):
+        return _let(F.zip_with(u, v, lambda x, y: x - y), lambda d: F.sqrt(_dot(d, d))) < tol
+
+    return _long(ready.withColumn("v", _iterate(start, steps, step, close)), keys, "sla")
+
+
+def sla_of(a: np.ndarray, steps: int = 500, tol: float = 1e-10, delta: float = 0.85) -> np.ndarray:
+    """G1 of one matrix, for matrices that are made in Python."""
+    m, v = np.abs(a), np.full(len(a), 1 / np.sqrt(len(a)))
+    for _ in range(steps):
+        u = delta * (m @ v) + (1 - delta) * v
+        norm = np.linalg.norm(u)
+        if norm < 1e-300:
+            return np.zeros(len(a))
+        u = u / norm
+        if np.linalg.norm(u - v) < tol:
+            return u
+        v = u
+    return v
+
+
+def pagerank_of(a: np.ndarray, steps: int = 500, tol: float = 1e-12, alpha: float = 0.85) -> np.ndarray:
+    """G4 of one matrix, uniform teleport."""
+    m = np.abs(a)
+    sums, k = m.sum(0), len(a)
+    p = np.where(sums > 0, m / np.where(sums > 0, sums, 1.0), 1.0 / k)
+    v = np.full(k, 1.0 / k)
+    for _ in range(steps):
+        u = alpha * (p @ v) + (1 - alpha) / k
+        u = u / u.sum()
+        if np.abs(u - v).sum() < tol:
+            return u
+        v = u
+    return v
+
+
+def measures_of(a: np.ndarray) -> dict[str, np.ndarray]:
+    """G8 of one matrix: every measure that needs no weights of nodes."""
+    m = np.abs(a)
+    return {
+        "sla": sla_of(a), "eigenvector": eigenvector_of(a), "pagerank": pagerank_of(a), "out_strength": m.sum(1), "in_strength": m.sum(0),
+        "out_strength_signed": a.sum(1), "betweenness": betweenness_of(a),
+    }
 
 
 def eigenvector_of(a: np.ndarray) -> np.ndarray:

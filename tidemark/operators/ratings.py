@@ -48,11 +48,17 @@ def replicate_stats(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def vocabulary(vocab: DataFrame, most: int = 256) -> list[str]:
+    """The names in order of ``trait_idx``; more than ``most`` are an error, so what is made of them is bounded."""
+    names = [r["name"] for r in vocab.filter("name is not null").groupBy("name").agg(F.min("trait_idx").alias("i")).orderBy("i", "name").limit(most + 1).toLocalIterator()]
+    if len(names) > most:
+        raise ValueError(f"the vocabulary of a network is at most {most} names")
+    return names
+
+
 def vocabulary_pairs(vocab: DataFrame) -> Column:
-    """All ordered pairs of different traits as one array literal (the vocabulary is 40 names)."""
-    names = [r["name"] for r in vocab.select("trait_idx", "name").orderBy("trait_idx").toLocalIterator()]
-    if len(names) > 256:
-        raise ValueError("the vocabulary of a network is at most 256 names")
+    """All ordered pairs of different names as one array literal."""
+    names = vocabulary(vocab)
     return F.array(*[F.struct(F.lit(a).alias("src"), F.lit(b).alias("dep")) for a in names for b in names if a != b]) if len(names) > 1 else F.array().cast("array<struct<src:string,dep:string>>")
 
 
@@ -68,10 +74,9 @@ def ablation_edges(rows: DataFrame, vocab: DataFrame) -> DataFrame:
         "account_hash", F.col("trait").alias("src"), F.col("rated").alias("dep"), F.col("mean").alias("without"), F.col("sd").alias("weight_sd"), F.col("n").alias("n_replicates")
     )
     both = cut.select("account_hash", "src").distinct().join(base.select("account_hash").distinct(), "account_hash", "left_semi").filter("account_hash is not null")
-    names = vocab.select(F.col("name").alias("dep"))
-    whole = both.join(F.broadcast(vocab.select(F.col("name").alias("src"))), "src", "left_semi")
-    targets = F.array(*[F.lit(r["dep"]) for r in names.toLocalIterator()])
-    cells = whole.select("account_hash", "src", F.explode(targets).alias("dep")).filter("src != dep")
+    names = vocabulary(vocab)
+    targets = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    cells = both.filter(F.col("src").isin(*names)).select("account_hash", "src", F.explode(targets).alias("dep")).filter("src != dep")
     out = cells.join(base, ["account_hash", "dep"], "left").join(cut, ["account_hash", "src", "dep"], "left")
     return out.select("account_hash", "src", "dep", F.coalesce(F.col("full") - F.col("without"), F.lit(0.0)).alias("weight"), "weight_sd", F.coalesce("n_replicates", F.lit(0)).alias("n_replicates"))
 
@@ -113,7 +118,7 @@ def normalised_weights(rows: DataFrame, by: str, name: str, value: str) -> DataF
 
 def on_vocabulary(rows: DataFrame, vocab: DataFrame, value: str) -> DataFrame:
     """``rows`` (account_hash, name, value) completed to every name of the vocabulary."""
-    names = F.array(*[F.lit(r["name"]) for r in vocab.select("name").toLocalIterator()])
+    names = F.array(*[F.lit(n) for n in vocabulary(vocab)])
     cells = rows.select("account_hash").filter("account_hash is not null").distinct().select("account_hash", F.explode(names).alias("name"))
     return cells.join(rows, ["account_hash", "name"], "left").select("account_hash", "name", F.coalesce(value, F.lit(0)).cast("double").alias("value"))
 

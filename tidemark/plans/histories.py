@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import prompts
 from tidemark.operators import chunking, history as H
 from tidemark.sources.tables import table
 
@@ -20,12 +21,13 @@ def _named(s, d):
 
 def account_profile(s, d):
     """A2: profile of each account over its deduplicated, normalised history."""
-    return H.profile(H.normalised(H.first_fetched(table(s, d, "items"))))
+    rows = H.first_fetched(table(s, d, "items"), ["account_hash", "kind", "subreddit", "created_utc"]).filter("created_utc is not null")
+    return H.profile(rows.withColumns({"kind": F.lower("kind"), "subreddit": H.forum_name(F.col("subreddit"))}))
 
 
 FIRST = """
 first_fetched as (
-  select * exclude (rn) from (select *, row_number() over (partition by item_id order by fetched_utc nulls last, score nulls last, coalesce(body, ''), coalesce(source, '')) as rn
+  select * exclude (rn) from (select *, row_number() over (partition by item_id order by fetched_utc nulls last, score nulls last, md5(coalesce(body, '')), coalesce(source, '')) as rn
   from items where item_id is not null) where rn = 1)
 """
 
@@ -33,14 +35,15 @@ RANKED = f"""
 with ranked as (
   select item_id, account_hash, created_utc, coalesce(length(body), 0) as len,
          row_number() over (partition by account_hash order by created_utc, item_id) - 1 as position, count(*) over (partition by account_hash) as group_size
-  from (select * exclude (rn) from (select *, row_number() over (partition by item_id order by fetched_utc nulls last, score nulls last, coalesce(body, ''), coalesce(source, '')) as rn
+  from (select * exclude (rn) from (select *, row_number() over (partition by item_id order by fetched_utc nulls last, score nulls last, md5(coalesce(body, '')), coalesce(source, '')) as rn
         from items where item_id is not null) where rn = 1)
   where account_hash is not null and created_utc is not null)
 """
 
 
 def _ranked(s, d):
-    rows = H.first_fetched(table(s, d, "items")).select("item_id", "account_hash", "created_utc", F.coalesce(F.length("body"), F.lit(0)).alias("len"))
+    items = table(s, d, "items").withColumn("len", F.coalesce(F.length("body"), F.lit(0)))
+    rows = H.first_fetched(items, ["account_hash", "created_utc", "len"])
     return H.ranked(rows, "account_hash", "created_utc", "item_id")
 
 
@@ -71,7 +74,7 @@ def excluded_fraction_guard(s, d):
 
 def history_cap_newest_first(s, d):
     """The newest items per account and kind."""
-    rows = H.first_fetched(table(s, d, "items")).filter("account_hash is not null").select("item_id", "account_hash", "kind", "created_utc")
+    rows = H.first_fetched(table(s, d, "items"), ["account_hash", "kind", "created_utc"]).filter("account_hash is not null").select("item_id", "account_hash", "kind", "created_utc")
     return H.newest(rows, ["account_hash", "kind"], 5)
 
 
@@ -126,18 +129,72 @@ def gap_cohorts_topn(s, d):
 
 def candidate_probe_sample(s, d):
     """Accounts in the order in which probes at fixed times meet them."""
-    probes = s.createDataFrame([(i, 1400000000 + i * 37_000_000) for i in range(8)], "probe int, probe_utc bigint")
-    return H.probe_sample(H.first_fetched(table(s, d, "items")), probes, 50, 60)
+    probes = [(i, 1400000000 + i * 37_000_000) for i in range(8)]
+    return H.probe_sample(H.first_fetched(table(s, d, "items"), ["account_hash", "created_utc"]), probes, 50, 60)
 
 
 def thread_order(s, d):
     """Threads of an account in the order of their first item."""
-    rows = H.first_fetched(table(s, d, "items")).filter("account_hash is not null and link_id is not null")
-    from pyspark.sql import Window
-
+    rows = H.first_fetched(table(s, d, "items"), ["account_hash", "link_id", "created_utc"]).filter("account_hash is not null and link_id is not null")
     firsts = rows.groupBy("account_hash", "link_id").agg(F.min(F.struct("created_utc", "item_id")).alias("f"), F.count("*").alias("n"))
-    w = Window.partitionBy("account_hash").orderBy("f")
-    return firsts.select("account_hash", "link_id", "n", F.row_number().over(w).alias("thread_no"))
+    flat = firsts.select("account_hash", "link_id", "n", F.col("f.created_utc").alias("first_utc"), F.col("f.item_id").alias("first_item"))
+    return H.ranked(flat, "account_hash", "first_utc", "first_item").select("account_hash", "link_id", "n", (F.col("position") + 1).alias("thread_no"))
+
+
+def normalise_posts(s, d):
+    """Bodies of posts from title and text; parts of the catalogue stand in, every third without text."""
+    rows = table(s, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" \n")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).alias("text"))
+    return rows.select("p_partkey", H.post_body(F.col("title"), F.col("text")).alias("body"))
+
+
+def eligible_only(s, d):
+    """The newest index row of each account that is marked eligible, among those with calls."""
+    index = table(s, d, "account_index").filter("account_hash is not null")
+    newest = index.groupBy("account_hash").agg(F.max_by(F.struct("eligible", "n_items", "n_chunks"), F.struct("ingested_utc", F.coalesce("n_items", F.lit(-1)), F.coalesce("n_chunks", F.lit(-1)))).alias("r"), F.max("ingested_utc").alias("ingested_utc"))
+    only = table(s, d, "calls").select("account_hash").distinct()
+    return newest.select("account_hash", "r.*", "ingested_utc").filter("eligible").join(only, "account_hash", "left_semi").select("account_hash", "n_items", "n_chunks", "ingested_utc")
+
+
+def _pieces(s, d):
+    """Ranked items with what each adds to a chunk's text, as first fetched."""
+    items = table(s, d, "items").withColumn("piece", F.concat(F.lit("("), F.coalesce("subreddit", F.lit("unknown")), F.lit(") "), F.coalesce(H.strip(F.col("body")), F.lit(""))))
+    rows = H.first_fetched(items, ["account_hash", "created_utc", "piece"]).withColumn("len", F.length("piece"))
+    return H.ranked(rows, "account_hash", "created_utc", "item_id")
+
+
+def _chunk_columns(chunks, strategy):
+    return chunks.select("account_hash", "chunk_id", F.lit(strategy).alias("strategy"), "t_start", "t_end", "n_chars", F.array_join("item_ids", ",").alias("item_ids"), F.md5("text").alias("text_md5"), "epoch")
+
+
+def chunk_window_texts(s, d):
+    """Windows of 15 items packed into texts of at most 6,000 characters."""
+    rows = chunking.count_windows(_pieces(s, d), 15)
+    packed = chunking.greedy_pack(rows.drop("piece"), ["account_hash", "window_no"], ["position"], "len", 6000, "item_id").select("account_hash", "window_no", "item_id", "pack")
+    placed = rows.join(packed, ["account_hash", "window_no", "item_id"])
+    built = chunking.texts(placed, ["account_hash", "window_no", "pack"], "position", "piece", 200)
+    times = placed.groupBy("account_hash", "window_no", "pack").agg(F.min("created_utc").alias("t_start"), F.max("created_utc").alias("t_end"))
+    span = rows.groupBy("account_hash").agg(F.min("created_utc").alias("lo"), F.max("created_utc").alias("hi"), F.greatest(F.lit(2), F.least(F.lit(6), F.floor(F.count("*") / 40))).cast("int").alias("bins"))
+    both = built.join(times, ["account_hash", "window_no", "pack"]).join(span, "account_hash")
+    epoch = F.least(F.floor((F.col("t_start") - F.col("lo")) * F.col("bins") / (F.col("hi") + 1 - F.col("lo"))), F.col("bins") - 1).cast("int")
+    ordered = both.withColumn("epoch", epoch).withColumn("at", F.col("window_no") * 16 + F.col("pack"))
+    return _chunk_columns(chunking.numbered(ordered, "account_hash", "at"), "window")
+
+
+def prompt_requests(s, d):
+    """The request for every chunk, in two versions."""
+    rows, scale = table(s, d, "chunks").select("chunk_id", "text").distinct(), prompts.scale(["honest", "patient"])
+    versions = [rows.select("chunk_id", F.lit(v).alias("version"), prompts.render(prompts.template(v, "e3_chunk"), text=F.col("text"), scale=scale).alias("request")) for v in ("p1", "p1b")]
+    return versions[0].unionByName(versions[1]).select("chunk_id", "version", F.md5("request").alias("request_md5"), F.length("request").alias("n_chars")).distinct()
+
+
+def chunk_sampled_texts(s, d):
+    """A sample of each of 8 equal windows, in texts of at most 1,500 characters."""
+    rows = chunking.equal_windows(_pieces(s, d).filter("group_size > 8"), 8)
+    sampled = chunking.sampled_positions(rows, 1500, ["account_hash", "window_no"], "len", "position")
+    kept = chunking.within_budget(sampled, ["account_hash", "window_no"], "position", "len", 1500)
+    times = rows.groupBy("account_hash", "window_no").agg(F.min("created_utc").alias("t_start"), F.max("created_utc").alias("t_end"))
+    built = chunking.texts(kept, ["account_hash", "window_no"], "position", "piece", 200).join(times, ["account_hash", "window_no"])
+    return _chunk_columns(chunking.numbered(built.withColumn("epoch", F.floor(F.col("window_no") * 2 / 8).cast("int")), "account_hash", "window_no"), "sampled_window")
 
 
 def chunk_count_windows(s, d):
@@ -145,7 +202,7 @@ def chunk_count_windows(s, d):
     rows = chunking.count_windows(_ranked(s, d), 20)
     chunks = rows.groupBy("account_hash", "window_no").agg(F.count("*").alias("n"), F.sum(F.col("len") + 2).alias("chars"), F.min("created_utc").alias("t_start"), F.max("created_utc").alias("t_end"))
     kept = chunks.withColumn("n_chars", F.col("chars") - 2).filter("n_chars >= 100")
-    return chunking.numbered(kept, "account_hash", ["window_no"]).select("account_hash", "chunk_id", "n", "n_chars", "t_start", "t_end")
+    return chunking.numbered(kept, "account_hash", "window_no").select("account_hash", "chunk_id", "n", "n_chars", "t_start", "t_end")
 
 
 def chunk_equal_windows(s, d):
@@ -180,7 +237,8 @@ def chunk_greedy_pack(s, d):
 
 def chunk_thread_pack(s, d):
     """Greedy packing of each thread of an account."""
-    rows = H.first_fetched(table(s, d, "items")).select("item_id", "account_hash", "link_id", "created_utc", F.coalesce(F.length("body"), F.lit(0)).alias("len"))
+    items = table(s, d, "items").withColumn("len", F.coalesce(F.length("body"), F.lit(0)))
+    rows = H.first_fetched(items, ["account_hash", "link_id", "created_utc", "len"])
     packed = chunking.greedy_pack_any(H.ranked(rows, ["account_hash", "link_id"], "created_utc", "item_id"), ["account_hash", "link_id"], ["item_id"], "len", 600)
     return packed.groupBy("account_hash", "link_id", "pack").agg(F.count("*").alias("n"), (F.sum(F.col("piece_length") + 2) - 2).alias("n_chars"))
 
@@ -210,18 +268,56 @@ walk as (
 """
 
 
+PIECES = f"""
+pieces as (
+  select item_id, account_hash, created_utc, '(' || coalesce(subreddit, 'unknown') || ') ' || trim(coalesce(body, ''), {BLANK}) as piece,
+         row_number() over (partition by account_hash order by created_utc, item_id) - 1 as position, count(*) over (partition by account_hash) as group_size
+  from (select * exclude (rn) from (select *, row_number() over (partition by item_id order by fetched_utc nulls last, score nulls last, md5(coalesce(body, '')), coalesce(source, '')) as rn
+        from items where item_id is not null) where rn = 1)
+  where account_hash is not null and created_utc is not null)"""
+
 _RANKED_BODY = RANKED.strip()[len("with ranked as ("):-1]
 
 QUERIES = {
     f.__name__: f
     for f in (
         account_profile, sample_frame, exclusion_exact_anti, exclusion_prefix, excluded_fraction_guard, history_cap_newest_first, union_dedupe_sources, index_upsert,
-        entity_hash, normalise_items, usage_json_extract, props_json_extract, gap_cohorts_topn, candidate_probe_sample, thread_order, chunk_count_windows,
+        entity_hash, normalise_items, usage_json_extract, props_json_extract, gap_cohorts_topn, candidate_probe_sample, thread_order, normalise_posts, eligible_only, prompt_requests, chunk_window_texts, chunk_sampled_texts, chunk_count_windows,
         chunk_equal_windows, chunk_sampled_positions, epoch_bins, chunk_greedy_pack, chunk_thread_pack, chunk_account_pack, chunk_source_items,
     )
 }
 
+_SCALE = "Answer with one object that has each of these 2 words as a key and a whole number from 0 to 100 as value, and nothing else: honest, patient"
+
 ORACLES = {
+    "prompt_requests": f"""with r as (select distinct chunk_id, version, head || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '{_SCALE}' as q
+  from chunks, (values ('p1', 'Judge only this excerpt.'), ('p1b', 'Here is one excerpt; judge nothing else.')) v(version, head))
+select distinct chunk_id, version, md5(q) as request_md5, cast(length(q) as int) as n_chars from r""",
+    "normalise_posts": f"""with p as (select p_partkey, trim(p_name, {BLANK}) as t, trim(case p_partkey % 3 when 0 then ' ' when 1 then p_type end, {BLANK}) as x from part)
+select p_partkey, case when coalesce(x, '') <> '' then trim(t || chr(10) || chr(10) || x, {BLANK}) else t end as body from p""",
+    "eligible_only": """with r as (select *, row_number() over (partition by account_hash order by ingested_utc desc nulls last, coalesce(n_items, -1) desc, coalesce(n_chunks, -1) desc) as rn from account_index where account_hash is not null)
+select account_hash, n_items, n_chunks, ingested_utc from r where rn = 1 and eligible and account_hash in (select account_hash from calls)""",
+    "chunk_window_texts": "with recursive " + PIECES.strip() + """,
+seq as (select account_hash, position // 15 as window_no, item_id, created_utc, position, piece, length(piece) as len, row_number() over (partition by account_hash, position // 15 order by position) as r from pieces),
+walk as (select account_hash, window_no, item_id, r, 0 as pack, len as cur from seq where r = 1
+  union all
+  select s.account_hash, s.window_no, s.item_id, s.r, case when w.cur + s.len + 2 <= 6000 then w.pack else w.pack + 1 end, case when w.cur + s.len + 2 <= 6000 then w.cur + s.len + 2 else s.len end
+  from walk w join seq s on s.r = w.r + 1 and s.account_hash = w.account_hash and s.window_no = w.window_no),
+b as (select s.account_hash, s.window_no, pack, string_agg(piece, chr(10) || chr(10) order by position) as text, string_agg(s.item_id, ',' order by position) as item_ids, min(created_utc) as t_start, max(created_utc) as t_end
+  from seq s join walk w on w.account_hash = s.account_hash and w.window_no = s.window_no and w.r = s.r group by 1, 2, 3),
+sp as (select account_hash, min(created_utc) as lo, max(created_utc) as hi, greatest(2, least(6, count(*) // 40)) as bins from pieces group by 1)
+select b.account_hash, b.account_hash || ':' || lpad(cast(row_number() over (partition by b.account_hash order by window_no, pack) - 1 as varchar), 5, '0') as chunk_id, 'window' as strategy, t_start, t_end, cast(length(text) as int) as n_chars, item_ids, md5(text) as text_md5,
+       cast(least(floor((t_start - lo) * bins / cast(hi + 1 - lo as double)), bins - 1) as int) as epoch from b join sp using (account_hash) where length(text) >= 200""",
+    "chunk_sampled_texts": "with " + PIECES.strip() + """,
+g as (select account_hash, group_size, cast(k as int) as window_no, floor(k * (group_size / 8.0::double)) as lo, floor((k + 1) * (group_size / 8.0::double)) as hi from (select distinct account_hash, group_size from pieces where group_size > 8), range(8) t(k)),
+w as (select r.*, window_no, length(piece) as len from g join pieces r using (account_hash) where r.position >= lo and (r.position < hi or window_no = 7)),
+s as (select account_hash, window_no, count(*) as n, min(position) as o, min(created_utc) as t_start, max(created_utc) as t_end, least(count(*), greatest(1, 1500 // greatest(1, cast(sum(len) as bigint) // count(*) + 2))) as keep from w group by 1, 2),
+m as (select distinct account_hash, window_no, o + cast(case when keep = 1 then 0 else floor(m * ((n - 1)::double / greatest(keep - 1, 1))) end as bigint) as position from s, unnest(range(keep)) t(m)),
+c as (select w.*, coalesce(sum(len + 2) over (partition by account_hash, window_no order by position rows between unbounded preceding and 1 preceding), 0) as used from w join m using (account_hash, window_no, position)),
+o as (select *, max(case when used > 0 and used + len > 1500 then 1 else 0 end) over (partition by account_hash, window_no order by position) as ended from c),
+b as (select account_hash, window_no, string_agg(piece, chr(10) || chr(10) order by position) as text, string_agg(item_id, ',' order by position) as item_ids from o where ended = 0 group by 1, 2)
+select b.account_hash, b.account_hash || ':' || lpad(cast(row_number() over (partition by b.account_hash order by b.window_no) - 1 as varchar), 5, '0') as chunk_id, 'sampled_window' as strategy, t_start, t_end, cast(length(text) as int) as n_chars, item_ids, md5(text) as text_md5,
+       cast(floor(b.window_no * 2 / 8) as int) as epoch from b join s using (account_hash, window_no) where length(text) >= 200""",
     "account_profile": f"""with {FIRST}
 select account_hash, count(*) as n_items, count(*) filter (lower(kind) = 'comment') as n_comments, count(*) filter (lower(kind) = 'post') as n_posts,
        count(distinct {FORUM}) as n_subreddits, round((max(created_utc) - min(created_utc)) / 86400, 3) as span_days

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidemark.operators import networks as N, ratings as R, statistics as S
+from tidemark.operators import covariation as C, history as H, networks as N, ratings as R, statistics as S
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import table
 
 
@@ -29,9 +30,9 @@ def _pooled(s, d):
     return N.pooled(_edges(s, d)).select("src", "dep", "weight")
 
 
-def _matrix(s, d):
+def _matrix(s, d, pooled=None):
     one = s.createDataFrame([("pooled",)], "network string")
-    return N.matrices(_pooled(s, d).withColumn("network", F.lit("pooled")), _vocab(s, d), "network", listed=one)
+    return N.matrices((pooled if pooled is not None else _pooled(s, d)).withColumn("network", F.lit("pooled")), _vocab(s, d), "network", listed=one)
 
 
 def _r(*names, digits=6):
@@ -43,10 +44,12 @@ def call_store_dedupe(s, d):
     return _store(s, d).groupBy("task", "model").agg(F.count("*").alias("n_keys"), F.count("response").alias("n_answered"), F.min("created_utc").alias("first_utc"))
 
 
+KEY_FIELDS = ("account_hash", "prompt_version", "task", "trait", "replicate", "config_hash", "model")
+
+
 def call_keys(s, d):
-    """Canonical keys of the stored calls."""
-    rows = _store(s, d).select("key", R.call_key({"task": F.col("task"), "trait": F.col("trait"), "replicate": F.col("replicate"), "model": F.col("model")}).alias("call_key"))
-    return rows
+    """Canonical keys of the stored calls, over all seven fields that identify a call."""
+    return _store(s, d).select("key", R.call_key({f: F.col(f) for f in KEY_FIELDS}).alias("call_key"))
 
 
 def rating_rows(s, d):
@@ -78,14 +81,6 @@ def generic_prior(s, d):
     return R.pair_edges(rows, "e2_generic").select("src", "dep", *_r("weight", "sd"), "n")
 
 
-def stacked_edges(s, d):
-    """All edge tables in one."""
-    e1 = _edges(s, d).select(F.lit("e1").alias("estimator"), "account_hash", "src", "dep", "weight")
-    e2 = R.pair_edges(_ratings(s, d).filter("account_hash is not null"), "e2_pair").select(F.lit("e2").alias("estimator"), "account_hash", "src", "dep", "weight")
-    rows = e1.unionByName(e2)
-    return rows.select("estimator", "account_hash", F.concat_ws("->", "src", "dep").alias("trait_pair"), F.round("weight", 6).alias("weight"))
-
-
 def pooled_network(s, d):
     """The mean network."""
     return N.pooled(_edges(s, d)).select("src", "dep", *_r("weight"), "n_accounts")
@@ -109,35 +104,27 @@ def symmetrised_network(s, d):
 
 def strengths(s, d):
     """G6, A15."""
-    return N.strengths(_edges(s, d), "account_hash").select("account_hash", "name", *_r("out_strength", "in_strength", "out_strength_signed"))
+    return N.strengths(_edges(s, d), "account_hash").select("account_hash", "name", *_r("out_strength", "in_strength", "out_strength_signed", "in_strength_signed"))
 
 
-def _pivoted(s, d, names):
-    wide = _pooled(s, d).filter(F.col("dep").isin(names)).groupBy("src").pivot("dep", names).agg(F.first("weight"))
+def matrix_pivot_unpivot(s, d):
+    """Long to wide and back over every name of the vocabulary, self edges gone."""
+    names = R.vocabulary(_vocab(s, d))
+    wide = _pooled(s, d).groupBy("src").pivot("dep", names).agg(F.first("weight"))
     long = wide.unpivot("src", names, "dep", "weight").filter("weight is not null and src != dep")
     return long.select("src", "dep", *_r("weight"))
 
 
-def matrix_pivot_unpivot(s, d):
-    """Long to wide and back, self edges gone; the first 8 names as dependents."""
-    return _pivoted(s, d, [r["name"] for r in _vocab(s, d).orderBy("trait_idx").limit(8).toLocalIterator()])
-
-
-def matrix_pivot_unpivot_whole(s, d):
-    """P5, P6, P7 over every name of the vocabulary."""
-    return _pivoted(s, d, [r["name"] for r in _vocab(s, d).orderBy("trait_idx").toLocalIterator()])
-
-
 def pagerank(s, d):
     """G3, G4."""
-    return N.pagerank(_matrix(s, d), "network", steps=30).select("name", F.round("value", 8).alias("value"))
+    return N.pagerank(_matrix(s, d), "network").select("name", F.round("value", 8).alias("value"))
 
 
 def personalised_pagerank(s, d):
     """G5 with one fixed teleport, likableness; by account: ``account_personalised_pagerank``."""
-    like = [r["likableness"] or 0.0 for r in _vocab(s, d).orderBy("trait_idx").toLocalIterator()]
-    m = _matrix(s, d).withColumn("t0", F.array(*[F.lit(float(x)) for x in like]))
-    return N.pagerank(m, "network", steps=30, teleport="t0").select("name", F.round("value", 8).alias("value"))
+    like = {r["name"]: r["likableness"] for r in _vocab(s, d).select("name", "likableness").toLocalIterator()}
+    m = _matrix(s, d).withColumn("t0", F.array(*[F.lit(float(like[n] or 0.0)) for n in R.vocabulary(_vocab(s, d))]))
+    return N.pagerank(m, "network", teleport="t0").select("name", F.round("value", 8).alias("value"))
 
 
 def _node_weights(s, d):
@@ -149,7 +136,7 @@ def _node_weights(s, d):
     for kind, w in kinds.items():
         w = w.select("account_hash", "name", F.lit(kind).alias("weighting"), "weight")
         known = w if known is None else known.unionByName(w)
-    names = F.array(*[F.lit(r["name"]) for r in vocab.select("name").toLocalIterator()])
+    names = F.array(*[F.lit(n) for n in R.vocabulary(vocab)])
     accounts = st.filter("account_hash is not null").select("account_hash").distinct()
     cells = accounts.select("account_hash", F.explode(names).alias("name"))
     wide = known.groupBy("account_hash", "name").agg(*[F.max(F.when(F.col("weighting") == kind, F.col("weight"))).alias(kind) for kind in kinds])
@@ -166,7 +153,7 @@ def account_personalised_pagerank(s, d):
 
 def sla_centrality(s, d):
     """G1."""
-    return N.sla(_matrix(s, d), "network", steps=30).select("name", F.round("value", 8).alias("value"))
+    return N.sla(_matrix(s, d), "network").select("name", F.round("value", 8).alias("value"))
 
 
 def dense_centralities(s, d):
@@ -175,19 +162,24 @@ def dense_centralities(s, d):
 
 
 def _all_measures(s, d):
-    m = _matrix(s, d)
-    st = N.strengths(_pooled(s, d).withColumn("network", F.lit("pooled")), "network").unpivot(["network", "name"], ["out_strength", "in_strength", "out_strength_signed"], "measure", "value")
-    return N.pagerank(m, "network", steps=30).unionByName(N.sla(m, "network", steps=30)).unionByName(st)
+    """Every measure by expressions, and the matrix they come from; the pooled edges are written once."""
+    pooled = cut_lineage(_pooled(s, d))
+    m = cut_lineage(_matrix(s, d, pooled))
+    st = N.strengths(pooled.withColumn("network", F.lit("pooled")), "network").unpivot(["network", "name"], ["out_strength", "in_strength", "out_strength_signed"], "measure", "value")
+    return N.pagerank(m, "network").unionByName(N.sla(m, "network")).unionByName(st), m
 
 
 def all_centralities(s, d):
-    """Every measure, tidy."""
-    return _all_measures(s, d).unionByName(N.dense_centralities(_matrix(s, d), "network")).select("name", "measure", F.round("value", 8).alias("value"))
+    """Every measure, tidy; the personalised PageRank by the mean evidence density of the accounts."""
+    rows, m = _all_measures(s, d)
+    dens = R.density(R.quotes(_store(s, d)), _vocab(s, d)).groupBy("name").agg(F.avg("weight").alias("weight"))
+    mean = N.personalised(m, dens.withColumn("network", F.lit("pooled")), _vocab(s, d), "network")
+    return rows.unionByName(N.dense_centralities(m, "network")).unionByName(mean).select("name", "measure", F.round("value", 8).alias("value"))
 
 
 def centrality_rank_corr(s, d):
     """Spearman correlation between measures."""
-    rows = _all_measures(s, d).withColumn("value", F.round("value", 8))
+    rows = _all_measures(s, d)[0].withColumn("value", F.round("value", 7))
     ranks = S.average_ranks(rows, "value", ["measure"], "r").select("name", "measure", "r")
     both = ranks.join(ranks.select("name", F.col("measure").alias("other"), F.col("r").alias("q")), "name").filter("measure < other")
     return both.groupBy("measure", "other").agg(F.round(S.pearson("r", "q"), 6).alias("rho"))
@@ -232,29 +224,33 @@ def standardise_matrix(s, d):
     return S.standardised(x, "mean", ["rated"]).select("chunk_id", "rated", *_r("z"))
 
 
+def chunk_matrix_by_model(s, d):
+    """the chunk matrix of one model's answers, each model by itself."""
+    st = _store(s, d).filter("task = 'e3_chunk' and account_hash is not null and model is not null")
+    models = st.select("key", "model")
+    rows = R.ratings(st).join(models, "key")
+    return rows.groupBy("model", "rated").agg(F.count("rating").alias("n"), F.round(F.avg("rating"), 6).alias("mean"))
+
+
 def trait_correlations(s, d):
-    """Correlation and sample covariance of traits over chunks."""
-    x = chunk_matrix(s, d).filter("mean is not null").select("chunk_id", "rated", F.col("mean").alias("x"))
-    both = x.join(x.select("chunk_id", F.col("rated").alias("other"), F.col("x").alias("y")), "chunk_id").filter("rated < other")
-    return both.groupBy("rated", "other").agg(F.count("*").alias("n"), F.round(S.pearson("x", "y"), 5).alias("r"), F.round(F.covar_samp("x", "y"), 8).alias("cov"))
+    """Correlation and sample covariance of traits over chunks, from sums of products."""
+    names = R.vocabulary(_vocab(s, d))
+    x = chunk_matrix(s, d).filter("mean is not null").select("account_hash", F.col("chunk_id").alias("t"), F.col("rated").alias("name"), F.col("mean").alias("x"))
+    return C.pairwise(C.tables(x, "account_hash", names), names).select("rated", "other", "n", F.round("r", 5).alias("r"), F.round("cov", 3).alias("cov"))
 
 
 def lag1_cross_moments(s, d):
     """Products of a trait with itself one chunk later, by account."""
-    x = chunk_matrix(s, d).filter("mean is not null")
-    w = Window.partitionBy("account_hash", "rated").orderBy("chunk_id")
-    lagged = x.withColumn("before", F.lag("mean").over(w)).filter("before is not null")
+    x = chunk_matrix(s, d).filter("mean is not null").withColumn("t", F.split_part("chunk_id", F.lit(":"), F.lit(2)).try_cast("bigint"))
+    placed = H.ranked(x, ["account_hash", "rated"], "t", "chunk_id", 4096).select("account_hash", "rated", "position", "mean")
+    before = placed.select("account_hash", "rated", (F.col("position") + 1).alias("position"), F.col("mean").alias("before"))
+    lagged = placed.join(before, ["account_hash", "rated", "position"])
     return lagged.groupBy("rated").agg(F.count("*").alias("n"), F.round(F.avg(F.col("mean") * F.col("before")), 4).alias("moment"), F.round(S.pearson("before", "mean"), 6).alias("r"))
 
 
-def _complete(s, d):
-    """Account by pair weights of a complete table: one ablated trait per account group."""
-    return _edges(s, d).select("account_hash", "src", "dep", "weight")
-
-
 def anova_components(s, d):
     """Accounts by dependents for each left-out trait, and the off-target noise."""
-    e = _complete(s, d)
+    e = cut_lineage(_edges(s, d).select("account_hash", "src", "dep", "weight"))
     parts = S.two_way(e, "account_hash", "dep", "weight", ["src"])
     centred = e.join(e.groupBy("src", "dep").agg(F.avg("weight").alias("m")), ["src", "dep"]).withColumn("q", (F.col("weight") - F.col("m")) * (F.col("weight") - F.col("m")))
     noise = centred.groupBy("src").agg(F.percentile("q", 0.5).alias("off_target"))
@@ -263,6 +259,13 @@ def anova_components(s, d):
     return out.select("src", "n_rows", "n_cols", *_r(*cols, digits=4))
 
 
+def variance_components(s, d):
+    """The study's variance record over accounts and pairs, replicate noise taken off."""
+    edges = cut_lineage(_edges(s, d).withColumn("weight_sd", F.coalesce("weight_sd", F.lit(0.0))))
+    v = S.variance_partition(edges)
+    return v.select("n_accounts", "n_pairs", *_r(*[c for c in v.columns if c not in ("n_accounts", "n_pairs")], digits=4))
+
+
 def bootstrap_components(s, d):
     """A19 over a table of years and nations, 50 resamples; of accounts: ``bootstrap_icc``."""
     e = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -281,39 +284,14 @@ def bootstrap_icc(s, d):
     return S.bootstrap_shares(edges).select("component", *_r("lo", "hi", digits=4))
 
 
-def between_account_spearman(s, d):
-    """Rank correlation of out-strengths with the mean network, account by account."""
-    own = N.strengths(_edges(s, d), "account_hash").select("account_hash", "name", F.round("out_strength", 6).alias("x"))
-    mean = N.strengths(_pooled(s, d)).select("name", F.round("in_strength", 6).alias("y"))
-    both = own.join(F.broadcast(mean), "name")
-    r = S.average_ranks(S.average_ranks(both, "x", ["account_hash"], "rx"), "y", ["account_hash"], "ry")
-    return r.groupBy("account_hash").agg(F.count("*").alias("n"), F.round(S.pearson("rx", "ry"), 6).alias("rho"))
-
-
-def residual_convergence(s, d):
-    """Correlation of an account's deviations with the pooled weights, and its summary."""
-    dev = N.deviations(_edges(s, d)).join(_pooled(s, d), ["src", "dep"])
-    per = dev.groupBy("account_hash").agg(S.pearson("deviation", "weight").alias("r"))
-    return per.agg(F.count("r").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.min("r"), 6).alias("lo"), F.round(F.max("r"), 6).alias("hi"))
-
-
-def _mocked(s, d, vocab):
+def mock_ratings(s, d):
+    """Seeded ratings for every chunk and every trait."""
     chunks = table(s, d, "chunks").select("chunk_id").distinct()
-    names = F.array(*[F.lit(r["name"]) for r in vocab.toLocalIterator()])
+    names = F.array(*[F.lit(n) for n in R.vocabulary(_vocab(s, d))])
     rows = chunks.select("chunk_id", F.explode(names).alias("name"))
     return rows.select("chunk_id", "name", R.mock_rating(F.concat_ws("|", "chunk_id", "name")).alias("rating"))
 
 
-def mock_ratings(s, d):
-    """Seeded ratings for chunk and trait, the first 5 traits."""
-    return _mocked(s, d, _vocab(s, d).orderBy("trait_idx").limit(5))
-
-
-def mock_ratings_whole(s, d):
-    """C5 for every trait of the vocabulary."""
-    return _mocked(s, d, _vocab(s, d))
-
-
 def vocabulary_checks(s, d):
     """The vocabulary's own rules: unique names, mutual antonyms, equal valences."""
     v = _vocab(s, d)
@@ -326,10 +304,10 @@ def vocabulary_checks(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, stacked_edges, pooled_network, edge_deviations,
-        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, matrix_pivot_unpivot_whole, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
-        centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, standardise_matrix, trait_correlations,
-        lag1_cross_moments, anova_components, bootstrap_components, bootstrap_icc, between_account_spearman, residual_convergence, mock_ratings, mock_ratings_whole, vocabulary_checks,
+        call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, pooled_network, edge_deviations,
+        deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
+        centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, chunk_matrix_by_model, standardise_matrix, trait_correlations,
+        lag1_cross_moments, anova_components, variance_components, bootstrap_components, bootstrap_icc, mock_ratings, vocabulary_checks,
     )
 }
 
@@ -374,8 +352,8 @@ def _rank(teleport: str) -> str:
 tele as (select i, {teleport} as t from idx),
 walk as (select i, 1.0 / k::double as v, 0 as step from idx
   union all
-  select i, u / sum(u) over () as v, step + 1 from (select p.ri as i, 0.85 * sum(p.p * w.v) + 0.15 * any_value(t.t) as u, any_value(w.step) as step from walk w join p on p.ci = w.i join tele t on t.i = p.ri where w.step < 30 group by p.ri))
-select name, round(v, 8) as value from walk join idx using (i) where step = 30"""
+  select i, u / sum(u) over () as v, step + 1 from (select p.ri as i, 0.85 * sum(p.p * w.v) + 0.15 * any_value(t.t) as u, any_value(w.step) as step from walk w join p on p.ci = w.i join tele t on t.i = p.ri where w.step < 250 group by p.ri))
+select name, round(v, 8) as value from walk join idx using (i) where step = 250"""
 
 
 ACCOUNT_RANK = "with recursive " + EDGES + QUOTES[len(STORE):] + DENSITY_CELLS + _IDX + """,
@@ -394,14 +372,14 @@ SLA = "with recursive " + EDGES + _IDX + """,
 walk as (select i, 1.0 / sqrt(k::double) as v, 0 as step from idx
   union all
   select i, u / sqrt(sum(u * u) over ()) as v, step + 1 from (select w0.i, 0.85 * coalesce(sum(c.w * w.v), 0) + 0.15 * any_value(w0.v) as u, any_value(w0.step) as step
-    from walk w0 left join cell c on c.ri = w0.i left join walk w on w.i = c.ci where w0.step < 30 group by w0.i))
-select name, round(v, 8) as value from walk join idx using (i) where step = 30"""
+    from walk w0 left join cell c on c.ri = w0.i left join walk w on w.i = c.ci where w0.step < 500 group by w0.i))
+select name, round(v, 8) as value from walk join idx using (i) where step = 500"""
 
 MATRIX = RATINGS + """,
 x as (select account_hash, trait as chunk_id, rated, avg(rating) as mean, count(rating) as n from ratings where task = 'e3_chunk' and account_hash is not null group by 1, 2, 3)"""
 
 _STR = """,
-st as (select account_hash, name, sum(case when o = 1 then abs(weight) else 0 end) as out_strength, sum(case when o = 0 then abs(weight) else 0 end) as in_strength, sum(case when o = 1 then weight else 0 end) as out_strength_signed
+st as (select account_hash, name, sum(case when o = 1 then abs(weight) else 0 end) as out_strength, sum(case when o = 0 then abs(weight) else 0 end) as in_strength, sum(case when o = 1 then weight else 0 end) as out_strength_signed, sum(case when o = 0 then weight else 0 end) as in_strength_signed
   from (select account_hash, src as name, 1 as o, weight from edges union all select account_hash, dep, 0, weight from edges) group by 1, 2)"""
 
 
@@ -422,7 +400,9 @@ sg as (select *, greatest(0, (ms_row - ms_rest) / c) as sigma2_row, greatest(0,
 
 ORACLES = {
     "call_store_dedupe": "with " + STORE + "select task, model, count(*) as n_keys, count(response) as n_answered, min(created_utc) as first_utc from store group by 1, 2",
-    "call_keys": "with " + STORE + """select key, sha256('{"model":' || coalesce('"' || model || '"', 'null') || ',"replicate":' || coalesce(replicate::varchar, 'null') || ',"task":' || coalesce('"' || task || '"', 'null') || ',"trait":' || coalesce('"' || trait || '"', 'null') || '}') as call_key from store""",
+    "call_keys": "with " + STORE + "select key, sha256('{' || " + " || ',' || ".join(
+        f"'\"{f}\":' || coalesce({f}::varchar, 'null')" if f == "replicate" else f"'\"{f}\":' || coalesce('\"' || {f} || '\"', 'null')" for f in sorted(KEY_FIELDS)
+    ) + " || '}') as call_key from store",
     "rating_rows": "with " + RATINGS + "select distinct key, rated, rating from ratings where task <> 'evidence_chunk'",
     "replicate_ratings": "with " + RATINGS + """select account_hash, task, trait, rated, round(avg(rating), 6) as mean, round(stddev_pop(rating), 6) as sd, count(rating) as n, count(*) - count(rating) as n_missing
 from ratings where task in ('e1_baseline', 'e1_ablate_elicit') and account_hash is not null group by 1, 2, 3, 4""",
@@ -433,18 +413,14 @@ g as (select account_hash, a.name as src, b.name as dep from (select distinct ac
 select account_hash, src, dep, round(coalesce(w, 0), 6) as weight, coalesce(n, 0) as n from g left join e using (account_hash, src, dep)""",
     "generic_prior": "with " + RATINGS + """select split_part(trait, '->', 1) as src, split_part(trait, '->', 2) as dep, round(avg(rating), 6) as weight, round(stddev_pop(rating), 6) as sd, count(rating) as n
 from ratings where task = 'e2_generic' and rated = 'rating' and split_part(trait, '->', 1) <> split_part(trait, '->', 2) and split_part(trait, '->', 2) <> '' group by 1, 2""",
-    "stacked_edges": "with " + EDGES + """select 'e1' as estimator, account_hash, src || '->' || dep as trait_pair, round(weight, 6) as weight from edges union all
-select 'e2', account_hash, split_part(trait, '->', 1) || '->' || split_part(trait, '->', 2), round(avg(rating), 6) from ratings
-where task = 'e2_pair' and rated = 'rating' and account_hash is not null and split_part(trait, '->', 1) <> split_part(trait, '->', 2) and split_part(trait, '->', 2) <> '' group by 2, 3""",
     "pooled_network": "with " + EDGES + "select src, dep, round(weight, 6) as weight, n_accounts from pooled",
     "edge_deviations": "with " + EDGES + "select account_hash, src, dep, round(e.weight - p.weight, 6) as deviation from edges e join pooled p using (src, dep)",
     "deviation_covariates": "with " + EDGES + QUOTES[len(STORE):] + DENSITY_CELLS + """
 select e.account_hash, e.src, e.dep, round(abs(e.weight - p.weight), 6) as abs_deviation, round(a.weight, 6) as density_source, round(b.weight, 6) as density_dep, round(least(a.weight, b.weight), 6) as density_min
 from edges e join pooled p using (src, dep) left join density a on a.account_hash = e.account_hash and a.name = e.src left join density b on b.account_hash = e.account_hash and b.name = e.dep""",
     "symmetrised_network": "with " + EDGES + "select account_hash, least(src, dep) as a, greatest(src, dep) as b, round(sum(weight) / 2, 6) as weight from edges group by 1, 2, 3",
-    "strengths": "with " + EDGES + _STR + "select account_hash, name, round(out_strength, 6) as out_strength, round(in_strength, 6) as in_strength, round(out_strength_signed, 6) as out_strength_signed from st",
-    "matrix_pivot_unpivot": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where dep in (select name from trait_vocab order by trait_idx limit 8) and src <> dep",
-    "matrix_pivot_unpivot_whole": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where src <> dep",
+    "strengths": "with " + EDGES + _STR + "select account_hash, name, round(out_strength, 6) as out_strength, round(in_strength, 6) as in_strength, round(out_strength_signed, 6) as out_strength_signed, round(in_strength_signed, 6) as in_strength_signed from st",
+    "matrix_pivot_unpivot": "with " + EDGES + "select src, dep, round(weight, 6) as weight from pooled where src <> dep",
     "pagerank": _rank("1.0 / k::double"),
     "personalised_pagerank": _rank("likableness / sum(likableness) over ()"),
     "account_personalised_pagerank": ACCOUNT_RANK,
@@ -472,8 +448,9 @@ select account_hash, name, round(p / sum(p) over (partition by account_hash), 8)
     "standardise_matrix": "with " + MATRIX + """, y as (select chunk_id, rated, round(mean, 6) as mean from x),
 m as (select rated, avg(mean) as m, stddev_pop(mean) as s from y group by 1)
 select chunk_id, y.rated, round((coalesce(mean, m) - m) / case when s > 0 then s else 1 end, 6) as z from y join m using (rated)""",
-    "trait_correlations": "with " + MATRIX + f""", y as (select chunk_id, rated, round(mean, 6) as x from x where mean is not null)
-select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 8) as cov from y a join y b on a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
+    "chunk_matrix_by_model": "with " + RATINGS + "select model, rated, count(rating) as n, round(avg(rating), 6) as mean from ratings join (select key, model from store) using (key) where task = 'e3_chunk' and account_hash is not null and model is not null group by 1, 2",
+    "trait_correlations": "with " + MATRIX + f""", y as (select account_hash, chunk_id, rated, round(mean, 6) as x from x where mean is not null and rated in (select name from trait_vocab))
+select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 3) as cov from y a join y b on a.account_hash = b.account_hash and a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
     "lag1_cross_moments": "with " + MATRIX + f""", y as (select rated, round(mean, 6) as mean, lag(round(mean, 6)) over (partition by account_hash, rated order by chunk_id) as before from x where mean is not null)
 select rated, count(*) as n, round(avg(mean * before), 4) as moment, round({_pearson('before', 'mean')}, 6) as r from y where before is not null group by 1""",
     "anova_components": "with " + EDGES + ", cells as (select src, account_hash as rw, dep as cl, avg(weight) as x from edges group by 1, 2, 3)," + _TWO_WAY.format(k="src") + """,
@@ -486,17 +463,28 @@ ys as (select y, row_number() over (order by y) - 1 as pos, count(*) over () as
 dr as (select b as boot, w as draw, ('0x' || substr(sha256('boot:' || b || ':' || w), 1, 8))::bigint % (select max(n) from ys) as pos from range(50) t(b), range((select max(n) from ys)) u(w)),
 cells as (select boot, draw as rw, k as cl, avg(x) as x from dr join ys using (pos) join c0 using (y) group by 1, 2, 3),""" + _TWO_WAY.format(k="boot") + """
 select component, round(quantile_cont(v, 0.025), 4) as lo, round(quantile_cont(v, 0.975), 4) as hi from (select 'sigma2_row' as component, sigma2_row as v from sg union all select 'sigma2_col', sigma2_col from sg union all select 'sigma2_rest', sigma2_rest from sg) group by 1""",
-    "between_account_spearman": "with " + EDGES + _STR + f""",
-pm as (select dep as name, round(sum(abs(weight)), 6) as y from pooled group by 1),
-b as (select account_hash, st.name, round(out_strength, 6) as x, coalesce(y, 0) as y from st join (select v.name, y from (select src as name from pooled union select dep from pooled) v left join pm using (name)) m on m.name = st.name),
-r as (select account_hash, {_ranks('x', 'account_hash')} as rx, {_ranks('y', 'account_hash')} as ry from b)
-select account_hash, count(*) as n, round({_pearson('rx', 'ry')}, 6) as rho from r group by 1""",
-    "residual_convergence": "with " + EDGES + f""",
-per as (select account_hash, {_pearson('dv', 'w')} as r from (select account_hash, e.weight - p.weight as dv, p.weight as w from edges e join pooled p using (src, dep)) group by 1)
-select count(r) as n, round(avg(r), 6) as mean, round(min(r), 6) as lo, round(max(r), 6) as hi from per""",
+    "variance_components": "with " + EDGES + """,
+c as (select account_hash, src || '->' || dep as pair, weight as x, coalesce(weight_sd, 0) * coalesce(weight_sd, 0) as var from edges),
+m as (select *, avg(x) over () as g, avg(x) over (partition by account_hash) as rm, avg(x) over (partition by pair) as cm from c),
+t as (select count(distinct account_hash) as na, count(distinct pair) as np, sum((rm - g) * (rm - g)) as ssa, sum((cm - g) * (cm - g)) as ssp, sum((x - rm - cm + g) * (x - rm - cm + g)) as sse, avg(var) as rep, quantile_cont((x - cm) * (x - cm), 0.5) as off from m),
+q as (select *, ssa / greatest(na - 1, 1) as msa, ssp / greatest(np - 1, 1) as msp, sse / greatest((na - 1) * (np - 1), 1) as mse from t where na > 0),
+v as (select *, greatest(0, (msa - mse) / np) as sa, greatest(0, (msp - mse) / na) as sp, greatest(0, mse - rep / 3) as sap from q)
+select na as n_accounts, np as n_pairs, round(rep, 4) as sigma2_rep, round(sa, 4) as sigma2_account, round(sp, 4) as sigma2_pair, round(sap, 4) as sigma2_account_pair, round(off, 4) as sigma2_rep_offtarget,
+       round((sa + sap) / nullif(sa + sp + sap, 0), 4) as icc_idiographic, round(sa / nullif(sa + sp + sap, 0), 4) as icc_account_only, round((sa + greatest(0, sap - off)) / nullif(sa + sp + greatest(0, sap - off), 0), 4) as icc_idiographic_adj from v""",
+    "centrality_rank_corr": "with recursive " + EDGES + _IDX + f""",
+pw as (select i, 1.0 / k::double as v, 0 as step from idx
+  union all
+  select i, u / sum(u) over () as v, step + 1 from (select p.ri as i, 0.85 * sum(p.p * w.v) + 0.15 / any_value(x.k) as u, any_value(w.step) as step from pw w join p on p.ci = w.i join idx x on x.i = p.ri where w.step < 250 group by p.ri)),
+sw as (select i, 1.0 / sqrt(k::double) as v, 0 as step from idx
+  union all
+  select i, u / sqrt(sum(u * u) over ()) as v, step + 1 from (select w0.i, 0.85 * coalesce(sum(c.w * w.v), 0) + 0.15 * any_value(w0.v) as u, any_value(w0.step) as step
+    from sw w0 left join cell c on c.ri = w0.i left join sw w on w.i = c.ci where w0.step < 500 group by w0.i)),
+ps as (select name, sum(o) as out_strength, sum(i) as in_strength, sum(so) as out_strength_signed from (select src as name, abs(weight) as o, 0.0 as i, weight as so from pooled union all select dep, 0.0, abs(weight), 0.0 from pooled) group by 1),
+ms as (select name, 'pagerank' as measure, round(v, 7) as value from pw join idx using (i) where step = 250 union all select name, 'sla', round(v, 7) from sw join idx using (i) where step = 500
+  union all select name, 'out_strength', round(out_strength, 7) from ps union all select name, 'in_strength', round(in_strength, 7) from ps union all select name, 'out_strength_signed', round(out_strength_signed, 7) from ps),
+rk as (select name, measure, {_ranks('value', 'measure')} as r from ms)
+select a.measure, b.measure as other, round({_pearson('a.r', 'b.r')}, 6) as rho from rk a join rk b on a.name = b.name and a.measure < b.measure group by 1, 2""",
     "mock_ratings": """select chunk_id, name, greatest(0, least(100, round_even(('0x' || substr(sha256(chunk_id || '|' || name), 1, 8))::bigint / 4294967295.0::double * 100, 0))) as rating
-from (select distinct chunk_id from chunks) cross join (select name from trait_vocab order by trait_idx limit 5)""",
-    "mock_ratings_whole": """select chunk_id, name, greatest(0, least(100, round_even(('0x' || substr(sha256(chunk_id || '|' || name), 1, 8))::bigint / 4294967295.0::double * 100, 0))) as rating
 from (select distinct chunk_id from chunks) cross join trait_vocab""",
     "vocabulary_checks": """select v.domain, count(*) as n, count(distinct v.name) as n_names, count(*) filter (m.antonym = v.name) as n_mutual, count(*) filter (v.valence = 'pos') as n_pos
 from trait_vocab v left join trait_vocab m on m.name = v.antonym group by 1""",

@@ -9,8 +9,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Fetch = Callable[[str, dict], list]
@@ -42,33 +42,35 @@ def get(fetch: Fetch, path: str, params: dict, tries: int = 5, most_wait: float
 
 
 def pages(fetch: Fetch, path: str, params: dict, newest_first: bool = False, page_size: int = 100, most_skips: int = 400, **how) -> Iterator[dict]:
-    """Rows of all pages by time cursor, each id once; a bad page moves the cursor by a day.
+    """Rows of all pages by time cursor, each id once; a bad page moves the cursor by a day.
 
-    Forward from ``params["after"]``, or backward from ``params["before"]`` when newest first.
+    Forward from ``params["after"]``, or backward from ``params["before"]`` when newest first; both ends belong
+    to the page. The next page begins at the last second of this one, whose ids are remembered, so rows
+    that share a second are not lost; if a whole page is one second, larger pages are asked for. More
+    than ``most_skips`` bad pages in a row, or one without a cursor to move, are an error.
     """
-    cursor = dict(params)
+    cursor, edge, step = dict(params), "before" if newest_first else "after", -DAY if newest_first else DAY
     seen: set = set()
-    skips = 0
+    skips, size = 0, page_size
     while True:
         try:
-            batch = get(fetch, path, {**cursor, "limit": page_size, "sort": "desc" if newest_first else "asc"}, **how)
-        except BadPage:
+            batch = get(fetch, path, {**cursor, "limit": size, "sort": "desc" if newest_first else "asc"}, **how)
+        except BadPage as e:
             skips += 1
-            edge = "before" if newest_first else "after"
             if skips > most_skips or edge not in cursor:
-                return
-            cursor[edge] += -DAY if newest_first else DAY
+                raise ConnectionError(f"{path}: {skips} bad pages in a row") from e
+            cursor[edge] += step
             continue
+        skips = 0
         fresh = [r for r in batch if r["id"] not in seen]
-        seen.update(r["id"] for r in fresh)
         yield from fresh
-        if len(batch) < page_size:
+        if len(batch) < size:
             return
         times = [r["created_utc"] for r in batch]
-        if newest_first:
-            cursor["before"] = min(times) - 1
-        else:
-            cursor["after"] = max(times) + 1
+        last = min(times) if newest_first else max(times)
+        size = page_size if fresh else size * 2
+        seen = {r["id"] for r in batch if r["created_utc"] == last} | (seen if last == cursor.get(edge) else set())
+        cursor[edge] = last
 
 
 class _Part(InputPartition):
@@ -81,13 +83,17 @@ class _Reader(DataSourceReader):
         self.path, self.page_size = path, page_size
 
     def partitions(self):
-        files = sorted(str(p) for p in Path(self.path).glob("*.jsonl"))
-        return [_Part(p) for p in files] or [_Part("")]
+        files, root = FileSystem.from_uri(self.path) if "://" in self.path else (FileSystem.from_uri("file://" + self.path)[0], self.path)
+        found = sorted(f.path for f in files.get_file_info(FileSelector(root)) if f.path.endswith(".jsonl"))
+        head = self.path.partition("://")[0] + "://" if "://" in self.path else "file://"
+        return [_Part(head + p if not p.startswith(head) else p) for p in found] or [_Part("")]
 
     def read(self, partition):
         if not partition.path:
             return
-        rows = [json.loads(line) for line in open(partition.path, encoding="utf-8") if line.strip()]
+        files, path = FileSystem.from_uri(partition.path)
+        with files.open_input_file(path) as f:
+            rows = [json.loads(line) for line in f.read().decode("utf-8").splitlines() if line.strip()]
 
         def fetch(_, params):
             kept = sorted((r for r in rows if r["created_utc"] >= params.get("after", 0)), key=lambda r: (r["created_utc"], r["id"]))
