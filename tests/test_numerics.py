@@ -88,9 +88,9 @@ def test_lag1_from_moments_equals_plain_cross_validation():
             keep = np.setdiff1d(np.arange(n), held)
             a, mx, my = before[keep] - before[keep].mean(0), before[keep].mean(0), after[keep, j].mean()
             for i, penalty in enumerate(penalties):
-                b = C.lasso_columns(a.T @ a / len(keep), (a.T @ (after[keep, j] - my) / len(keep))[:, None], np.array([penalty]))[0][:, 0]
+                b = C.lasso_columns(a.T @ a / len(keep), (a.T @ (after[keep, j] - my) / len(keep))[:, None], np.array([penalty]), tol=1e-4)[0][:, 0]
                 errors[i] += ((after[held, j] - my - (before[held] - mx) @ b) ** 2).mean()
-        b = C.lasso_columns(xc.T @ xc / n, (xc.T @ yc[:, j] / n)[:, None], penalties[[errors.argmin()]])[0][:, 0]
+        b = C.lasso_columns(xc.T @ xc / n, (xc.T @ yc[:, j] / n)[:, None], penalties[[errors.argmin()]], tol=1e-6)[0][:, 0]
         assert np.allclose(got[:, j], b, atol=1e-4)
 
 

@@ -237,12 +237,12 @@ def lag1(u: np.ndarray, folds: Sequence[np.ndarray]) -> tuple[np.ndarray, np.nda
             continue
         tx, ty = rest.sx / rest.n, rest.sy / rest.n
         gram, target, _ = rest.around(tx, ty)
-        b, _ = lasso_columns(gram / rest.n, tiled(target / rest.n), penalties)
+        b, _ = lasso_columns(gram / rest.n, tiled(target / rest.n), penalties, tol=1e-4)
         hx, hxy, hyy = held.around(tx, ty)
         missed = np.tile(np.diag(hyy), len(PATH)) - 2 * (tiled(hxy) * b).sum(0) + (b * (hx @ b)).sum(0)
         errors += missed.reshape(len(PATH), k) / held.n
     best = np.where(top > 0, PATH[errors.argmin(0)] * top, 1.0)
-    b, done = lasso_columns(xx / whole.n, xy / whole.n, best)
+    b, done = lasso_columns(xx / whole.n, xy / whole.n, best, tol=1e-6)
     left = (yy - b.T @ xy - xy.T @ b + b.T @ xx @ b) / whole.n
     return b, left, whole.n, bool(done.all())
 
@@ -324,7 +324,8 @@ def estimate(vectors: DataFrame, key: str, names: Sequence[str], method: str, le
     light = rows.join(counts.filter(F.col("n_rows") <= long).select(key), key, "left_semi")
     if n_heavy:  # keep the heavy keys' rows out of the shuffle by key
         light = rows.join(F.broadcast(heavy) if n_heavy <= 1_000_000 else heavy, key, "left_anti").join(counts.select(key), key, "left_semi")
-    out = light.groupBy(key).applyInPandas(whole, schema)
+    apart = light.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # fits cost more than their bytes say, so these tasks are not to be merged
+    out = apart.groupBy(key).applyInPandas(whole, schema)
     if not n_heavy:
         return out
     mine = rows.join(F.broadcast(heavy) if n_heavy <= 1_000_000 else heavy, key, "left_semi")

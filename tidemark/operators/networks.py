@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators.ratings import vocabulary
+from tidemark.session import ship
 
 
 def pooled(edges: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def pooled(edges: DataFrame) -> DataFrame:
     return edges.filter("src != dep").groupBy("src", "dep").agg(F.avg("weight").alias("weight"), F.count("weight").alias("n_accounts"))
 
 
+def enough(edges: DataFrame, least: int) -> DataFrame:
+    """the edges where they come from at least ``least`` accounts, else none."""
+    n = edges.agg(F.countDistinct("account_hash").alias("__n")).filter(F.col("__n") >= least).withColumn("__one", F.lit(1))
+    return edges.withColumn("__one", F.lit(1)).join(F.broadcast(n), "__one", "left_semi").drop("__one")
+
+
 def deviations(edges: DataFrame) -> DataFrame:
     """Each account's weight minus the pooled one."""
     return edges.join(pooled(edges).select("src", "dep", F.col("weight").alias("mean")), ["src", "dep"]).select("account_hash", "src", "dep", (F.col("weight") - F.col("mean")).alias("deviation"))
@@ -131,22 +138,36 @@ def pagerank(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-
     return _long(done, keys, "ppagerank" if teleport else "pagerank")
 
 
-def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *keys: str, steps: int = 500, alpha: float = 0.85) -> DataFrame:
+def walks_of(a: np.ndarray, alpha: float = 0.85) -> np.ndarray:
+    """Where walks end that always restart at one node: column j of ``(1 - alpha) (I - alpha P)^-1``."""
+    m, k = np.abs(a), len(a)
+    sums = m.sum(0)
+    p = np.where(sums > 0, m / np.where(sums > 0, sums, 1.0), 1.0 / k)
+    return (1 - alpha) * np.linalg.inv(np.eye(k) - alpha * p)
+
+
+def personalised(networks: DataFrame, weights: DataFrame, vocab: DataFrame, *keys: str, alpha: float = 0.85) -> DataFrame:
     """Personalised PageRank of one network for every group of ``weights`` (keys, name, weight).
 
-    The walk is linear in its teleport, so it runs once per name as the only target (k walks, whatever
-    the number of groups) and a group's result is their mean under its own weights. Every group must
+    The walk is linear in its teleport, so it is solved once per name as the only target (one k x k inverse,
+    whatever the number of groups) and a group's result is their mean under its own weights. Every group must
     list the whole vocabulary; weights that add up to 0 count as uniform.
     """
     vocabulary(vocab)  # checks the size of what is broadcast
+    ship(networks.sparkSession)
     index = vocab.select("name", F.dense_rank().over(Window.orderBy("trait_idx")).alias("i"))
-    alone = F.posexplode(F.transform("names", lambda n: F.transform("names", lambda o: F.when(o == n, 1.0).otherwise(0.0)))).alias("at", "t0")
-    walks = pagerank(networks.select("m", "names", alone), "at", steps=steps, alpha=alpha, teleport="t0")
-    rows = walks.join(F.broadcast(index), "name").groupBy("name", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda z: z["value"]).alias("row"))
-    basis = rows.agg(F.array_sort(F.collect_list(F.struct("i", "name", "row"))).alias("b")).select(F.col("b.row").alias("b"), F.col("b.name").alias("names"))
+
+    def solve(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            found = [(walks_of(np.array([np.asarray(x, float) for x in m]), alpha).tolist(), list(names)) for m, names in zip(pdf["m"], pdf["names"])]
+            yield pd.DataFrame(found, columns=["b", "names"])
+
+    basis = networks.select("m", "names").mapInPandas(solve, "b array<array<double>>, names array<string>")
     own = weights.join(F.broadcast(index), "name").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "weight"))), lambda z: z["weight"]).alias("w"))
     share = _let(_total(F.col("w")), lambda s: F.transform("w", lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0) / F.size("w"))))
-    done = own.withColumn("t", share).crossJoin(F.broadcast(basis)).withColumn("v", _times(F.col("b"), F.col("t")))
+    done = own.withColumn("t", share).withColumn("__one", F.lit(1)).join(F.broadcast(basis.withColumn("__one", F.lit(1))), "__one").withColumn("v", _times(F.col("b"), F.col("t")))
     return _long(done, keys, "ppagerank")
 
 
@@ -249,6 +270,7 @@ def betweenness_of(a: np.ndarray) -> np.ndarray:
 
 def dense_centralities(networks: DataFrame, *keys: str) -> DataFrame:
     """G2, G7 by NumPy, batch by batch of whole networks."""
+    ship(networks.sparkSession)
     schema = ", ".join([*(f"`{x}` {networks.schema[x].dataType.simpleString()}" for x in keys), "name string, measure string, value double"])
 
     def run(batches):

@@ -87,10 +87,10 @@ def pair_edges(rows: DataFrame, task: str) -> DataFrame:
     return replicate_stats(named.filter("src != dep and dep != ''"), "account_hash", "src", "dep").withColumnRenamed("mean", "weight")
 
 
-def quotes(store: DataFrame, most: int = 240) -> DataFrame:
+def quotes(store: DataFrame, most: int = 240, task: str = "evidence_chunk") -> DataFrame:
     """The quotes of evidence responses: typed, trimmed, cut to ``most``, direction defaulted."""
     by_trait = F.from_json(json_object(F.col("response")), "map<string,string>", STRICT)
-    rows = store.filter("task = 'evidence_chunk'").select("key", "account_hash", F.col("trait").alias("chunk"), F.explode(by_trait).alias("name", "list"))
+    rows = store.filter(F.col("task") == task).select("key", "account_hash", F.col("trait").alias("chunk"), F.explode(by_trait).alias("name", "list"))
     one = F.explode(F.from_json("list", "array<struct<quote:string,direction:string>>", STRICT))
     rows = rows.select("key", "account_hash", "chunk", "name", one.alias("q"))
     quote = F.substring(F.trim("q.quote"), 1, most)
@@ -109,6 +109,34 @@ def ranked_quotes(rows: DataFrame, keep: int) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(by_chunk)).filter(F.col("rank") <= keep).drop("r")
 
 
+def brief_quotes(store: DataFrame, strategy: str = "per_chunk", keep: int = 8) -> DataFrame:
+    """C4: the quotes of each account's brief, ranked within a name.
+
+    ``per_chunk``: from the answers about single chunks, merged by ``ranked_quotes``; ``single``: as one answer
+    about the whole history lists them, by text.
+    """
+    if strategy == "per_chunk":
+        return ranked_quotes(quotes(store).filter("account_hash is not null"), keep)
+    if strategy != "single":
+        raise ValueError(f"no such strategy: {strategy}")
+    rows = quotes(store, task="evidence_brief").filter("account_hash is not null").withColumn("chunk", F.lit(None).cast("string"))
+    w = Window.partitionBy("account_hash", "name").orderBy("key", "quote", "direction")
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
+def briefs(ranked: DataFrame, vocab: DataFrame) -> DataFrame:
+    """C4: ``account_hash``, ``n_quotes``, ``brief``: a heading per name in order, its quotes below it.
+
+    An account's brief is bounded by the vocabulary times the quotes kept per name.
+    """
+    names = vocabulary(vocab)
+    line = F.concat(F.lit("- "), "direction", F.lit(': "'), "quote", F.lit('"'), F.when(F.col("chunk").isNotNull(), F.concat(F.lit(" ("), "chunk", F.lit(")"))).otherwise(F.lit("")))
+    by = ranked.filter(F.col("name").isin(*names)).groupBy("account_hash", "name").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda z: z["line"]), "\n").alias("lines"))
+    whole = by.groupBy("account_hash").agg(F.sum("n").alias("n_quotes"), F.map_from_entries(F.collect_list(F.struct("name", "lines"))).alias("m"))
+    part = lambda n: F.coalesce(F.concat(F.lit("# "), n, F.lit("\n"), F.try_element_at("m", n)), F.concat(F.lit("# "), n, F.lit(": nothing found")))
+    return whole.select("account_hash", "n_quotes", F.array_join(F.transform(F.array(*[F.lit(n) for n in names]), part), "\n\n").alias("brief"))
+
+
 def normalised_weights(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
     """Value plus one over the sum of it: Laplace weights, uniform where all values are 0."""
     plus = F.coalesce(value, F.lit(0.0)) + 1
@@ -151,6 +179,22 @@ def combined(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.join(total, "account_hash").select("account_hash", "name", (F.col("p") / F.col("t")).alias("weight"))
 
 
+#: Node weightings by name, each from the call store and the vocabulary.
+WEIGHTINGS = {
+    "density": lambda store, vocab: density(quotes(store), vocab),
+    "self_relevance": lambda store, vocab: self_relevance(ratings(store), vocab),
+    "salience": lambda store, vocab: salience(ratings(store), store, vocab),
+    "combined": lambda store, vocab: combined(density(quotes(store), vocab), self_relevance(ratings(store), vocab)),
+}
+
+
+def node_weights(kind: str, store: DataFrame, vocab: DataFrame) -> DataFrame:
+    """account_hash, name, weight by the weighting of that name."""
+    if kind not in WEIGHTINGS:
+        raise KeyError(f"no weighting {kind}; there are {sorted(WEIGHTINGS)}")
+    return WEIGHTINGS[kind](store, vocab)
+
+
 def hash_unit(text: Column) -> Column:
     """A uniform number in [0, 1] from the first 8 hex digits of sha256; the same on any engine."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("double") / 4294967295.0

@@ -92,8 +92,9 @@ def prior_convergence(s, d):
 
 
 def convergence_suite(s, d):
-    """Every agreement of the study, with the shrunk and the lagged chunk networks."""
-    edges, vocab = cut_lineage(_edges(s, d)), _vocab(s, d)
+    """Every agreement of the study, with the shrunk and the lagged chunk networks; with fewer
+    than 5 accounts there is nothing to pool."""
+    edges, vocab = cut_lineage(N.enough(_edges(s, d), 5)), _vocab(s, d)
     mean = N.pooled(edges).select("src", "dep", "weight")
     tied, led = cut_lineage(e3(s, d, "pcor")), cut_lineage(e3(s, d, "lag1"))
     one = V.undirected(edges)

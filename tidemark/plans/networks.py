@@ -130,8 +130,7 @@ def personalised_pagerank(s, d):
 def _node_weights(s, d):
     """Every account of the store under each weighting; uniform where it has no rows."""
     st, vocab = _store(s, d), _vocab(s, d)
-    rows = R.ratings(st)
-    kinds = {"density": R.density(R.quotes(st), vocab), "self_relevance": R.self_relevance(rows, vocab), "salience": R.salience(rows, st, vocab)}
+    kinds = {kind: R.node_weights(kind, st, vocab) for kind in ("density", "self_relevance", "salience")}
     known = None
     for kind, w in kinds.items():
         w = w.select("account_hash", "name", F.lit(kind).alias("weighting"), "weight")
@@ -195,6 +194,11 @@ def quote_dedupe_rank(s, d):
     return R.ranked_quotes(R.quotes(_store(s, d)).filter("account_hash is not null"), 2).select("account_hash", "name", "quote", "chunk", "direction", "rank")
 
 
+def evidence_briefs(s, d):
+    """C4: each account's brief, from the answers about its chunks."""
+    return R.briefs(R.brief_quotes(_store(s, d), keep=3), _vocab(s, d)).select("account_hash", "n_quotes", F.md5("brief").alias("brief_md5"), F.length("brief").alias("n_chars"))
+
+
 def evidence_density(s, d):
     """A10, A11."""
     return R.density(R.quotes(_store(s, d)), _vocab(s, d)).select("account_hash", "name", *_r("weight", digits=8))
@@ -266,6 +270,14 @@ def variance_components(s, d):
     return v.select("n_accounts", "n_pairs", *_r(*[c for c in v.columns if c not in ("n_accounts", "n_pairs")], digits=4))
 
 
+def variance_record(s, d):
+    """The variance record with its bootstrap intervals, flat, one row."""
+    ci = bootstrap_icc(s, d).select("component", F.explode(F.array(F.struct(F.lit("lo").alias("end"), F.col("lo").alias("v")), F.struct(F.lit("hi").alias("end"), F.col("hi").alias("v")))).alias("e"))
+    stats = ["icc_idiographic", "icc_account_only", "sigma2_pair", "sigma2_account_pair"]
+    flat = ci.agg(*[F.max(F.when((F.col("component") == c) & (F.col("e.end") == end), F.col("e.v"))).alias(f"ci_{c}_{end}") for c in stats for end in ("lo", "hi")])
+    return variance_components(s, d).withColumn("__one", F.lit(1)).join(flat.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def bootstrap_components(s, d):
     """A19 over a table of years and nations, 50 resamples; of accounts: ``bootstrap_icc``."""
     e = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -306,8 +318,8 @@ QUERIES = {
     for f in (
         call_store_dedupe, call_keys, rating_rows, replicate_ratings, ablation_edges, pairwise_edges, generic_prior, pooled_network, edge_deviations,
         deviation_covariates, symmetrised_network, strengths, matrix_pivot_unpivot, pagerank, personalised_pagerank, account_personalised_pagerank, sla_centrality, dense_centralities, all_centralities,
-        centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, chunk_matrix_by_model, standardise_matrix, trait_correlations,
-        lag1_cross_moments, anova_components, variance_components, bootstrap_components, bootstrap_icc, mock_ratings, vocabulary_checks,
+        centrality_rank_corr, quote_rows, quote_dedupe_rank, evidence_briefs, evidence_density, self_relevance_weights, salience_weights, chunk_matrix, chunk_matrix_by_model, standardise_matrix, trait_correlations,
+        lag1_cross_moments, anova_components, variance_components, variance_record, bootstrap_components, bootstrap_icc, mock_ratings, vocabulary_checks,
     )
 }
 
@@ -431,6 +443,15 @@ n as (select *, substr(regexp_replace(lower(quote), '\\s+', ' ', 'g'), 1, 120) a
 o as (select * from (select *, row_number() over (partition by account_hash, name, norm order by length(quote) desc, chunk nulls first, key, quote, direction) as rn from n) where rn = 1),
 l as (select * from (select *, row_number() over (partition by account_hash, name order by length(quote) desc, chunk nulls first, key, quote) as r from o) where r <= 4)
 select account_hash, name, quote, chunk, direction, rank from (select *, row_number() over (partition by account_hash, name order by chunk nulls first, r) as rank from l) where rank <= 2""",
+    "evidence_briefs": "with " + QUOTES + """,
+n as (select *, substr(regexp_replace(lower(quote), '\\s+', ' ', 'g'), 1, 120) as norm from quotes where account_hash is not null),
+o as (select * from (select *, row_number() over (partition by account_hash, name, norm order by length(quote) desc, chunk nulls first, key, quote, direction) as rn from n) where rn = 1),
+l as (select * from (select *, row_number() over (partition by account_hash, name order by length(quote) desc, chunk nulls first, key, quote) as r from o) where r <= 6),
+k as (select *, row_number() over (partition by account_hash, name order by chunk nulls first, r) as rank from l),
+b as (select account_hash, name, count(*) as n, string_agg('- ' || direction || ': "' || quote || '"' || coalesce(' (' || chunk || ')', ''), chr(10) order by rank) as lines from k where rank <= 3 and name in (select name from trait_vocab) group by 1, 2),
+w as (select a.account_hash, trait_idx, coalesce(n, 0) as n, '# ' || v.name || coalesce(chr(10) || lines, ': nothing found') as part from (select distinct account_hash from b) a cross join trait_vocab v left join b on b.account_hash = a.account_hash and b.name = v.name),
+t as (select account_hash, cast(sum(n) as bigint) as n_quotes, string_agg(part, chr(10) || chr(10) order by trait_idx) as brief from w group by 1)
+select account_hash, n_quotes, md5(brief) as brief_md5, cast(length(brief) as int) as n_chars from t""",
     "evidence_density": "with " + QUOTES + DENSITY_CELLS + "select account_hash, name, round(weight, 8) as weight from density",
     "self_relevance_weights": "with " + RATINGS + """,
 f as (select account_hash, rated as name, rating from (select *, row_number() over (partition by account_hash, rated order by replicate nulls first, key) as rn from ratings where task = 'e1_baseline' and account_hash is not null) where rn = 1),
