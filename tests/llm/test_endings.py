@@ -50,7 +50,7 @@ def test_a_cut_answer_meets_its_whole_version(spark):
     whole = "The boat was late again. We like the boat on most days of the year."
     rows = [("a", "Say.", whole[:-14], "m"), ("b", "Say.", whole, "m"), ("c", "Say.", "The boat was late again. We like the boat on most days of the", "m"), ("d", "Say.", "We like the boat on most days of the year. Most days of the year we like the boat", "m")] * 2
     calls = spark.createDataFrame(rows, CALL)
-    staged = pairs.staged(calls)
+    staged = pairs.Evidence(calls).rows
     longer = {r.text for r in pairs.shortened(staged.selectExpr("text", "ending = 'open' as doubt")).collect()}
     assert longer == {whole[:-14], "The boat was late again. We like the boat on most days of the"}
     assert {r.call_key for r in pairs.found(calls).collect()} >= {"a", "c"}

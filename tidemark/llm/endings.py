@@ -50,6 +50,20 @@ def last_token(text: str) -> str | None:
     return t[at:].lower() or None
 
 
+def known_words(text: str) -> list[str]:
+    """The words of a text that stand before another word."""
+    return re.findall(r"[^\W\d_]+", text.lower())[:-1]
+
+
+def whole_frames(text: str) -> set[str]:
+    """The frames of a text's sentences that end in a mark."""
+    seen: set[str] = set()
+    for m in UNMARKED.finditer(text):
+        if text[m.end() : m.end() + 1] not in ("", "\n"):
+            seen.update(frames(m[0]) or ())
+    return seen
+
+
 def corpus_words(df: DataFrame, *columns: str) -> DataFrame:
     """Known words of the text columns: ``word``, ``n`` (places before another word)."""
 
@@ -58,7 +72,7 @@ def corpus_words(df: DataFrame, *columns: str) -> DataFrame:
         for column in batch.columns:
             for text in column.to_pylist():
                 if text:
-                    counts.update(re.findall(r"[^\W\d_]+", text.lower())[:-1])
+                    counts.update(known_words(text))
         return counts.items()
 
     return map_batches(spread(df.select(*columns)), run, "word string, n bigint", ["word", "n"]).groupBy("word").agg(F.sum("n").alias("n"))
@@ -85,21 +99,6 @@ def unknown_prefixes(tokens: DataFrame, words: DataFrame, token: str = "token")
     return tokens.join(hit, token, "left_semi")
 
 
-def sentence_frames(df: DataFrame, *columns: str) -> DataFrame:
-    """Frames of all sentences that end in a mark: ``frame``, distinct."""
-
-    def run(batch: pa.RecordBatch):
-        seen = set()
-        for column in batch.columns:
-            for text in column.to_pylist():
-                for m in UNMARKED.finditer(text or ""):
-                    if text[m.end() : m.end() + 1] not in ("", "\n"):
-                        seen.update(frames(m[0]) or ())
-        return [(f,) for f in seen]
-
-    return map_batches(spread(df.select(*columns)), run, "frame string", ["frame"]).distinct()
-
-
 def length_spikes(df: DataFrame, length: str, least: int = 8, times: float = 6.0) -> DataFrame:
     """Lengths that many texts share while their neighbours (blocks of 32) do not: limits of a field."""
     counts = df.filter(F.col(length) > 16).groupBy(length).agg(F.count("*").alias("n"))

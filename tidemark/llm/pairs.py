@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -198,24 +199,52 @@ def judge(request: str | None, response: str | None) -> tuple[str | None, str |
     return None, "open"
 
 
-def staged(calls: DataFrame) -> DataFrame:
-    """Rows with a defect, and all prose: key, kind, ending, token, frames, text, length.
+STAGED = "key string, kind string, ending string, token string, frame_a string, frame_b string, text string, length int"
+
+
+def judged(key: str, request: str | None, response: str | None) -> tuple | None:
+    """A row of ``STAGED`` for a call with a defect or a prose response, else None."""
+    kind, ending = judge(request, response)
+    if kind is None and ending is None:
+        return None
+    last = endings.sentences(response)[-1:] if ending in ("cut", "open") else []
+    a, b = (endings.frames(last[0]) if last else None) or (None, None)
+    return key, kind, ending, endings.last_token(response) if last else None, a, b, response.strip() if ending else None, len(response or "")
 
-    A sound JSON answer is neither: it cannot be the longer version of a prose text.
-    """
-    schema = "key string, kind string, ending string, token string, frame_a string, frame_b string, text string, length int"
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batch: pa.RecordBatch):
-        for key, request, response in zip(*(c.to_pylist() for c in batch.columns)):
-            kind, ending = judge(request, response)
-            if kind is None and ending is None:
-                continue
-            last = endings.sentences(response)[-1:] if ending in ("cut", "open") else []
-            a, b = (endings.frames(last[0]) if last else None) or (None, None)
-            yield key, kind, ending, endings.last_token(response) if last else None, a, b, response.strip() if ending else None, len(response or "")
+class Evidence:
+    """What one pass over the calls gives, written once: judged rows, known words, frames of whole sentences.
+
+    A sound JSON answer is no row: it cannot be the longer version of a prose text. Words and frames are of
+    all requests and responses, those without a key too.
+    """
 
-    return map_batches(spread(calls.filter("key is not null").select("key", "request", "response")), run, schema, names)
+    def __init__(self, calls: DataFrame):
+        schema = "part string, " + STAGED + ", word string, n bigint"
+        names = [x.split()[0] for x in schema.split(", ")]
+        none = (None,) * (len(names) - 3)
+
+        def run(batch: pa.RecordBatch):
+            counts: Counter = Counter()
+            frames: set[str] = set()
+            for key, request, response in zip(*(c.to_pylist() for c in batch.columns)):
+                for text in (request, response):
+                    if text:
+                        counts.update(endings.known_words(text))
+                        frames |= endings.whole_frames(text)
+                row = judged(key, request, response) if key is not None else None
+                if row:
+                    yield ("row", *row, None, None)
+            for word, n in counts.items():
+                yield ("word", *none, word, n)
+            for frame in frames:
+                yield ("frame", *none, frame, None)
+
+        rows = cut_lineage(map_batches(spread(calls.select("key", "request", "response")), run, schema, names))
+        self.rows = rows.filter("part = 'row'").select(*names[1:-2])
+        self.words = rows.filter("part = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
+        self.frames = rows.filter("part = 'frame'").select(F.col("word").alias("frame")).distinct()
+        self.lengths = calls.select(F.length("response").alias("length"))
 
 
 def shortened(texts: DataFrame) -> DataFrame:
@@ -251,7 +280,7 @@ def shortened(texts: DataFrame) -> DataFrame:
     return rows.filter("part is null").select("text").unionByName(ends.filter(F.col("doubt") & F.col("next").startswith(F.col("text"))).select("text"))
 
 
-def open_endings(rows: DataFrame, calls: DataFrame, words: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+def open_endings(found: Evidence) -> DataFrame:
     """Keys of the open endings that evidence shows to be cuts.
 
     An open ending is a cut where a neighbour among all prose responses extends it, where its final
@@ -259,32 +288,31 @@ def open_endings(rows: DataFrame, calls: DataFrame, words: DataFrame | None = No
     the corpus. A length that is a limit of the field makes a frame count only if both of its keys are
     known.
     """
+    rows = found.rows
     open_rows = (F.col("ending") == "open") & F.col("kind").isNull()
     doubt = rows.filter(open_rows)
-    words = words if words is not None else endings.corpus_words(calls, "request", "response")
-    whole = whole if whole is not None else endings.sentence_frames(calls, "request", "response")
-    unknown = endings.unknown_prefixes(doubt.filter("token is not null").select("key", "token"), words).select("key")
+    unknown = endings.unknown_prefixes(doubt.filter("token is not null").select("key", "token"), found.words).select("key")
     longer = shortened(rows.select("text", F.coalesce(open_rows, F.lit(False)).alias("doubt")))
     neighbour = doubt.join(longer, "text", "left_semi").select("key")
     keys = doubt.select("key", "length", F.explode(F.array_distinct(F.array("frame_a", "frame_b"))).alias("frame"))
-    framed = keys.join(whole, "frame", "left_semi").groupBy("key", "length").agg(F.count("*").alias("n"))
-    spikes = endings.length_spikes(calls.select(F.length("response").alias("length")), "length").withColumn("limit", F.lit(True))
+    framed = keys.join(found.frames, "frame", "left_semi").groupBy("key", "length").agg(F.count("*").alias("n"))
+    spikes = endings.length_spikes(found.lengths, "length").withColumn("limit", F.lit(True))
     trusted = framed.join(spikes, "length", "left").filter("limit is null or n > 1 ").select("key")
     unframed = doubt.select("key").join(trusted, "key", "left_anti")
     return unknown.unionByName(neighbour).unionByName(unframed).distinct()
 
 
-def cut_keys(rows: DataFrame, calls: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def cut_keys(found: Evidence) -> DataFrame:
     """Keys of all calls whose response breaks off."""
-    sure = rows.filter("kind = 'truncated' or (kind is null and ending = 'cut')").select("key")
-    return sure.unionByName(open_endings(rows, calls, words)).distinct()
+    sure = found.rows.filter("kind = 'truncated' or (kind is null and ending = 'cut')").select("key")
+    return sure.unionByName(open_endings(found)).distinct()
 
 
 def found(calls: DataFrame) -> DataFrame:
     """Defective calls: ``call_key``, ``defect_type``; one row a key."""
-    rows = cut_lineage(staged(calls))
-    plain = rows.filter("kind is not null").select("key", "kind")
-    cut = cut_keys(rows, calls).select("key", F.lit("truncated").alias("kind"))
+    seen = Evidence(calls)
+    plain = seen.rows.filter("kind is not null").select("key", "kind")
+    cut = cut_keys(seen).select("key", F.lit("truncated").alias("kind"))
     order = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("kind"))
     best = plain.unionByName(cut).groupBy("key").agg(F.min_by("kind", order).alias("defect_type"))
     return best.select(F.col("key").alias("call_key"), "defect_type")

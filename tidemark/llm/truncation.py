@@ -84,8 +84,7 @@ def cut_chunks(chunks: DataFrame, items: DataFrame) -> DataFrame:
 
 def cut_calls(calls: DataFrame) -> DataFrame:
     """Calls whose response breaks off: ``key``."""
-    rows = cut_lineage(pairs.staged(calls))
-    return pairs.cut_keys(rows, calls)
+    return pairs.cut_keys(pairs.Evidence(calls))
 
 
 def found(chunks: DataFrame, items: DataFrame, calls: DataFrame) -> DataFrame:
