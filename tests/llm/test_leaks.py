@@ -36,8 +36,8 @@ def test_against_brute_force(spark):
     ev = spark.createDataFrame([(e, "s", t) for e, t in evals], "eval_id bigint, suite string, text string")
     want = brute(docs, evals)
     assert want
-    for block, piece in ((200_000, 20_000), (30, 25)):
-        got = {(r.doc_id, r.eval_id) for r in leaks.matches(df, ev, block=block, piece=piece).collect()}
+    for block, piece, per_scan in ((200_000, 20_000, 8), (30, 25, 2)):
+        got = {(r.doc_id, r.eval_id) for r in leaks.matches(df, ev, block=block, piece=piece, per_scan=per_scan).filter("longest >= 12").collect()}
         assert got == want
     assert leaks.found(df.limit(0), ev).count() == 0 and leaks.found(df, ev.limit(0)).count() == 0
     assert {r.eval_id for r in leaks.report(df, ev).collect()} == {e for _, e in want}

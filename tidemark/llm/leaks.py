@@ -16,8 +16,9 @@ copy of a passage has a common run of more than twelve words, and copies of a pa
 Words are letters and digits in lower case; quote marks and invisible characters are dropped, all
 other characters separate words. Null and blank texts have no windows; texts shorter than the run
 match nothing; long ones are worked through in overlapping pieces. Documents with a null id are left
-out. The passages are taken in blocks of at most ``block`` windows, each one broadcast, so the size of
-a broadcast is bounded however many passages there are. Extra columns are ignored.
+out. The passages are taken in blocks of at most ``block`` windows (some 15 MB), each one broadcast, and the
+documents are read once for every ``per_scan`` blocks, so what a task holds is bounded however many
+passages there are. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def equal_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: int = 2, least: float = 0.8, block: int = 200_000, piece: int = 20_000) -> DataFrame:
+def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: int = 2, least: float = 0.8, block: int = 200_000, piece: int = 20_000, per_scan: int = 8) -> DataFrame:
     """``doc_id``, ``eval_id``, ``longest``, ``similarity`` for every document with a verified window.
 
     A passage that lies across two pieces of a long document is compared within each of them.
@@ -172,12 +173,8 @@ def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: in
     spark = documents.sparkSession
     schema, names = "doc_id bigint, eval_id bigint, longest int, similarity double", ["doc_id", "eval_id", "longest", "similarity"]
     docs = spread(documents.filter("doc_id is not null").select("doc_id", "text"))
-    out = None
-    for index in index_blocks(passages, run, radius, block):
-        shared = spark.sparkContext.broadcast(index)
-
-        def search(batch: pa.RecordBatch, vocabulary: Vocabulary, shared=shared):
-            index = shared.value
+    def scan(handles):
+        def search(batch: pa.RecordBatch, vocabulary: Vocabulary):
             for group in _pieces(batch, run, piece):
                 tokens = [t for _, _, t in group]
                 flat = [w for t in tokens for w in t]
@@ -185,23 +182,34 @@ def matches(documents: DataFrame, passages: DataFrame, run: int = 12, radius: in
                     continue
                 sim = fingerprints(vocabulary.of(flat), weights(flat), run)
                 starts = np.cumsum([0] + [len(t) for t in tokens])
-                a, b = index.candidates(sim)
-                owner = np.searchsorted(starts, a, "right") - 1
-                inside = a + run <= starts[owner + 1]
-                verified: dict[tuple[int, int], dict] = {}
-                for x, y, o in zip(a[inside].tolist(), b[inside].tolist(), owner[inside].tolist()):
-                    key, at = int(index.ids[y]), int(index.positions[y])
-                    mine, theirs = flat[x : x + run], index.tokens[key][at : at + run]
-                    if mine == theirs or similarity(mine, theirs) >= least:
-                        verified.setdefault((o, key), {})[(x - int(starts[o]), at)] = equal_run(mine, theirs)
-                for (o, key), at in verified.items():
-                    exact = {p for p, n in at.items() if n == run}
-                    longest = run + _longest(exact) - 1 if exact else max(at.values())
-                    passage, text = index.tokens[key], tokens[o]
-                    best = max(similarity(text[max(0, i - j) : i - j + len(passage)], passage) for i, j in _diagonals(at))
-                    yield group[o][0], key, longest, best
-
-        found = map_batches(docs, search, schema, names, setup=Vocabulary)
+                for handle in handles:
+                    index = handle.value
+                    a, b = index.candidates(sim)
+                    owner = np.searchsorted(starts, a, "right") - 1
+                    inside = a + run <= starts[owner + 1]
+                    verified: dict[tuple[int, int], dict] = {}
+                    for x, y, o in zip(a[inside].tolist(), b[inside].tolist(), owner[inside].tolist()):
+                        key, at = int(index.ids[y]), int(index.positions[y])
+                        mine, theirs = flat[x : x + run], index.tokens[key][at : at + run]
+                        if mine == theirs or similarity(mine, theirs) >= least:
+                            verified.setdefault((o, key), {})[(x - int(starts[o]), at)] = equal_run(mine, theirs)
+                    for (o, key), at in verified.items():
+                        exact = {p for p, n in at.items() if n == run}
+                        longest = run + _longest(exact) - 1 if exact else max(at.values())
+                        passage, text = index.tokens[key], tokens[o]
+                        best = max(similarity(text[max(0, i - j) : i - j + len(passage)], passage) for i, j in _diagonals(at))
+                        yield group[o][0], key, longest, best
+
+        return map_batches(docs, search, schema, names, setup=Vocabulary)
+
+    out, handles = None, []
+    for index in index_blocks(passages, run, radius, block):
+        handles.append(spark.sparkContext.broadcast(index))
+        if len(handles) == per_scan:
+            found = scan(handles)
+            out, handles = (found if out is None else out.unionByName(found)), []
+    if handles:
+        found = scan(handles)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)

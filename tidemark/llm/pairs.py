@@ -132,7 +132,10 @@ def refuses(request: str, response: str, value, around: str) -> bool:
         return not answered and any(REFUSAL.search(s) for s in said) or (not answered and bool(REFUSAL.search(around)))
     if isinstance(value, (list, int, float)):
         return False
-    said = [s.strip() for s in endings.sentences(value if isinstance(value, str) else response)]
+    text = value if isinstance(value, str) else response
+    if not REFUSAL.search(text):
+        return False
+    said = [s.strip() for s in endings.sentences(text)]
     theirs = {s.strip() for s in endings.sentences(request)}
     declining = sum(s not in theirs and bool(REFUSAL.search(s)) for s in said)
     answering = sum(s in theirs for s in said)
