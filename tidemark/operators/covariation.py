@@ -324,7 +324,9 @@ def estimate(vectors: DataFrame, key: str, names: Sequence[str], method: str, le
     light = rows.join(counts.filter(F.col("n_rows") <= long).select(key), key, "left_semi")
     if n_heavy:  # keep the heavy keys' rows out of the shuffle by key
         light = rows.join(F.broadcast(heavy) if n_heavy <= 1_000_000 else heavy, key, "left_anti").join(counts.select(key), key, "left_semi")
-    apart = light.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)  # fits cost more than their bytes say, so these tasks are not to be merged
+    # fits cost more than their bytes say: many small tasks, which are not merged, keep two of them off one core
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    apart = light.repartition(parts, key)
     out = apart.groupBy(key).applyInPandas(whole, schema)
     if not n_heavy:
         return out

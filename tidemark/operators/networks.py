@@ -108,12 +108,13 @@ def _long(df: DataFrame, keys: tuple[str, ...], measure: str) -> DataFrame:
     return df.select(*keys, F.explode(F.arrays_zip("names", F.col("v"))).alias("z")).select(*keys, F.col("z.names").alias("name"), F.lit(measure).alias("measure"), F.col("z.v").alias("value"))
 
 
-def stochastic(m: Column) -> Column:
-    """Absolute weights over their column sums; a column of zeros becomes uniform."""
-    k = F.size(m)
+def stochastic(m: Column, k: Column) -> Column:
+    """Absolute weights over their column sums; a column of zeros becomes uniform. ``k``: the size of ``m``."""
     absolute = F.transform(m, lambda row: F.transform(row, lambda x: F.abs(x)))
-    sums = F.aggregate(absolute, F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(0.0)), lambda s, row: F.zip_with(s, row, lambda a, b: a + b))
-    return _let(F.struct(absolute.alias("a"), sums.alias("s")), lambda x: F.transform(x["a"], lambda row: F.zip_with(row, x["s"], lambda w, t: F.when(t > 0, w / t).otherwise(F.lit(1.0) / k))))
+    nothing = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(0.0))
+    summed = lambda a: F.aggregate(a, nothing, lambda s, row: F.zip_with(s, row, lambda x, y: x + y))
+    bound = _let(absolute, lambda a: F.struct(a.alias("a"), summed(a).alias("s")))
+    return _let(bound, lambda x: F.transform(x["a"], lambda row: F.zip_with(row, x["s"], lambda w, t: F.when(t > 0, w / t).otherwise(F.lit(1.0) / k))))
 
 
 def pagerank(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-12, alpha: float = 0.85, teleport: str | None = None) -> DataFrame:
@@ -121,20 +122,22 @@ def pagerank(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-
 
     ``teleport``: a column with weights in vocabulary order; uniform where absent or all 0.
     """
-    k = F.size("m")
-    uniform = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / k)
+    k = F.size("names")
+    uniform = F.transform("names", lambda _: F.lit(1.0) / k)
     if teleport:
         t = _let(_total(F.col(teleport)), lambda s: F.when(s > 0, F.transform(F.col(teleport), lambda x: x / s)).otherwise(uniform))
     else:
         t = uniform
-    ready = networks.withColumn("p", stochastic(F.col("m"))).withColumn("t", t)
 
-    def step(v):
-        raw = F.zip_with(_times(F.col("p"), v), F.col("t"), lambda a, b: alpha * a + (1 - alpha) * b)
-        return _let(raw, lambda u: _let(_total(u), lambda s: F.transform(u, lambda x: x / s)))
+    def walk(x):  # x binds the matrix and the teleport, which would else be made anew in every step
+        def step(v):
+            raw = F.zip_with(_times(x["p"], v), x["t"], lambda a, b: alpha * a + (1 - alpha) * b)
+            return _let(raw, lambda u: _let(_total(u), lambda s: F.transform(u, lambda y: y / s)))
 
-    close = lambda u, v: _total(F.zip_with(u, v, lambda x, y: F.abs(x - y))) < tol
-    done = ready.withColumn("v", _iterate(uniform, steps, step, close))
+        close = lambda u, v: _total(F.zip_with(u, v, lambda y, z: F.abs(y - z))) < tol
+        return _iterate(uniform, steps, step, close)
+
+    done = networks.withColumn("v", _let(F.struct(stochastic(F.col("m"), k).alias("p"), t.alias("t")), walk))
     return _long(done, keys, "ppagerank" if teleport else "pagerank")
 
 
@@ -175,18 +178,21 @@ def sla(networks: DataFrame, *keys: str, steps: int = 500, tol: float = 1e-10, d
     """G1: damped power iteration on absolute weights until it moves by less than ``tol``; a vector of norm
     0 becomes 0. Start and weights are not negative, so the largest entry never is and no sign is to be
     turned."""
-    k = F.size("m")
-    start = F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / F.sqrt(k.cast("double")))
-    ready = networks.withColumn("a", F.transform("m", lambda row: F.transform(row, lambda x: F.abs(x))))
+    k = F.size("names")
+    start = F.transform("names", lambda _: F.lit(1.0) / F.sqrt(k.cast("double")))
+
+    def walk(a):
+        def step(v):
+            raw = F.zip_with(_times(a, v), v, lambda x, y: delta * x + (1 - delta) * y)
+            return _let(raw, lambda u: _let(F.sqrt(_dot(u, u)), lambda n: F.transform(u, lambda x: F.when(n > 1e-300, x / n).otherwise(F.lit(0.0)))))
 
-    def step(v):
-        raw = F.zip_with(_times(F.col("a"), v), v, lambda x, y: delta * x + (1 - delta) * y)
-        return _let(raw, lambda u: _let(F.sqrt(_dot(u, u)), lambda n: F.transform(u, lambda x: F.when(n > 1e-300, x / n).otherwise(F.lit(0.0)))))
+        def close(u, v):
+            return _let(F.zip_with(u, v, lambda x, y: x - y), lambda d: F.sqrt(_dot(d, d))) < tol
 
-    def close(u, v):
-        return _let(F.zip_with(u, v, lambda x, y: x - y), lambda d: F.sqrt(_dot(d, d))) < tol
+        return _iterate(start, steps, step, close)
 
-    return _long(ready.withColumn("v", _iterate(start, steps, step, close)), keys, "sla")
+    absolute = F.transform("m", lambda row: F.transform(row, lambda x: F.abs(x)))
+    return _long(networks.withColumn("v", _let(absolute, walk)), keys, "sla")
 
 
 def sla_of(a: np.ndarray, steps: int = 500, tol: float = 1e-10, delta: float = 0.85) -> np.ndarray:

@@ -9,12 +9,12 @@ from tidemark.plans.networks import ACCOUNT_RANK, EDGES, MATRIX, SLA, _edges, _m
 from tidemark.session import cut_lineage
 
 
-def chunk_rows(s, d):
+def chunk_rows(s, d, rows=None):
     """Long rows (account_hash, t, name, x) of mean ratings; a chunk without any rating keeps its row."""
     names = R.vocabulary(_vocab(s, d))
     t = F.split_part("trait", F.lit(":"), F.lit(2)).try_cast("bigint").alias("t")
     calls = _store(s, d).filter("task = 'e3_chunk' and account_hash is not null").select("account_hash", t, F.lit(names[0] if names else "").alias("name"), F.lit(None).cast("double").alias("x"))
-    rated = _ratings(s, d).filter("task = 'e3_chunk' and account_hash is not null").select("account_hash", t, F.col("rated").alias("name"), F.col("rating").alias("x"))
+    rated = (rows if rows is not None else _ratings(s, d)).filter("task = 'e3_chunk' and account_hash is not null").select("account_hash", t, F.col("rated").alias("name"), F.col("rating").alias("x"))
     return rated.unionByName(calls), names
 
 
@@ -94,14 +94,18 @@ def prior_convergence(s, d):
 def convergence_suite(s, d):
     """Every agreement of the study, with the shrunk and the lagged chunk networks; with fewer
     than 5 accounts there is nothing to pool."""
-    edges, vocab = cut_lineage(N.enough(_edges(s, d), 5)), _vocab(s, d)
-    mean = N.pooled(edges).select("src", "dep", "weight")
-    tied, led = cut_lineage(e3(s, d, "pcor")), cut_lineage(e3(s, d, "lag1"))
+    vocab = _vocab(s, d)
+    ratings = cut_lineage(_ratings(s, d))  # parsed once for all that follows
+    edges = cut_lineage(N.enough(_edges(s, d, ratings), 5))
+    mean = cut_lineage(N.pooled(edges).select("src", "dep", "weight"))
+    rows, names = chunk_rows(s, d, ratings)
+    x = cut_lineage(C.tables(rows, "account_hash", names))
+    tied, led = (cut_lineage(C.estimate(x, "account_hash", names, method).drop("converged")) for method in ("pcor", "lag1"))
     one = V.undirected(edges)
     single = lambda df, label: df.select(F.lit(label).alias("label"), F.when(F.col("r").isNotNull(), 1).otherwise(0).cast("bigint").alias("n"), F.col("r").alias("mean"), F.col("r").alias("lo"), F.col("r").alias("hi"))
-    prior = R.pair_edges(_ratings(s, d).withColumn("account_hash", F.lit(None).cast("string")), "e2_generic")
+    prior = R.pair_edges(ratings.withColumn("account_hash", F.lit(None).cast("string")), "e2_generic")
     out = single(V.of_means(mean, prior, vocab), "mean network, generic prior")
-    out = out.unionByName(single(V.of_means(V.both_ways(mean), V.pooled_over(tied, chunk_rows(s, d)[0]), vocab), "mean network, chunk network"))
+    out = out.unionByName(single(V.of_means(V.both_ways(mean), V.pooled_over(tied, x), vocab), "mean network, chunk network"))
     out = out.unionByName(single(V.of_means(mean, N.pooled(led), vocab), "mean network, lagged network"))
     out = out.unionByName(V.summary(V.by_account(one, tied), "account by account, chunk network"))
     out = out.unionByName(V.summary(V.by_account(edges, led), "account by account, lagged network"))
@@ -110,9 +114,10 @@ def convergence_suite(s, d):
     agreed = V.rank_agreement(weights, "weighting", "weight")
     out = out.unionByName(V.summary(agreed.filter("one = 'density' and other = 'self_relevance'"), "density, self-relevance"))
     out = out.unionByName(V.summary(agreed.filter("one = 'density' and other = 'salience'"), "density, salience"))
-    ranks = cut_lineage(_personal(s, d, weights))
+    matrix = cut_lineage(_matrix(s, d, mean))
+    ranks = cut_lineage(_personal(s, d, weights, matrix))
     out = out.unionByName(V.summary(V.between_accounts(ranks, "value", vocab).select(F.col("rho").alias("r")), "between accounts, personalised"))
-    out = out.unionByName(V.summary(_against_base(s, d, ranks), "personalised, base"))
+    out = out.unionByName(V.summary(_against_base(s, d, ranks, matrix), "personalised, base"))
     return out.select("label", "n", *_r("mean", "lo", "hi"))
 
 
@@ -127,8 +132,8 @@ def weight_agreement(s, d):
     return V.rank_agreement(_study_weights(s, d, _edges(s, d)), "weighting", "weight").select("account_hash", "one", "other", *_r("r"))
 
 
-def _personal(s, d, weights):
-    got = N.personalised(cut_lineage(_matrix(s, d)), weights.filter("weighting = 'density'"), _vocab(s, d), "account_hash")
+def _personal(s, d, weights, matrix=None):
+    got = N.personalised(matrix if matrix is not None else cut_lineage(_matrix(s, d)), weights.filter("weighting = 'density'"), _vocab(s, d), "account_hash")
     return got.select("account_hash", "name", F.round("value", 7).alias("value"))
 
 
@@ -138,8 +143,8 @@ def between_account_spearman(s, d):
     return V.between_accounts(ranks, "value", _vocab(s, d)).select("account_hash", "n", *_r("rho"))
 
 
-def _against_base(s, d, ranks):
-    base = N.sla(_matrix(s, d), "network").select("name", F.round("value", 7).alias("base"))
+def _against_base(s, d, ranks, matrix=None):
+    base = N.sla(matrix if matrix is not None else cut_lineage(_matrix(s, d)), "network").select("name", F.round("value", 7).alias("base"))
     both = ranks.join(F.broadcast(base), "name")
     r = S.average_ranks(S.average_ranks(both, "value", ["account_hash"], "rx"), "base", ["account_hash"], "ry")
     return r.groupBy("account_hash").agg(S.pearson("rx", "ry").alias("r"))

@@ -10,7 +10,8 @@ from tidemark.sources.tables import table
 
 
 def _store(s, d):
-    return R.call_store(table(s, d, "calls"))
+    """One row a key; requests and usage, which no network needs, stay out of its shuffle."""
+    return R.call_store(table(s, d, "calls").drop("request", "usage"))
 
 
 def _ratings(s, d):
@@ -21,9 +22,9 @@ def _vocab(s, d):
     return table(s, d, "trait_vocab")
 
 
-def _edges(s, d):
+def _edges(s, d, rows=None):
     """E1 edges of every account that has a baseline."""
-    return R.ablation_edges(_ratings(s, d), _vocab(s, d))
+    return R.ablation_edges(rows if rows is not None else _ratings(s, d), _vocab(s, d))
 
 
 def _pooled(s, d):
