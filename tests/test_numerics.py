@@ -317,6 +317,21 @@ def test_between_accounts_equals_all_pairs(spark):
     assert len(got) == 6 and all(np.isclose(got[f"a{i}"], (r[i].sum() - 1) / 5) for i in range(6))
 
 
+def test_empty_networks(spark):
+    from tidemark.operators import convergence as V
+
+    edges = spark.createDataFrame([], "account_hash string, src string, dep string, weight double")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "trait_idx int, name string")
+    assert V.by_account(edges, edges).count() == 0 and V.residual(edges).count() == 0 and N.enough(edges, 1).count() == 0
+    assert V.summary(V.by_account(edges, edges), "x").first().n == 0
+    assert V.of_means(edges.select("src", "dep", "weight"), edges.select("src", "dep", "weight"), vocab).first().r is None
+    assert V.between_accounts(spark.createDataFrame([], "account_hash string, name string, value double"), "value", vocab).count() == 0
+    assert C.estimate(spark.createDataFrame([], "account_hash string, t bigint, x array<double>"), "account_hash", ["a", "b"], "lag1").count() == 0
+    assert C.pairwise(spark.createDataFrame([], "x array<double>"), ["a", "b"]).count() == 0
+    one = spark.createDataFrame([("x", "a", "b", 1.0), ("y", "a", "b", 3.0), ("y", "b", "a", None)], "account_hash string, src string, dep string, weight double").withColumn("n", F.lit("clash"))
+    assert [r.n for r in V.by_account(one, one).orderBy("account_hash").collect()] == [1, 2] and N.enough(one, 2).count() == 3 and N.enough(one, 3).count() == 0
+
+
 def test_python_graphs_are_those_of_the_plan(spark):
     rows = [(0, "warm", "A", "cold"), (1, "cold", "A", "warm"), (2, "neat", "C", "rough"), (3, "rough", "C", "neat"), (4, "calm", "N", "tense"), (5, "tense", "N", "calm")]
     vocab = spark.createDataFrame(rows, "trait_idx int, name string, domain string, antonym string")

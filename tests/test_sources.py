@@ -56,6 +56,19 @@ def test_endless_bad_pages_are_an_error():
         list(paging.pages(fetch, "x", {}))
 
 
+def test_histories_of_both_sources():
+    rows = {
+        "comments": [{"id": f"c{i}", "created_utc": 100 + i, "subreddit": "Moss", "link_id": "t3_q", "body": "x"} for i in range(30)],
+        "posts": [{"id": "p", "created_utc": 115, "title": " T ", "selftext": " text"}, {"id": "q", "created_utc": 99, "title": "T", "selftext": None}],
+    }
+    fetch = lambda path, p: service(rows[path], 10)(path, p)
+    got = paging.history(fetch, "a", after=100, page_size=7)
+    assert len(got) == 31 and [r["created_utc"] for r in got] == sorted(r["created_utc"] for r in got)
+    assert got[0]["permalink"] == "/comments/q/_/c0/" and got[0]["subreddit"] == "moss" and [r["body"] for r in got if r["kind"] == "post"] == ["T\n\ntext"]
+    assert [r["item_id"] for r in paging.history(fetch, "a", posts=False, most=3, page_size=7)] == ["t1_c27", "t1_c28", "t1_c29"]
+    assert len(paging.recent(lambda a, n: (rows["comments"] * 2, rows["posts"]), "a", 5)) == 7 and paging.recent(lambda a, n: ([], []), "a") == []
+
+
 def test_data_source(spark, tmp_path):
     for a in "ab":
         lines = [json.dumps({"id": f"{a}{i}", "account_hash": a, "kind": "comment", "created_utc": i, "body": "x"}) for i in range(250)]

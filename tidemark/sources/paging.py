@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -73,6 +74,45 @@ def pages(fetch: Fetch, path: str, params: dict, newest_first: bool = False, pag
         cursor[edge] = last
 
 
+#: The columns of an item, as every source gives them.
+ITEM = ("item_id", "kind", "subreddit", "created_utc", "body", "score", "parent_id", "link_id", "permalink", "source")
+
+
+def comment_item(raw: dict, source: str) -> dict:
+    """P1 for a row of a service: a comment as an item; a link is made from its thread where none is given."""
+    thread = (raw.get("link_id") or "").partition("_")[2]
+    link = raw.get("permalink") or (f"/comments/{thread}/_/{raw['id']}/" if thread else "")
+    values = (f"t1_{raw['id']}", "comment", str(raw.get("subreddit") or "").lower(), raw.get("created_utc"), raw.get("body") or "", raw.get("score") or 0, raw.get("parent_id") or "", raw.get("link_id") or "", link, source)
+    return dict(zip(ITEM, values))
+
+
+def post_item(raw: dict, source: str) -> dict:
+    """P2 for a row of a service: a post as an item, title and text joined by an empty line."""
+    parts = [t for t in ((raw.get("title") or "").strip(), (raw.get("selftext") or "").strip()) if t]
+    link = raw.get("permalink") or f"/comments/{raw['id']}/"
+    values = (f"t3_{raw['id']}", "post", str(raw.get("subreddit") or "").lower(), raw.get("created_utc"), "\n\n".join(parts), raw.get("score") or 0, "", f"t3_{raw['id']}", link, source)
+    return dict(zip(ITEM, values))
+
+
+def history(fetch: Fetch, author: str, after: int = 0, posts: bool = True, most: int | None = None, source: str = "archive", **how) -> list[dict]:
+    """S3: the items of an author, oldest first, each once; ``most`` of each kind, then the newest ones."""
+    kinds = [("comments", comment_item)] + ([("posts", post_item)] if posts else [])
+    found: dict[str, dict] = {}
+    for path, item in kinds:
+        params = {"author": author, ("before" if most is not None else "after"): (1 << 40 if most is not None else after)}
+        rows = (r for r in pages(fetch, path, params, newest_first=most is not None, **how) if r["created_utc"] >= after)
+        for raw in islice(rows, most):
+            found.setdefault(f"{path}{raw['id']}", item(raw, source))
+    return sorted(found.values(), key=lambda r: (r["created_utc"], r["item_id"]))
+
+
+def recent(listing: Callable[[str, int], tuple[list, list]], author: str, limit: int = 1000, source: str = "listing") -> list[dict]:
+    """A second kind of source, which gives only the newest comments and posts: ``listing(author, limit)``."""
+    comments, posts = listing(author, limit)
+    rows = [comment_item(r, source) for r in comments[:limit]] + [post_item(r, source) for r in posts[:limit]]
+    return sorted({r["item_id"]: r for r in rows}.values(), key=lambda r: (r["created_utc"], r["item_id"]))
+
+
 class _Part(InputPartition):
     def __init__(self, path: str):
         self.path = path
