@@ -95,7 +95,7 @@ def test_chunks(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, item_ids array<string>, text string, n_chars int").selectExpr("*", "'window' as strategy", "1 as size")
     assert {r.chunk_id for r in truncation.cut_chunks(chunks, items).collect()} == {"c:1", "c:2", "c:3", "c:4"}
     votes = {r.chunk_id: r for r in truncation.chunk_votes(chunks, items).collect()}
-    assert votes["c:1"].other_end and votes["c:0"].open and votes["c:3"].missing and not votes["c:3"].other_end and votes["c:6"].same_end
+    assert votes["c:1"].same_end is False and votes["c:0"].open and votes["c:3"].missing and votes["c:3"].same_end is None and votes["c:6"].same_end
     calls = spark.createDataFrame([("k", REQ, '{"rat', "m"), ("k2", REQ, '{"rating": 4}', "m")], CALL)
     got = {(r.table_name, r.source): (r.n_records, r.n_cut) for r in truncation.rates(chunks, items, calls).collect()}
     assert got == {("chunks", "window"): (6, 4), ("calls", "m"): (2, 1)}

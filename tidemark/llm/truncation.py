@@ -1,12 +1,12 @@
 """Problem 3: texts that were cut, and how often each chunk strategy and each model cuts.
 
-Votes on a chunk are added up. For a cut: its final token is an unknown proper prefix of known words
-(vocabulary trie of all chunk texts), it ends in a cut mark, ``n_chars`` counts more than the text has,
-or it does not end as its last item ends (two each); its length is a limit many texts share, or it has
-no final mark (one each). Against it: it ends as its last item ends (three). Two votes flag the chunk.
-Where its last item is missing, trie and length alone decide; only the last 24 characters of an item
-are joined, never texts. Responses are judged by the evidence about endings in ``pairs``; empty ones,
-copies and refusals are no cuts.
+Evidence about a chunk's ending is added up: its final token is an unknown proper prefix of known words
+(vocabulary trie of all chunk texts), it ends in a cut mark, or ``n_chars`` counts more than the text has
+(two each); its length is a limit many texts share, or it has no final mark (one each). Two make the
+chunk a cut. An exact check follows where its last item is at hand: the chunk then is a cut if and only
+if it does not end as that item ends, which also tells cuts behind a full stop. Only the last 24
+characters of an item are joined, never texts. Responses are judged by the evidence about endings in
+``pairs``; empty ones, copies and refusals are no cuts.
 
 Null and blank texts are none. Rows repeated with another text are each judged; one that is cut
 flags the chunk. Null ids are left out; null and empty item lists and blank last items say nothing.
@@ -26,8 +26,8 @@ from tidemark.session import cut_lineage
 BLANK = " \t\n\r\f\v"
 
 
-#: Votes: what each piece of evidence counts, and how many flag a chunk.
-VOTES = {"broken": 2, "marked": 2, "missing": 2, "other_end": 2, "limit": 1, "open": 1, "same_end": -3}
+#: What each piece of evidence counts, and how much makes a chunk a cut where nothing can be checked.
+VOTES = {"broken": 2, "marked": 2, "missing": 2, "limit": 1, "open": 1}
 LEAST = 2
 
 
@@ -60,7 +60,8 @@ def chunk_signals(chunks: DataFrame, width: int = 24) -> DataFrame:
 
 
 def chunk_votes(chunks: DataFrame, items: DataFrame) -> DataFrame:
-    """Per chunk text: ``chunk_id``, ``print`` and one boolean per kind of evidence in ``VOTES``."""
+    """Per chunk text: ``chunk_id``, ``print``, one boolean per kind of evidence in ``VOTES``, and ``same_end``:
+    whether it ends as its last item does, null where that cannot be told."""
     rows = cut_lineage(chunk_signals(chunks).dropDuplicates(["chunk_id", "print", "n_chars"]))
     words = endings.corpus_words(chunks, "text")
     tokens = rows.filter("token != '' and not shut").select("chunk_id", "print", "token")
@@ -72,14 +73,15 @@ def chunk_votes(chunks: DataFrame, items: DataFrame) -> DataFrame:
     no = lambda c: F.coalesce(c, F.lit(False))
     return all_rows.select(
         "chunk_id", "print", no(F.col("broken")).alias("broken"), "marked", no(F.col("n_chars") > F.col("length")).alias("missing"),
-        no(~same).alias("other_end"), no(F.col("limit")).alias("limit"), (~F.col("shut")).alias("open"), no(same).alias("same_end"),
+        no(F.col("limit")).alias("limit"), (~F.col("shut")).alias("open"), same.alias("same_end"),
     )
 
 
 def cut_chunks(chunks: DataFrame, items: DataFrame) -> DataFrame:
     """Chunks that lack the end of what their items say: ``chunk_id``."""
     votes = sum((F.col(k).cast("int") * v for k, v in VOTES.items()), F.lit(0))
-    return chunk_votes(chunks, items).filter(votes >= LEAST).select("chunk_id").distinct()
+    judged = chunk_votes(chunks, items).withColumn("votes", votes)
+    return judged.filter(F.coalesce(~F.col("same_end"), F.col("votes") >= LEAST)).select("chunk_id").distinct()
 
 
 def cut_calls(calls: DataFrame) -> DataFrame:
