@@ -71,8 +71,9 @@ def fingerprints(hashes: np.ndarray, weight: np.ndarray, run: int) -> np.ndarray
     """SimHash of every window of ``run`` words."""
     distinct, at = np.unique(hashes, return_inverse=True)
     signs = (((distinct[:, None] >> _BITS) & np.uint64(1)).astype(np.int8) * 2 - 1)[at] * weight[:, None].astype(np.int8)
-    total = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(signs, axis=0, dtype=np.int32, out=total[1:])
+    kind = np.int8 if 4 * run < 128 else np.int32  # sums may wrap around, their differences over a window may not
+    total = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(signs, axis=0, dtype=kind, out=total[1:])
     bits = total[run:] - total[:-run] > 0
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
