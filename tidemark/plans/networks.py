@@ -241,7 +241,7 @@ def trait_correlations(s, d):
     """Correlation and sample covariance of traits over chunks, from sums of products."""
     names = R.vocabulary(_vocab(s, d))
     x = chunk_matrix(s, d).filter("mean is not null").select("account_hash", F.col("chunk_id").alias("t"), F.col("rated").alias("name"), F.col("mean").alias("x"))
-    return C.pairwise(C.tables(x, "account_hash", names), names).select("rated", "other", "n", F.round("r", 5).alias("r"), F.round("cov", 3).alias("cov"))
+    return C.pairwise(C.tables(x, "account_hash", names), names).select("rated", "other", "n", F.round("r", 5).alias("r"), F.round("cov", 6).alias("cov"))
 
 
 def lag1_cross_moments(s, d):
@@ -472,7 +472,7 @@ m as (select rated, avg(mean) as m, stddev_pop(mean) as s from y group by 1)
 select chunk_id, y.rated, round((coalesce(mean, m) - m) / case when s > 0 then s else 1 end, 6) as z from y join m using (rated)""",
     "chunk_matrix_by_model": "with " + RATINGS + "select model, rated, count(rating) as n, round(avg(rating), 6) as mean from ratings join (select key, model from store) using (key) where task = 'e3_chunk' and account_hash is not null and model is not null group by 1, 2",
     "trait_correlations": "with " + MATRIX + f""", y as (select account_hash, chunk_id, rated, round(mean, 6) as x from x where mean is not null and rated in (select name from trait_vocab))
-select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 3) as cov from y a join y b on a.account_hash = b.account_hash and a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
+select a.rated, b.rated as other, count(*) as n, round({_pearson('a.x', 'b.x')}, 5) as r, round(covar_samp(a.x, b.x), 6) as cov from y a join y b on a.account_hash = b.account_hash and a.chunk_id = b.chunk_id and a.rated < b.rated group by 1, 2""",
     "lag1_cross_moments": "with " + MATRIX + f""", y as (select rated, round(mean, 6) as mean, lag(round(mean, 6)) over (partition by account_hash, rated order by chunk_id) as before from x where mean is not null)
 select rated, count(*) as n, round(avg(mean * before), 4) as moment, round({_pearson('before', 'mean')}, 6) as r from y where before is not null group by 1""",
     "anova_components": "with " + EDGES + ", cells as (select src, account_hash as rw, dep as cl, avg(weight) as x from edges group by 1, 2, 3)," + _TWO_WAY.format(k="src") + """,
