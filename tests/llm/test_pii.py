@@ -43,6 +43,12 @@ def test_names_by_context(text):
     assert pii.candidates(pa.array([text])).to_pylist() == [True]
 
 
+def test_without_context_these_names_are_not_told(monkeypatch):
+    for kind in ("relation", "doing"):
+        monkeypatch.setitem(pii.POINTS, kind, 0.0)
+    assert all(pii.find(text) == [] for text in CONTEXT[:3])
+
+
 @pytest.mark.parametrize("text", THINGS)
 def test_capitals_alone_are_no_names(text):
     assert pii.find(text) == []
