@@ -21,7 +21,7 @@ def chunk_rows(s, d, rows=None):
 def e3(s, d, method):
     """Each account's network from its chunk ratings."""
     rows, names = chunk_rows(s, d)
-    return C.estimate(C.tables(rows, "account_hash", names), "account_hash", names, method)
+    return C.estimate(cut_lineage(C.tables(rows, "account_hash", names)), "account_hash", names, method)  # read twice: to count and to fit
 
 
 def _edges_of(s, d, method):
