@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -50,6 +51,11 @@ def last_token(text: str) -> str | None:
     return t[at:].lower() or None
 
 
+@lru_cache(maxsize=1 << 15)
+def _short_frames(sentence: str) -> tuple[str, str] | None:
+    return frames(sentence)
+
+
 def known_words(text: str) -> list[str]:
     """The words of a text that stand before another word."""
     return re.findall(r"[^\W\d_]+", text.lower())[:-1]
@@ -60,7 +66,8 @@ def whole_frames(text: str) -> set[str]:
     seen: set[str] = set()
     for m in UNMARKED.finditer(text):
         if text[m.end() : m.end() + 1] not in ("", "\n"):
-            seen.update(frames(m[0]) or ())
+            sentence = m[0]
+            seen.update((_short_frames(sentence) if len(sentence) < 300 else frames(sentence)) or ())  # instructions recur
     return seen
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -110,7 +111,12 @@ def parts(request: str) -> list[list[str]]:
 
 
 def is_copy(request: str, response: str) -> bool:
-    mine, theirs = words(PREFACES.sub("", response)), words(request)
+    answer = PREFACES.sub("", response)
+    if len(request) > 200:  # either way of copying below puts the fourth to sixth word into the request
+        begin, low = [m[0] for m in islice(re.finditer(r"[^\W_]+", answer.lower()), 6)], request.lower()
+        if len(begin) < 5 or any(w not in low for w in begin[3:]):
+            return False
+    mine, theirs = words(answer), words(request)
     if len(mine) < 5 or not theirs:
         return False
     head = theirs[:6]
